@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import chat, license, quality
+from proofline.llm import bpe, chat, license, ngram_join, quality, records
 
 MODULES = [quality, chat, license]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op4_token_records": records.op4_token_records,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_chat_format": chat.op9_chat_format,
         "op10_license_scan": license.op10_license_scan,
     }

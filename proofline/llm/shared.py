@@ -56,6 +56,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand Python at most so many rows at once, so a batch of long texts fits in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def spread(spark: SparkSession, df: DataFrame, per_core: int = 1) -> DataFrame:
     """Deal rows out evenly when a small table comes in fewer partitions than there are cores."""
     n = spark.sparkContext.defaultParallelism * per_core
