@@ -40,17 +40,21 @@ SMALL = 24
 BLOCK = 128
 
 
+def distinct_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of each set, one set after another, and their bounds."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[fresh], np.searchsorted(owner[fresh], np.arange(n + 1))
+
+
 def unique_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct shingles of each row one after another, bounds) for slices of a text column."""
     for part in slices(column):
-        values, bounds = row_shingles(Words(part), k)
-        rows = np.repeat(np.arange(part.rows), np.diff(bounds))
-        order = np.lexsort((values, rows))
-        values, rows = values[order], rows[order]
-        fresh = np.ones(len(values), bool)
-        fresh[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-        values, rows = values[fresh], rows[fresh]
-        yield part.first, values, np.searchsorted(rows, np.arange(part.rows + 1))
+        yield part.first, *distinct_sets(*row_shingles(Words(part), k))
 
 
 def signer(k: int, bands: int, rows: int):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, chat, license, ngram_join, quality, records
+from proofline.llm import bpe, chat, license, ngram_join, passages, quality, records, toxicity
 
 MODULES = [quality, chat, license]
 
@@ -14,8 +14,10 @@ MODULES = [quality, chat, license]
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_records": records.op4_token_records,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_substring_dedup": passages.op7_substring_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_chat_format": chat.op9_chat_format,
         "op10_license_scan": license.op10_license_scan,
