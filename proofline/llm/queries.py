@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, chat, license, ngram_join, passages, quality, records, toxicity
+from proofline.llm import bpe, chat, decontaminate, license, ngram_join, passages, quality, records, toxicity
 
 MODULES = [quality, chat, license]
 
@@ -14,6 +14,7 @@ MODULES = [quality, chat, license]
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": bpe.op1_byte_bpe,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_records": records.op4_token_records,
         "op6_quality_rules": quality.op6_quality_rules,
