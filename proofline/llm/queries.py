@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, chat, decontaminate, license, ngram_join, passages, quality, records, toxicity
+from proofline.llm import bpe, chat, decontaminate, license, ngram_join, passages, quality, records, repeats, toxicity
 
 MODULES = [quality, chat, license]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_records": records.op4_token_records,
+        "op5_repeats": repeats.op5_repeats,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_substring_dedup": passages.op7_substring_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
