@@ -1,6 +1,6 @@
 """Word and shingle hashing over Arrow text columns, whole batches at a time.
 
-A word is a maximal run of ASCII letters, digits and non-ASCII characters; ASCII letters are folded to
+A word is a maximal run of ASCII letters, digits and non-ASCII characters; ASCII and Latin-1 letters are folded to
 lower case. Words are hashed with a polynomial prefix hash modulo 2**64, so all words of a slice
 of documents come out of a handful of numpy passes over its bytes.
 """
@@ -48,6 +48,16 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with capital Latin-1 letters (C3 80 to C3 9E, but not the multiplication sign) as small ones; ASCII is folded by ``_CODE``."""
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] <= 0x9E) & (data[at] != 0x97)]
+    if len(at):
+        data = data.copy()
+        data[at] += 0x20
+    return data
+
+
 class Slice:
     """Some consecutive rows of a batch: their bytes, and where each row starts and ends."""
 
@@ -91,6 +101,7 @@ class Words:
         ends[inner] = is_word[inner]
         self.end = np.flatnonzero(ends) + 1
         up, down = _powers_of(n + 1)
+        data = folded(data)
         with np.errstate(over="ignore"):
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_CODE[data] * up[:n], out=total[1:])
