@@ -59,6 +59,7 @@ def text_or_empty(name: str = "text") -> Column:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand Python at most so many rows at once, so a batch of long texts fits in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def spread(spark: SparkSession, df: DataFrame, per_core: int = 1) -> DataFrame:
