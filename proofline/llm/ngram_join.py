@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ RECALL = 0.9999
 ROWS = 4
 #: A bucket of at most so many members gives its pairs; a larger one is compared in blocks of about BLOCK members.
 SMALL = 24
-BLOCK = 128
+BLOCK = 256
 
 
 def distinct_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,28 +117,28 @@ def least_common(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def block_verifier(threshold: float):
-    """The members of two blocks (or of one, twice) to a row per member that has links: id, its links, an id it is linked to."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "id"]).sort_values(["side", "id"])
-        alone = bool(pdf["alone"].iloc[0])
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == (0 if alone else 1)]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        a, b = ([np.frombuffer(s, np.uint64) for s in x["shingles"]] for x in (left, right))
-        common = overlaps(a, b)
-        union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
-        linked = least_common(common, union, threshold)
-        ids = (left["id"].to_numpy(), right["id"].to_numpy())
+    """Rows of two blocks (or of one, twice) to a row per member that has links: id, its links, the smallest id it reaches."""
+
+    def compare(left: pa.StructScalar, right: pa.StructScalar, alone: bool) -> Iterator[pa.RecordBatch]:
+        ids, weights, sets = [], [], []
+        for rows in (left, right):
+            ids.append(rows.field("id").to_numpy())
+            weights.append(rows.field("members").to_numpy())
+            sets.append([np.frombuffer(s, np.uint64) for s in rows.field("shingles").to_pylist()])
+        common = overlaps(*sets)
+        sizes = [np.array([len(s) for s in x], np.int64) for x in sets]
+        linked = least_common(common, sizes[0][:, None] + sizes[1][None, :] - common, threshold)
         if alone:
             np.fill_diagonal(linked, False)
-        weights = (left["members"].to_numpy(), right["members"].to_numpy())
         root = roots_of(linked, *ids)
-        out = []
         for grid, own, weight, label in [(linked, ids[0], weights[1], root[0]), (linked.T, ids[1], weights[0], root[1])][: 1 if alone else 2]:
             some = grid.any(axis=1)
-            out.append(pd.DataFrame({"id": own[some], "links": (grid[some] * weight).sum(axis=1), "root": label[some]}))
-        return pd.concat(out).astype("int64")
+            yield pa.RecordBatch.from_arrays([pa.array(own[some], pa.int64()), pa.array((grid[some] * weight).sum(axis=1), pa.int64()), pa.array(label[some], pa.int64())], names=["id", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from compare(batch["rows_x"][k].values, batch["rows_y"][k].values, batch["x"][k] == batch["y"][k])
 
     return run
 
@@ -212,14 +211,14 @@ def near_links(reps: DataFrame, texts: DataFrame, k: int, threshold: float, name
     checked = fit.join(one("a"), "a").join(one("b"), "b").select("a", "b", "m_a", "m_b", "s_a", "s_b").mapInArrow(verify, "a long, b long, m_a long, m_b long, ok boolean")
     linked = materialize(checked.where("ok"), f"{name}-linked")
 
-    sides = meeting.select("x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
-    members = sides.join(home.join(sets.select("id", "members", "shingles"), "id"), "block")
-    members = members.select("x", "y", "side", (F.col("x") == F.col("y")).alias("alone"), "id", "members", "shingles")
-    compared = materialize(members.groupBy("x", "y").applyInPandas(block_verifier(threshold), "id long, links long, root long"), f"{name}-compared")
+    blocks = home.join(sets, "id").groupBy("block").agg(F.collect_list(F.struct("id", "members", "shingles")).alias("rows"))
+    blocks = materialize(blocks, f"{name}-contents")
+    side = lambda c: blocks.select(F.col("block").alias(c), F.col("rows").alias(f"rows_{c}"))
+    compared = meeting.join(side("x"), "x").join(side("y"), "y").mapInArrow(block_verifier(threshold), "id long, links long, root long")
+    compared = materialize(compared, f"{name}-compared")
 
     counts = linked.select(F.col("a").alias("id"), F.col("m_b").alias("links")).union(linked.select("b", "m_a")).union(compared.select("id", "links"))
-    written = (buckets, inside, home, tried, meeting, sets)
+    written = (buckets, inside, home, tried, meeting, sets, blocks)
     edges = linked.select("a", "b").union(compared.select("id", "root"))
     for df in written:
         discard(df)
