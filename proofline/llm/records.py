@@ -8,7 +8,7 @@ runs twice, or again after an executor was lost, leaves the same files.
 
     length of data (u64) | masked CRC-32 of those 8 bytes (u32) | data | masked CRC-32 of data (u32)
 
-Data is doc_id (i64; the smallest one stands for null) and the ids (u32 each, the end id last). The mask is a
+Data is doc_id (i64; the smallest one stands for null), the width of an id in bytes (u8) and the ids (the end id last). The mask is a
 rotation by 15 bits plus a constant, so checksums of data that hold checksums stay apart.
 ``part-NNNNN.idx`` holds for each record its offset, its doc_id and its first token's place in the file (three 64-bit
 numbers), so a shuffled reader fetches any record with one seek.
@@ -23,7 +23,9 @@ next to each other. An empty table gives no records. Extra columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,7 +42,11 @@ END_ID = 1
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
 #: Different words that a worker keeps at most before it starts afresh.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 600_000
+#: The last character up to which the pattern below and the library's own agree on what a letter is.
+LATIN = "\u024f"
+# Fixed value: the pattern of this vocabulary's pre-tokeniser.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 READ_BYTES = 4 << 20
 #: Separators for str.split that are no white space to the tokenizer.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -67,36 +73,76 @@ def unframe(record: bytes) -> bytes:
     return data
 
 
+class ByteLetters(dict):
+    """Code point to the letters that the library writes for its bytes."""
+
+    def __init__(self, letters):
+        self.letters = letters
+
+    def __missing__(self, code: int) -> str:
+        self[code] = self.letters(chr(code))[0][0]
+        return self[code]
+
+
 class WordEncoder:
-    """Texts to ids (as little-endian bytes), by way of their white-space separated words."""
+    """Texts to ids (as little-endian numbers of ``width`` bytes), by way of their white-space separated words.
+
+    A word of Latin letters that is new goes piece by piece to the library's model, with the library's own byte letters; any
+    other word, and any text with control strings or in another normal form, goes to the library as it is.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.width, self.code = (2, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (4, "I")
+        self.pieces = regex.compile(SPLIT).findall
+        self.tokenize = self.tokenizer.model.tokenize
+        self.mapped = ByteLetters(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str)
         self.known: dict[str, bytes] = {}
-        probe = "Don't STOP  1234 (Été) #é\n\tx."
-        if self.plain(probe) != b"".join(map(self.plain, probe.split())):
+        probe = "Don't STOP  1234 (Été) #é\n\tx. ..a'ß"
+        words = [self.word(w) for w in probe.lower().split()]
+        if self.plain(probe) != b"".join(words) or words != [self.plain(w) for w in probe.split()]:
             raise ValueError(f"{path}: words between white space are not encoded independently")
 
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> bytes:
+        return self.packed([t.id for t in self.tokenize(piece if piece.isascii() else piece.translate(self.mapped))])
+
+    def word(self, word: str) -> bytes:
+        if max(word) > LATIN:
+            return self.plain(word)
+        if word.isalpha():
+            return self.piece(word)
+        core, mark = word[:-1], word[-1]
+        if core.isalpha() and not mark.isalnum():  # a word and a punctuation mark
+            for part in (core, mark):
+                if part not in self.known:
+                    self.known[part] = self.piece(part)
+            return self.known[core] + self.known[mark]
+        return b"".join(map(self.piece, self.pieces(word)))
 
     def __call__(self, text: str) -> bytes:
-        words = text.split()
-        if any(c in text for c in NOT_SPACE):
+        if "<|" in text or "Σ" in text or any(c in text for c in NOT_SPACE) or not text.isascii() and not unicodedata.is_normalized("NFC", text):
             return self.plain(text)
+        words = text.lower().split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self.word(w)
+            return b"".join([known[w] for w in words])
 
 
 @cache
@@ -119,7 +165,8 @@ def writer(folder: str, path: str, end_id: int):
     """(doc_id, text) in order to files; gives one row per file: part, n_docs, n_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, encode, end = TaskContext.get(), word_encoder(path), struct.pack("<I", end_id)
+        context, encode = TaskContext.get(), word_encoder(path)
+        end, width = encode.packed([end_id]), encode.width
         part, attempt = context.partitionId(), context.taskAttemptId()
         files, root = file_system(folder)
         target = f"{root}/{part_name(part)}"
@@ -129,11 +176,11 @@ def writer(folder: str, path: str, end_id: int):
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                     doc_id = NULL_ID if doc_id is None else doc_id
                     ids = encode(text) + end
-                    record = frame(struct.pack("<q", doc_id) + ids)
+                    record = frame(struct.pack("<qB", doc_id, width) + ids)
                     index.append((offset, doc_id, tokens))
                     out.write(record)
                     offset += len(record)
-                    tokens += len(ids) // 4
+                    tokens += len(ids) // width
         with files.open_output_stream(f"{target}.idx.{attempt}") as out:
             out.write(np.array(index, "<i8").tobytes())
         for kind in ("rec", "idx"):
@@ -178,7 +225,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                         f.seek(begin)
                         block = f.read(int(ends[stop - 1]) - begin)
                         data = [unframe(block[a - begin : b - begin]) for a, b in zip(index[k:stop, 0].tolist(), ends[k:stop].tolist(), strict=True)]
-                        ids = [d[8:] for d in data]
+                        ids = [np.frombuffer(d, f"<u{d[8]}", offset=9).astype("<u4").tobytes() for d in data]
                         doc_ids = [struct.unpack_from("<q", d)[0] for d in data]
                         if doc_ids != index[k:stop, 1].tolist():
                             raise ValueError("the index doesn't match its records")
@@ -207,7 +254,7 @@ def fetch(folder: str, part: int, place: int) -> tuple[int | None, np.ndarray]:
         f.seek(int(entry[0]))
         data = unframe(f.read(end - int(entry[0])))
     doc_id = struct.unpack_from("<q", data)[0]
-    return None if doc_id == NULL_ID else doc_id, np.frombuffer(data, "<u4", offset=8)
+    return None if doc_id == NULL_ID else doc_id, np.frombuffer(data, f"<u{data[8]}", offset=9).astype("<u4")
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
