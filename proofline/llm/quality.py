@@ -174,7 +174,7 @@ def sql() -> dict[str, str]:
     )
     query = f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT r, doc_id, t, {words('t')} AS w, list_filter(string_split(t, chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+    w AS (SELECT r, doc_id, t, {words('t')} AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
     g AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
     h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g) WHERE n > 1),
     p AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM h, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
