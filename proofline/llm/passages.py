@@ -169,11 +169,11 @@ def result(members: DataFrame, kind: str) -> DataFrame:
 def repeated_lines(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     bands = bands_for(threshold, recall, rows)
     signed = texts.mapInArrow(sign_lines(bands, rows), f"key {KEY}, n_bytes int, n_words int, digest binary, size int, bands array<long>").where("size > 0")
-    same = signed.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    same = signed.groupBy("digest").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = materialize(same.withColumn("id", F.monotonically_increasing_id()), "line-reps")
     _, edges = near_links(reps, texts.mapInArrow(line_texts, f"key {KEY}, text string"), SHINGLE, threshold, "line")
     roots = components(edges, "line-roots")
-    found = materialize(reps.select("digest", "key", "members", "id").join(roots, "id", "left").where("root IS NOT NULL OR members > 1"), "line-found")
+    found = materialize(reps.select("digest", "key", "last", "id").join(roots, "id", "left").where("root IS NOT NULL OR key <> last"), "line-found")
     found = found.withColumn("root", F.coalesce("root", "id"))
     clusters = found.groupBy("root").agg(F.min("key").alias("first"))
     named = materialize(found.join(clusters, "root").select("digest", "first"), "line-clusters")
