@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from proofline import model
 from proofline.functions.text import word_count
-from proofline.operators import issues, rules, serve, structure, words
+from proofline.operators import decisions, edits, issues, language, rules, serve, structure, words
 from proofline.plans import chunks, progress
 from proofline.sources import text as source
 from proofline.streaming import quota
 
-MODULES = [words, rules, structure, issues, serve, chunks, progress, quota]
+MODULES = [words, rules, structure, language, issues, serve, edits, decisions, chunks, progress, quota]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
