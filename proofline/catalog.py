@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from proofline import model
 from proofline.functions.text import word_count
-from proofline.operators import decisions, edits, issues, language, rules, serve, structure, words
+from proofline.operators import decisions, edits, issues, language, lexicon, rules, serve, structure, words
 from proofline.plans import chunks, progress
+from proofline.sources import html
 from proofline.sources import text as source
 from proofline.streaming import quota
 
-MODULES = [words, rules, structure, language, issues, serve, edits, decisions, chunks, progress, quota]
+MODULES = [words, rules, structure, language, lexicon, issues, serve, edits, decisions, chunks, progress, quota]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {"repeated_word_issues": flagship}
-    for module in MODULES:
+    for module in [*MODULES, html]:
         found |= module.queries()
     return found
 

@@ -72,7 +72,7 @@ def test_greedy_choice(spark, dedupe):
     rows = issues.issue_rows(spark, SF)
     every = issues.classified(rows).withColumn("family", issues.F.expr(issues.FAMILY)).withColumn("p", issues.F.expr(issues.PRIORITY)).collect()
     kept = {r["issue_id"] for r in dedupe(rows).collect()}
-    places = [(r["doc_id"], r["block"], r["family"], r["start"], r["end"]) for r in every if r["issue_id"] in kept]
+    places = {(r["doc_id"], r["block"], r["family"], r["start"], r["end"], r["issue_id"]) for r in every if r["issue_id"] in kept}
     assert not overlapping(places)
     if dedupe is issues.final_dedupe:  # what was removed overlaps a kept issue of at least its priority
         by_group = {}
@@ -100,3 +100,64 @@ def test_quota_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.table("quota").select("user_id", "window_start", "n", "over").collect()}
     want = {tuple(r) for r in quota.windowed(events).where("event_type = 'click'").select("user_id", "window_start", "n", "over").collect()}
     assert got == want
+
+
+def test_sound_keys(spark):
+    from proofline.operators import lexicon
+
+    pairs = [("chapeau", "chapo"), ("éléphant", "elefan"), ("pharmacie", "farmassie"), ("orthographe", "ortografe"), ("attention", "atansion"), ("maison", "meson")]
+    rows = spark.createDataFrame([*pairs, ("maison", "moisson")], "a string, b string")
+    keys = rows.select(lexicon.sound_key(lexicon.F.col("a")), lexicon.sound_key(lexicon.F.col("b"))).collect()
+    assert [a == b for a, b in keys] == [True] * len(pairs) + [False]
+
+
+def test_distance():
+    from proofline.operators.lexicon import distance
+
+    got = {p: round(distance(*p), 3) for p in [("apeler", "appeler"), ("eleve", "élève"), ("Paris", "paris"), ("maisno", "maison"), ("rose", "tose"), ("abc", "abc"), ("", "ab"), ("chat", "chien")]}
+    assert got == {("apeler", "appeler"): 0.5, ("eleve", "élève"): 0.6, ("Paris", "paris"): 0.1, ("maisno", "maison"): 0.7, ("rose", "tose"): 0.7, ("abc", "abc"): 0.0, ("", "ab"): 2.0, ("chat", "chien"): got["chat", "chien"]}
+
+
+def test_misspellings(spark):
+    from proofline.operators import lexicon
+
+    rows = {r["word"]: r["suggestion"] for r in lexicon.misspelling(*lexicon.tables(spark)).collect()}
+    assert rows["maisno"] == "maison" and rows["professionel"] == "professionnel" and rows["bonjuor"] == "bonjour" and rows["chateau"] == "château" and rows["tres"] == "très"
+    assert "zzyzx" not in rows
+
+
+def test_edits(spark):
+    from proofline.operators import edits
+
+    outcome = {r["id"]: r["outcome"] for r in edits.outcome(*edits.cases(spark)).collect()}
+    assert outcome[1] == "applied" and outcome[2] == "overlap" and outcome[7] == outcome[8] == "applied" and outcome[12] == "applied"
+    texts = {(r["doc_id"], r["ord"]): r["text"] for r in edits.applied(*edits.cases(spark)).collect()}
+    assert texts == {(1, 0): "Un chat dort.", (2, 0): "Un mot, deux."}
+
+
+def test_html(spark):
+    from proofline.sources.html import Reader
+
+    page = "<h2>A <b>b</b></h2><p>x<br>y<sup>1</sup><ul><li>one<li>two</ul><table><tr><td>c&amp;d</td></tr></table><script>no</script><p>last"
+    assert Reader().read(page) == [("heading", 2, "A b"), ("paragraph", None, "x\ny"), ("list_item", None, "one"), ("list_item", None, "two"), ("table_cell", None, "c&d"), ("paragraph", None, "last")]
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    from proofline.sources import docx
+
+    ns = docx.W[1:-1]
+    p = lambda text, style="": f'<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    body = p("Titre", '<w:pStyle w:val="Heading2"/>') + p("Texte") + f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>" + p("point", "<w:numPr/>")
+    with zipfile.ZipFile(tmp_path / "good.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>')
+    with zipfile.ZipFile(tmp_path / "entity.docx", "w") as z:
+        z.writestr("word/document.xml", f'<!DOCTYPE x><w:document xmlns:w="{ns}"><w:body/></w:document>')
+    for name, data in {"old.doc": docx.OLE + b"x", "locked.docx": docx.OLE + b"x", "fake.docx": b"hello", "note.txt": b"hello"}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = docx.blocks(spark, str(tmp_path)).collect()
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rows if r["error"]}
+    assert errors == {"entity.docx": "CORRUPTED_FILE", "old.doc": "LEGACY_DOC_FORMAT", "locked.docx": "PASSWORD_PROTECTED", "fake.docx": "CORRUPTED_FILE", "note.txt": "UNSUPPORTED_FORMAT"}
+    good = sorted((r["ord"], r["kind"], r["level"], r["tbl"], r["row"], r["col"], r["text"]) for r in rows if not r["error"])
+    assert good == [(0, "heading", 2, None, None, None, "Titre"), (1, "paragraph", None, None, None, None, "Texte"), (2, "table_cell", None, 1, 1, 1, "a"), (3, "table_cell", None, 1, 1, 2, "b"), (4, "list_item", None, None, None, None, "point")]
