@@ -34,13 +34,15 @@ class Reader(HTMLParser):
         elif tag == "br" and self.open:
             self.open[-1][1].append("\n")
         elif tag in KINDS:
-            if self.open and (self.open[-1][0] == tag or tag == "li"):
+            while self.open and (self.open[-1][0] in (tag, "p") or KINDS[self.open[-1][0]] == "heading" or tag == "li"):
                 self.close_block()
             self.open.append((tag, []))
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "sup"):
             self.hidden = max(0, self.hidden - 1)
+        elif tag in ("ul", "ol") and self.open and self.open[-1][0] == "li":
+            self.close_block()
         elif tag in [t for t, _ in self.open]:
             while self.open[-1][0] != tag:
                 self.close_block()
