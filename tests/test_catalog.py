@@ -161,3 +161,17 @@ def test_docx(spark, tmp_path):
     assert errors == {"entity.docx": "CORRUPTED_FILE", "old.doc": "LEGACY_DOC_FORMAT", "locked.docx": "PASSWORD_PROTECTED", "fake.docx": "CORRUPTED_FILE", "note.txt": "UNSUPPORTED_FORMAT"}
     good = sorted((r["ord"], r["kind"], r["level"], r["tbl"], r["row"], r["col"], r["text"]) for r in rows if not r["error"])
     assert good == [(0, "heading", 2, None, None, None, "Titre"), (1, "paragraph", None, None, None, None, "Texte"), (2, "table_cell", None, 1, 1, 1, "a"), (3, "table_cell", None, 1, 1, 2, "b"), (4, "list_item", None, None, None, None, "point")]
+
+
+def test_grammar_findings(spark):
+    from proofline.operators import grammar
+
+    rows = {(r["doc_id"], r["ord"], r["start"]): (r["subtype"], r["suggestion"], r["confidence"], r["alternatives"]) for r in grammar.mapped(*grammar.tables(spark)).collect()}
+    assert rows == {
+        (1, 0, 4): ("gender_number", "serveurs", "high", 0),
+        (1, 0, 28): ("conjugation", "ont", "medium", 1),
+        (2, 0, 4): ("gender_number", "satisfaisant", "medium", 0),
+        (2, 0, 30): ("gender_number", "résultats", "high", 0),
+        (2, 0, 40): ("syntax", None, "low", 0),
+        (2, 0, 44): ("gender_number", "à", "medium", 0),
+    }
