@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofline import model
+from proofline.functions import scalar
 from proofline.functions.text import word_count
 from proofline.operators import decisions, edits, grammar, issues, language, lexicon, rules, serve, structure, words
 from proofline.plans import chunks, progress
@@ -15,7 +16,7 @@ from proofline.sources import html
 from proofline.sources import text as source
 from proofline.streaming import quota
 
-MODULES = [words, rules, structure, language, lexicon, grammar, issues, serve, edits, decisions, chunks, progress, quota]
+MODULES = [words, scalar, rules, structure, language, lexicon, grammar, issues, serve, edits, decisions, chunks, progress, quota]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
