@@ -5,7 +5,8 @@ Texts are far too many for one suffix array, so strings that can be equal are fi
 1. Every window of ``LENGTH`` bytes is represented by the least hash of the ``GRAM``-byte strings in it (winnowing). Equal windows
    have equal representatives, so a window whose representative occurs in one run of windows only has no equal and is left out.
    Representatives that a small sample shows to be very frequent are dealt out with a salt; they repeat for certain.
-2. Runs of windows with one representative are cut out as pieces. Equal pieces collapse into the earliest; all others repeat whole.
+2. Runs of windows with one representative are cut out as pieces. Equal pieces, and before them equal texts, collapse into the earliest; all
+   others repeat whole.
 3. The different pieces of a representative meet in one task. Tasks divide their pieces into shards, build each shard's
    Burrows-Wheeler transform, and merge the transforms by refining the interleave once per byte of depth: after step h it is in order
    of the first h bytes, and block borders mark where common prefixes of h bytes end. After ``LENGTH`` steps the blocks are the
@@ -29,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import documents, materialize, small_batches, text_or_empty
-from proofline.llm.wordhash import U64, _powers_of, mix, slices
+from proofline.llm.shared import discard, documents, materialize, small_batches, text_or_empty
+from proofline.llm.wordhash import U64, _powers_of, binary_column, mix, slices
 
 LENGTH = 100
 GRAM = 32
@@ -108,73 +109,83 @@ def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.nda
     return out
 
 
-def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text, runs) to (fp, d1, d2, doc_id, h, start, n, piece)."""
+def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, text, runs) to (fp, d1, d2, doc_id, h, start, n): every run with the digest of the bytes that its windows cover."""
     for batch in batches:
         runs = batch["runs"]
-        bounds = runs.offsets.to_numpy() - runs.offsets.to_numpy()[0]
-        flat = runs.flatten()
-        fps, places = flat.field("fp").to_numpy(), flat.field("place").to_numpy()
-        for k, (doc_id, h, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True)):
-            raw = text.encode()
-            place = places[bounds[k] : bounds[k + 1]]
-            start, n = place // 256, place % 256
-            fits = start + n - 1 + LENGTH <= len(raw)
-            start, n = start[fits], n[fits]
-            if not len(start):
-                continue
-            end = start + n - 1 + LENGTH
-            d1, d2 = digests(np.frombuffer(raw, np.uint8), start, end)
-            size = len(start)
+        bounds = runs.offsets.to_numpy().astype(np.int64)
+        fps, places = (runs.values.field(c).to_numpy() for c in ("fp", "place"))
+        for part in slices(batch["text"]):
+            own = slice(bounds[part.first], bounds[part.first + part.rows])
+            row = np.repeat(np.arange(part.rows), np.diff(bounds[part.first : part.first + part.rows + 1]))
+            start, n = places[own] // 256, places[own] % 256
+            begin = part.offsets[row] + start
+            end = begin + n - 1 + LENGTH
+            fits = end <= part.offsets[row + 1]
+            d1, d2 = digests(part.data, begin[fits], end[fits])
+            at = pa.array(row[fits] + part.first)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(fps[bounds[k] : bounds[k + 1]][fits]),
-                    pa.array(d1),
-                    pa.array(d2),
-                    pa.array(np.full(size, doc_id, np.int64)),
-                    pa.array(np.full(size, h, np.int64)),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()),
-                ],
-                names=["fp", "d1", "d2", "doc_id", "h", "start", "n", "piece"],
+                [pa.array(fps[own][fits]), pa.array(d1), pa.array(d2), batch["doc_id"].take(at), batch["h"].take(at), pa.array(start[fits].astype(np.int32)), pa.array(n[fits].astype(np.int32))],
+                names=["fp", "d1", "d2", "doc_id", "h", "start", "n"],
             )
 
 
-def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rotations in the order of their first ``LENGTH`` symbols at least, Burrows-Wheeler transform)."""
+def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, text, wanted) to (fp, variants, doc_id, h, start, n, piece)."""
+    for batch in batches:
+        wanted = batch["wanted"]
+        bounds = wanted.offsets.to_numpy().astype(np.int64)
+        own = wanted.values.slice(bounds[0], bounds[-1] - bounds[0])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        raws = [t.encode() for t in batch["text"].to_pylist()]
+        start, stop = own.field("start").to_numpy(), own.field("start").to_numpy() + own.field("n").to_numpy() - 1 + LENGTH
+        pieces = [raws[k][a:b] for k, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [own.field("fp"), own.field("variants"), batch["doc_id"].take(at), batch["h"].take(at), own.field("start"), own.field("n"), pa.array(pieces, pa.binary())],
+            names=["fp", "variants", "doc_id", "h", "start", "n", "piece"],
+        )
+
+
+def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotations in the order of their first ``LENGTH`` symbols at least, Burrows-Wheeler transform, row of each row's left neighbour)."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key * 257 + np.roll(symbols, -k)
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
         if depth >= LENGTH or fresh[-1] == n - 1:
-            return order, symbols[order - 1]
+            break
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         key = rank * (n + 1) + np.roll(rank, -depth)
         depth *= 2
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    return order, symbols[order - 1], row[order - 1]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge Burrows-Wheeler transforms by refining their interleave.
+def merge(transformed: np.ndarray, left: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge Burrows-Wheeler transforms by refining the interleave of their rows.
 
-    Gives, in merged order, the shard that each entry is from (its entries keep their own order), and the block of entries that agree
-    in their first ``depth`` symbols.
+    ``transformed`` and ``left`` hold the transforms of all shards and their steps to the left, one shard after another; ``rows`` are those
+    that are ``LENGTH`` steps to the right of what is asked for. Every step moves all rows one symbol to the left and puts them in order of it,
+    stably, so after step h they are in the order of their first h symbols; blocks hold rows that agree so far. A row alone in its block can't
+    agree with any other later on and leaves. Gives the rows that agree with others in ``LENGTH`` symbols, and their blocks.
     """
-    symbols = np.concatenate(transforms)
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) < 256 else np.uint16), [len(t) for t in transforms])
-    block = np.zeros(len(symbols), np.int32)
-    merged = np.empty_like(symbols)
-    for _ in range(depth):
-        merged[np.argsort(source, kind="stable")] = symbols
-        order = np.argsort(merged, kind="stable")
-        source, block, first = source[order], block[order], merged[order]
-        block = np.append(0, np.cumsum((block[1:] != block[:-1]) | (first[1:] != first[:-1]), dtype=np.int32))
-    return source, block
+    block = np.zeros(len(rows), np.int32)
+    for step in range(1, LENGTH + 1):
+        first = transformed[rows]
+        order = np.argsort(first, kind="stable")
+        rows, block, first = left[rows[order]], block[order], first[order]
+        block = np.append(0, np.cumsum((block[1:] != block[:-1]) | (first[1:] != first[:-1]), dtype=np.int32))[: len(rows)]
+        if step % 4 == 0:
+            some = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
+            rows, block = rows[some], block[some]
+    return rows, block
 
 
 def repeated_windows(pieces: list[bytes], doc_id: np.ndarray, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,25 +199,22 @@ def repeated_windows(pieces: list[bytes], doc_id: np.ndarray, h: np.ndarray, sta
             current, size = [], 0
     if current:
         shards.append(current)
-    transforms, places = [], []
+    transforms, lefts, owners, offsets, base = [], [], [], [], 0
     for shard in shards:
         # bytes of UTF-8 are at most F4, so every symbol fits in a byte beside the end mark 0
         symbols = np.frombuffer(b"\xff".join(pieces[k] for k in shard) + b"\xff", np.uint8) + np.uint8(1)
-        order, transformed = transform(symbols)
+        order, transformed, left = transform(symbols)
         lengths = np.array([len(pieces[k]) + 1 for k in shard])
-        ends = np.cumsum(lengths)
-        which = np.searchsorted(ends, order, "right")
-        offset = order - (ends - lengths)[which]
+        which = np.repeat(np.arange(len(shard)), lengths)[order]
+        offset = order - (np.cumsum(lengths) - lengths)[which]
         transforms.append(transformed)
-        places.append((np.array(shard)[which], offset, offset + LENGTH < lengths[which]))
-    source, block = merge(transforms, LENGTH)
-    back = np.argsort(source, kind="stable")
-    piece, offset, whole = (np.empty(len(source), t) for t in (np.int64, np.int64, bool))
-    for to, values in ((piece, 0), (offset, 1), (whole, 2)):
-        to[back] = np.concatenate([p[values] for p in places])
-    sizes = np.bincount(block)
-    some = np.flatnonzero(whole & (sizes[block] > 1))
-    piece, offset, block = piece[some], offset[some], block[some]
+        lefts.append(left + np.int32(base))
+        owners.append(np.array(shard, np.int32)[which])
+        offsets.append(offset.astype(np.int32))
+        base += len(symbols)
+    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+    rows, block = merge(np.concatenate(transforms), np.concatenate(lefts), np.flatnonzero(offset >= LENGTH))
+    piece, offset = owner[rows].astype(np.int64), offset[rows].astype(np.int64)
     order = np.lexsort((start[piece] + offset, h[piece], doc_id[piece], block))
     later = np.zeros(len(order), bool)
     later[1:] = block[order][1:] == block[order][:-1]
@@ -273,8 +281,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
 
 
-def spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(byte ranges to remove: doc_id, h, start, stop; the texts that have candidates: doc_id, h, text)."""
+def later_copies(texts: DataFrame) -> DataFrame:
+    """Whole texts that an earlier document has too: doc_id, h, n_bytes. They lose all their bytes, if there are ``LENGTH``."""
+    found = texts.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")).where(F.col("n_bytes") >= LENGTH)
+    first = found.groupBy("md5").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")).where("first <> last").select("md5", "first")
+    return found.join(first, "md5").where(F.struct("doc_id", "h") > F.col("first")).select("doc_id", "h", "n_bytes")
+
+
+def spans(texts: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(byte ranges to remove: doc_id, h, start, stop; the texts that they are of: doc_id, h, text), but for whole copies."""
     runs = lambda df: df.mapInArrow(fingerprints, "fp long, doc_id long, place long")
     share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
     drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -282,61 +297,74 @@ def spans(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = materialize(hot, "repeat-hot")  # at most the sample's runs by SAMPLE_HOT, whatever the input
     marked = runs(texts).join(F.broadcast(hot), "fp", "left")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(-1))
-    marked = marked.withColumn("salt", salt)
-    counted = marked.withColumn("n", F.count("*").over(Window.partitionBy("fp", "salt"))).where("n > 1 OR hot")
+    counted = marked.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("fp", "salt"))).where("n > 1 OR hot")
     per_doc = counted.groupBy("doc_id").agg(F.collect_set(F.struct("fp", "place")).alias("runs"))
-    candidates = materialize(texts.select("doc_id", F.xxhash64("text").alias("h"), "text").join(per_doc, "doc_id"), "repeat-candidates")
+    gone = copies.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))  # before the texts are joined, so they move once
+    per_doc = per_doc.join(gone, "doc_id", "left")
+    own = texts.select("doc_id", F.xxhash64("text").alias("h"), "text").join(per_doc, "doc_id")
+    own = own.where(~F.coalesce(F.array_contains("gone", F.col("h")), F.lit(False))).drop("gone")
+    candidates = materialize(own.dropDuplicates(["doc_id", "h"]), "repeat-candidates")
 
-    pieces = candidates.mapInArrow(cut_pieces, "fp long, d1 long, d2 long, doc_id long, h long, start int, n int, piece binary")
-    occurrences = pieces.select("fp", "d1", "d2", "doc_id", "h", "start", "n")
+    placed = materialize(candidates.mapInArrow(occurrences, "fp long, d1 long, d2 long, doc_id long, h long, start int, n int"), "repeat-places")
     keys = ["fp", "d1", "d2"]
-    whole = later_than_first(occurrences, keys).select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
-    place = F.min(F.struct("doc_id", "h", "start")).alias("p")
-    different = pieces.groupBy(*keys).agg(place, F.first("n").alias("n"), F.first("piece").alias("piece"))
-    different = materialize(different.select("fp", "p.*", "n", "piece"), "repeat-pieces")
+    whole = later_than_first(placed, keys).select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
+    different = placed.groupBy(*keys).agg(F.min(F.struct("doc_id", "h", "start")).alias("p"), F.first("n").alias("n")).select("fp", "p.*", "n")
+    different = materialize(different, "repeat-different")
     variants = materialize(different.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1"), "repeat-variants")
-    several = different.join(variants, "fp")
+    wanted = different.join(variants, "fp").groupBy("doc_id", "h").agg(F.collect_list(F.struct("fp", "variants", "start", "n")).alias("wanted"))
+    several = candidates.select("doc_id", "h", "text").join(wanted, ["doc_id", "h"]).mapInArrow(cut_pieces, "fp long, variants long, doc_id long, h long, start int, n int, piece binary")
+    several = materialize(several, "repeat-pieces")
     few = several.where(F.col("variants") <= MOST).select("fp", "doc_id", "h", "start", "piece")
     compared = few.repartition("fp").sortWithinPartitions("fp").mapInArrow(compare_groups, SPAN)
     many = several.where(F.col("variants") > MOST).select("doc_id", "h", "start", "n", "piece")
     windows = many.mapInArrow(single_windows, "d1 long, d2 long, doc_id long, h long, start int")
     windows = later_than_first(windows, ["d1", "d2"]).select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop"))
-    found = whole.unionByName(compared).unionByName(windows)
-    return materialize(found, "repeat-spans"), candidates
+    found = materialize(whole.unionByName(compared).unionByName(windows), "repeat-spans")
+    for df in (placed, different, variants, several):
+        discard(df)
+    return found, candidates
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h, text, spans) to (doc_id, h, n_removed, n_spans, kept)."""
     for batch in batches:
-        removed, count, kept = [], [], []
-        for text, own in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            raw, place, parts, n = text.encode(), 0, [], 0
-            merged: list[list[int]] = []
-            for s in own:
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["stop"])
-                else:
-                    merged.append([s["start"], s["stop"]])
-            for a, b in merged:
-                parts.append(raw[place:a])
-                place, n = b, n + b - a
-            removed.append(n)
-            count.append(len(merged))
-            kept.append(b"".join(parts) + raw[place:])
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "h", "n_removed", "n_spans", "kept"])
+        spans = batch["spans"]
+        bounds = spans.offsets.to_numpy().astype(np.int64)
+        starts, stops = (spans.values.field(c).to_numpy() for c in ("start", "stop"))
+        for part in slices(batch["text"]):
+            n, rows = len(part.data), slice(part.first, part.first + part.rows)
+            own = slice(bounds[part.first], bounds[part.first + part.rows])
+            base = part.offsets[np.repeat(np.arange(part.rows), np.diff(bounds[part.first : part.first + part.rows + 1]))]
+            edges = np.bincount(base + starts[own], minlength=n + 1) - np.bincount(base + stops[own], minlength=n + 1)
+            gone = np.cumsum(edges[:n]) > 0
+            opens = gone.copy()  # a removed run opens where the byte before stays or is another text's
+            opens[1:] &= ~gone[:-1]
+            inner = part.offsets[:-1][part.offsets[:-1] < n]
+            opens[inner] = gone[inner]
+            upto = lambda x: np.concatenate([[0], np.cumsum(x)])[part.offsets]
+            removed = np.diff(upto(gone))
+            left = part.offsets - upto(gone)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"][rows.start : rows.stop], batch["h"][rows.start : rows.stop], pa.array(removed.astype(np.int64)), pa.array(np.diff(upto(opens)).astype(np.int64)), binary_column(part.data[~gone], left)],
+                names=["doc_id", "h", "n_removed", "n_spans", "kept"],
+            )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """Documents that lose bytes: doc_id, h (hash of the text), n_removed, n_spans and ``kept`` (the bytes left)."""
-    found, candidates = spans(keyed(docs))
+    texts = keyed(docs)
+    copies = materialize(later_copies(texts), "repeat-copies")
+    found, candidates = spans(texts, copies)
     own = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-    rows = candidates.join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "spans")
-    return rows.mapInArrow(keep_rest, "doc_id long, h long, n_removed long, n_spans long, kept binary")
+    rows = candidates.select("doc_id", "h", "text").join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "spans")
+    parts = rows.mapInArrow(keep_rest, "doc_id long, h long, n_removed long, n_spans long, kept binary")
+    copies = copies.dropDuplicates(["doc_id", "h"])
+    return parts.unionByName(copies.select("doc_id", "h", F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept")))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    lost = dedup(docs).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["doc_id", "h"])
+    lost = dedup(docs).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     base = keyed(docs).select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     out = base.join(lost, ["doc_id", "h"], "left")
     return out.select(
