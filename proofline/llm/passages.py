@@ -1,13 +1,14 @@
 """Operator 7, substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Two kinds of paragraph are compared; both are stretches of one line and carry their byte range in the text.
+Two kinds of paragraph are compared; both carry their byte range in the text.
 
 * Lines of ``MIN_WORDS`` words or more. Their five-word shingles go through MinHash banding, tuned for high recall; lines that
   collide are verified by exact Jaccard similarity, and linked lines are clustered by connected components.
-* Segments of such lines, for passages inside other text. A line is cut where a word pair's hash is the least within ``RADIUS`` words.
-  The cuts depend on nearby words only, so a passage is cut alike wherever it stands. A segment has so few shingles
-  that similar means equal: segments collide on 128-bit digests, which is their exact check, and
-  consecutive repeated segments count if they make up ``MIN_WORDS`` words.
+* Segments of the whole text, short lines included, for passages inside other text. The sequence of words is cut, whatever lines they stand
+  on, where a word pair's hash is the least within ``RADIUS`` words; equal hashes are all cut at, which cuts repetitive stretches once a
+  period. The cuts depend on nearby words only, so a passage is cut alike wherever it stands and however its lines are broken.
+  A segment has so few shingles that similar means equal: segments collide on 128-bit digests, which is their exact check, and
+  consecutive repeated segments count if they make up ``MIN_WORDS`` words. The words between a passage's edge and its first or last cut stay.
 
 Of each cluster the first paragraph (smallest doc_id, then place) stays and the others are removed.
 
@@ -103,52 +104,71 @@ def line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key_column(own, lines.row, lines.left - part.offsets[lines.row]), pa.array(texts, pa.string())], names=["key", "text"])
 
 
+def low_pairs(pair: np.ndarray, radius: int) -> np.ndarray:
+    """Whether no pair within ``radius`` words is less. Equal ones all count, so repetitive stretches are cut once a period."""
+    low = np.ones(len(pair), bool)
+    for d in range(1, radius + 1):
+        low[d:] &= pair[d:] <= pair[:-d]
+        low[:-d] &= pair[:-d] <= pair[d:]
+    return low
+
+
 def cuts(words: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) -> np.ndarray:
-    """Word places, in order, where a line starts or a word pair's hash is the least within ``radius`` words."""
+    """Word places, in order, where a text starts or a word pair's hash is the least within ``radius`` words.
+
+    Stretches of more than ``4 * radius`` words without such a place are also cut where a pair is the least within half the radius.
+    """
     n = len(words)
     with np.errstate(over="ignore"):
         pair = mix(words * U64(0x9E3779B97F4A7C15) + np.append(words[1:], U64(0)))
-    low = np.ones(n, bool)
-    for d in range(1, radius + 1):
-        low[d:] &= pair[d:] < pair[:-d]
-        low[:-d] &= pair[:-d] <= pair[d:]
-    edge = np.zeros(n + 1, np.int32)  # words too near to a line's end, or outside long lines, are no cuts
-    np.add.at(edge, first + radius + 1, 1)
-    np.add.at(edge, last - radius, -1)
-    low &= np.cumsum(edge[:n]) > 0
-    low[first] = True
-    return np.flatnonzero(low)
+    inside = np.zeros(n + 1, np.int32)  # words too near to a text's edge, or outside the texts, are no cuts
+    np.add.at(inside, first + radius, 1)
+    np.add.at(inside, last - radius - 1, -1)
+    inside = np.cumsum(inside[:n]) > 0
+    cut = low_pairs(pair, radius) & inside
+    cut[first] = True
+    at = np.flatnonzero(cut)
+    wide = np.append(at[1:], n) - at > 4 * radius
+    here = np.cumsum(cut) - 1
+    cut |= low_pairs(pair, radius // 2) & inside & wide[np.maximum(here, 0)] & (here >= 0)
+    return np.flatnonzero(cut)
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for own, part, words, lines in rows_of(batch):
-            if not len(lines.first):
+        for part in slices(batch["text"]):
+            own, words = batch.slice(part.first, part.rows), Words(part)
+            rows = np.flatnonzero(np.diff(words.bounds) >= MIN_WORDS)
+            if not len(rows):
                 continue
-            begin = cuts(words.hash, lines.first, lines.last, RADIUS)
-            line = np.searchsorted(lines.first, begin, "right") - 1
-            opens = begin == lines.first[line]
-            closes = np.append(opens[1:], True)
-            end = np.where(closes, lines.last[line], np.append(begin[1:], 0))
-            left = np.where(opens, lines.left[line], words.start[begin])
-            right = np.where(closes, lines.right[line], np.append(left[1:], 0))
+            first, last = words.bounds[rows].astype(np.int64), words.bounds[rows + 1].astype(np.int64)
+            begin = cuts(words.hash, first, last, RADIUS)
+            text = np.searchsorted(first, begin, "right") - 1
+            row = rows[text]
+            closes = np.append(text[1:] != text[:-1], True)
+            end = np.where(closes, last[text], np.append(begin[1:], 0))
+            breaks = np.flatnonzero(part.data == 10)
+            line_left, line_right = np.append(0, breaks + 1), np.append(breaks, len(part.data))
+            line = np.searchsorted(breaks, words.start)
+            opens_line = (begin == first[text]) | (line[begin] != line[begin - 1])  # what stands before a line's first word, or behind its last, goes with it
+            left = np.where(opens_line, np.maximum(line_left[line[begin]], part.offsets[row]), words.start[begin])
+            closes_line = closes | (line[np.minimum(end, len(line) - 1)] != line[end - 1])
+            right = np.where(closes_line, np.minimum(line_right[line[end - 1]], part.offsets[row + 1]), words.start[np.minimum(end, len(line) - 1)])
             up, down = _powers_of(len(words.hash) + 1)
             digests = []
             with np.errstate(over="ignore"):
                 for salt in (U64(0), U64(0xA0761D6478BD642F)):
                     total = np.append(U64(0), np.cumsum(mix(words.hash ^ salt) * up[: len(words.hash)]))
                     digests.append(mix((total[end] - total[begin]) * down[begin]).astype(np.int64))
-            row = lines.row[line]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.array(d) for d in digests),
                     key_column(own, row, left - part.offsets[row]),
                     pa.array((right - left).astype(np.int32)),
-                    pa.array((lines.left - part.offsets[lines.row])[line].astype(np.int32)),
-                    pa.array((begin - lines.first[line]).astype(np.int32)),
+                    pa.array((begin - first[text]).astype(np.int32)),
                     pa.array((end - begin).astype(np.int32)),
                 ],
-                names=["d1", "d2", "key", "n_bytes", "line", "word", "n_words"],
+                names=["d1", "d2", "key", "n_bytes", "word", "n_words"],
             )
 
 
@@ -182,14 +202,14 @@ def repeated_lines(texts: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def repeated_segments(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    found = texts.mapInArrow(segments, f"d1 long, d2 long, key {KEY}, n_bytes int, line int, word int, n_words int")
+    found = texts.mapInArrow(segments, f"d1 long, d2 long, key {KEY}, n_bytes int, word int, n_words int")
     seen = found.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("d1", "d2", "first")
     seen = materialize(seen, "segment-seen")
     matches = materialize(found.join(seen, ["d1", "d2"]).drop("d1", "d2"), "segment-matches").distinct()
-    line = Window.partitionBy("key.doc_id", "key.h", "line").orderBy("word")
-    fresh = F.coalesce((F.lag(F.col("word") + F.col("n_words")).over(line) != F.col("word")).cast("int"), F.lit(1))
-    matches = matches.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(line))
-    run = Window.partitionBy("key.doc_id", "key.h", "line", "run")
+    text = Window.partitionBy("key.doc_id", "key.h").orderBy("word")
+    fresh = F.coalesce((F.lag(F.col("word") + F.col("n_words")).over(text) != F.col("word")).cast("int"), F.lit(1))
+    matches = matches.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(text))
+    run = Window.partitionBy("key.doc_id", "key.h", "run")
     matches = matches.withColumn("long", F.sum("n_words").over(run)).where(F.col("long") >= least)
     return result(matches, "segment")
 
@@ -201,7 +221,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace text by what is left without its ``spans`` (byte ranges, in order); lines left without a word go too."""
+    """Replace text by what is left without its ``spans`` (byte ranges, in order, over any number of lines); lines left blank go too."""
     for batch in batches:
         texts = []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
@@ -209,7 +229,9 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw, place, kept = text.encode(), 0, []
                 for span in spans:
                     kept.append(raw[place : max(place, span["start"])])
-                    place = max(place, span["start"] + span["n_bytes"])
+                    after = max(place, span["start"] + span["n_bytes"])
+                    kept.append(b"\n" * raw.count(b"\n", max(place, span["start"]), after))  # lines stay apart, and are matched with the old ones below
+                    place = after
                 before, after = text.split("\n"), (b"".join(kept) + raw[place:]).decode().split("\n")
                 text = "\n".join(a.strip() if a != b else a for a, b in zip(after, before, strict=True) if a.strip() or not b.strip())
             texts.append(text)

@@ -250,6 +250,41 @@ def test_passages(spark):
         assert len(left[k].split()) <= len(texts[k].split()) - 30
 
 
+def test_passages_over_lines(spark):
+    """Every run of 50 words shared with an earlier text, by brute force, loses at least MIN_WORDS words, and no word outside the passages goes."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(9999))
+    lines = lambda ws, n: "\n".join("- " + " ".join(ws[i : i + n]) + "." for i in range(0, len(ws), n))
+    short, long, again = [word() for _ in range(60)], [word() for _ in range(90)], (["ba7", "ce8", "di9"] * 40)[:100]
+    texts = []
+    for n in (3, 6, 11, 19, 45):  # the same passages, their lines broken at other words
+        texts.append("\n".join([lines([word() for _ in range(47)], 6), lines(short, n), " ".join(word() for _ in range(31)), "\n", lines([*(word() for _ in range(n)), *long], n), " ".join([*(word() for _ in range(n)), *again, word()])]))
+    texts.append(lines([word() for _ in range(300)], 5))
+    docs = table(spark, texts)
+    found = passages.repeats(docs)
+    left = {r["doc_id"]: r["text"] for r in passages.remove(docs, found).collect()}
+    assert left[5] == texts[5]
+    words = [re.findall(r"\w+", t) for t in texts]
+    gone = {d: np.zeros(len(w), bool) for d, w in enumerate(words)}
+    for r in found.where("removed").collect():
+        starts = [len(texts[r["doc_id"]][: m.start()].encode()) for m in re.finditer(r"\w+", texts[r["doc_id"]])]
+        gone[r["doc_id"]] |= np.array([r["start"] <= s < r["start"] + r["n_bytes"] for s in starts])
+    runs = 0
+    for d, own in enumerate(words):
+        far = {tuple(w[i : i + 50]) for w in words[:d] for i in range(len(w) - 49)}
+        hit = np.zeros(len(own) + 2, bool)
+        for i in range(len(own) - 49):
+            hit[i + 1 : i + 51] |= tuple(own[i : i + 50]) in far
+        edges = np.flatnonzero(np.diff(hit.astype(int)))
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            runs += 1
+            assert gone[d][a:b].sum() >= passages.MIN_WORDS
+        kept = re.findall(r"\w+", left[d])
+        assert kept == [w for w, g in zip(own, gone[d], strict=True) if not g]
+        assert all(w in short + long + again for w, g in zip(own, gone[d], strict=True) if g)
+    assert runs == 12
+
+
 def test_quality_and_pipeline_columns(spark, corpus):
     docs = table(spark, corpus)
     rows = {r["doc_id"]: r for r in quality.score(docs).collect()}
