@@ -1,6 +1,7 @@
 r"""Operator 10, license scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. The join finds every block whose distinct words hold at least ``CONTAINMENT`` of a template's
+A block is a line, or a stretch of words over consecutive lines (lines without a word left out), so that a wrapped notice is found:
+of n words in a template, at most n - 2 are on the lines between, and at most n - 1 of the first and of the last line count. The join finds every block whose distinct words hold at least ``CONTAINMENT`` of a template's
 distinct words. Template words are ordered by how many documents hold them, rarest first; a match must hold one of
 the first ``m - need + 1`` words of a template (prefix filter), enough words of any template (length filter) and leave
 room for the rest behind that word (positional filter). Only then are the sets compared.
@@ -50,6 +51,11 @@ def template_tokens() -> list[tuple[str, list[str]]]:
     return [(label, sorted(set(re.findall(WORD, text.lower())))) for label, text in TEMPLATES]
 
 
+def template_sizes() -> list[int]:
+    """The words of each template, repeated ones too."""
+    return [len(re.findall(WORD, text.lower())) for _, text in TEMPLATES]
+
+
 def need_of(m: int, containment: float = CONTAINMENT) -> int:
     """The least overlap with a template of m words, in whole words."""
     return next(k for k in range(1, m + 1) if k >= containment * m)
@@ -94,20 +100,40 @@ def template_index(vocabulary: list[str]) -> list[tuple[str, int, int, list[str]
     return rows
 
 
+def blocks_of(docs: DataFrame, prefix: Column, keys: list[str]) -> DataFrame:
+    """The lines near a prefix word, and the stretches over lines that begin there: keys, head, inner, tail and whether it is a stretch."""
+    longest = max(template_sizes())
+    lines = F.transform(F.split("text", "\n"), lambda x: F.split(F.trim(normal(x)), " +"))
+    docs = docs.select(*keys, F.filter(lines, lambda w: F.get(w, F.lit(0)) != "").alias("lines"))
+    near = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.arrays_overlap(F.flatten(F.slice("lines", i, F.lit(longest))), prefix))
+    ahead = docs.select(*keys, F.explode(F.transform(near, lambda i: F.slice("lines", i, F.lit(longest)))).alias("ahead"))
+    ahead = ahead.select(*keys, "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n_lines"))
+    over = F.col("n_lines") > 1
+    return ahead.select(
+        *keys,
+        F.get("ahead", F.lit(0)).alias("head"),
+        F.flatten(F.slice("ahead", F.lit(2), F.greatest(F.col("n_lines") - 2, F.lit(0)))).alias("inner"),
+        F.when(over, F.get("ahead", F.col("n_lines") - 1)).otherwise(F.array().cast("array<string>")).alias("tail"),
+        over.alias("over"),
+    ).where(F.size("inner") <= longest - 2)
+
+
 def containment_join(blocks: DataFrame, vocabulary: list[str], keys: list[str]) -> DataFrame:
     """Every (block, template) at or over the threshold: keys, label, containment.
 
-    ``blocks`` has the keys and ``line``.
+    ``blocks`` has the keys and the columns of ``blocks_of``.
     """
     spark = blocks.sparkSession
-    rows = template_index(vocabulary)
-    index = spark.createDataFrame(rows, "token string, p int, need int, tokens array<string>, label string, template int")
+    rows = [(*r, template_sizes()[r[-1]]) for r in template_index(vocabulary)]
+    index = spark.createDataFrame(rows, "token string, p int, need int, tokens array<string>, label string, template int, n int")
     prefix = strings(sorted({r[0] for r in rows}))
-    known = blocks.select(*keys, F.array_intersect(strings(vocabulary), distinct_words(normal(F.col("line")))).alias("known")).where(F.arrays_overlap("known", prefix))
-    candidates = known.select(*keys, "known", F.posexplode("known").alias("q", "token")).join(F.broadcast(index), "token")
-    m, size = F.size("tokens"), F.size("known")
-    fits = (size >= F.col("need")) & (1 + F.least(m - F.col("p") - 1, size - F.col("q") - 1) >= F.col("need"))
-    overlap = F.size(F.array_intersect("known", "tokens"))
+    known = blocks.select("*", F.array_intersect(strings(vocabulary), F.concat("head", "inner", "tail")).alias("known")).where(F.arrays_overlap("known", prefix))
+    candidates = known.select("*", F.posexplode("known").alias("q", "token")).join(F.broadcast(index), "token")
+    m, size, n = F.size("tokens"), F.size("known"), F.col("n")
+    fits = (size >= F.col("need")) & (1 + F.least(m - F.col("p") - 1, size - F.col("q") - 1) >= F.col("need")) & (F.size("inner") <= n - 2)
+    head = F.slice("head", F.greatest(F.size("head") - n + 2, F.lit(1)), n - 1)
+    words = F.when(F.col("over"), F.concat(head, F.col("inner"), F.slice("tail", F.lit(1), n - 1))).otherwise(F.col("head"))
+    overlap = F.size(F.array_intersect("tokens", words))
     return candidates.where(fits).where(overlap >= F.col("need")).select(*keys, "label", (overlap / m).alias("containment"))
 
 
@@ -117,8 +143,8 @@ def scan(docs: DataFrame) -> DataFrame:
     vocabulary = ranked_vocabulary(base)
     prefix = strings(sorted({r[0] for r in template_index(vocabulary)}))
     key = [F.col("doc_id"), F.xxhash64("text").alias("k1"), F.crc32(F.encode("text", "utf-8")).alias("k2")]
-    lines = base.where(F.arrays_overlap(distinct_words(F.col("norm")), prefix)).select(*key, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    hits = containment_join(lines, vocabulary, ["doc_id", "k1", "k2"])
+    near = base.where(F.arrays_overlap(distinct_words(F.col("norm")), prefix)).select(*key, "text")
+    hits = containment_join(blocks_of(near, prefix, ["doc_id", "k1", "k2"]), vocabulary, ["doc_id", "k1", "k2"])
     found = hits.groupBy("doc_id", "k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "hit_id")
 
     places, firsts, lasts, names = [], [], [], []

@@ -312,6 +312,17 @@ def test_license(spark):
     assert got == {0: (6, 2, 1, 3, "apache,mit", "apache,mit"), 1: (1, 0, None, None, "", ""), 2: (0, 0, None, None, "", ""), 3: (14, 0, None, None, "", "cc-by-sa"), 4: (4, 2, 0, 2, "mit", "mit")}
 
 
+def test_license_over_lines(spark):
+    import textwrap
+
+    wrapped = [f"Notes of 2020.\n\n * {' '.join(textwrap.wrap(text, 72)[:1])}\n * " + "\n *\n * ".join(textwrap.wrap(text, 72)[1:] + ["The end."]) for _, text in license.TEMPLATES]
+    apart = "Licensed under a contract\nof many words that stand between the two lines and belong to neither of them at all\nGNU General Public works, version 3. This is"
+    rows = {r["doc_id"]: r for r in license.scan(table(spark, [*wrapped, apart])).collect()}
+    for i, (label, _) in enumerate(license.TEMPLATES):
+        assert label in rows[i]["labels"].split(",") and rows[i]["score"] == 1.0
+    assert rows[len(wrapped)]["labels"] == ""
+
+
 def test_pipeline(spark):
     """The stages against brute force over the small table."""
     import corpus_pipeline
