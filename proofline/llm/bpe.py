@@ -2,13 +2,16 @@
 
 A text is cut into chunks that overlap. Every chunk is split into pre-tokens on its own, wherever its
 executor is. A chunk may begin inside a pre-token, so its first boundaries can be wrong; the pattern never looks
-back, so from the first place where two neighbours agree on a boundary they agree on all later ones. There the chunks
-are stitched: the text between two such places is a piece, pieces are encoded independently, and a document's ids are its
-pieces' ids in order. If neighbours agree nowhere in their overlap (a single pre-token of more than the
-overlap), the chunks are joined and split again from the last sure boundary, so results are exact for every text.
+back, so from the first place where a chunk agrees with its left neighbour's sure boundaries it is right too. There the chunks
+are stitched. The text between two such places is a piece; pieces are encoded independently, and a document's ids are its
+pieces' ids in order. The pattern looks ahead only behind white space, so a piece ends at a boundary behind any other character, and
+every pre-token of it is split off and encoded as in the whole text.
 
-A text of at most one chunk is a piece by itself and never shuffled; only longer texts are cut, dealt out chunk by
-chunk and gathered again.
+If neighbours agree nowhere in their overlap (a pre-token, or white space, of more than the overlap), chunks are joined, twice as many each
+time, and split again from the last sure boundary: exact for every text, and linear in its length.
+
+All texts take this way. Chunks of a text that has one only are stitched in the task that read it; those of longer texts are
+dealt out chunk by chunk and gathered again.
 
 Defined results: a null text counts as empty and has no ids. Repeated rows each get their own, equal result. Rows
 with a null doc_id are encoded like others. Extra columns are ignored. An empty table gives an empty result.
@@ -31,6 +34,10 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: A contraction is decided by three characters, so a boundary is sure only if they were seen.
 SEEN = 3
+#: The last character up to which the libraries that split here and there agree on letters, digits and white space.
+SETTLED = "\uffff"
+#: White space of so many characters is split off here, as the library's own splitter would recurse over it.
+LONG_SPACE = 50_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -94,26 +101,41 @@ def pretokenize(pattern: str):
     return run
 
 
+def sure_cut(text: str, starts: np.ndarray, base: int) -> np.ndarray:
+    """Those of the boundaries ``starts`` (places in the document; ``text`` begins at ``base``) where a piece can end.
+
+    They stand behind no white space, and near no character whose class may depend on a library's Unicode version.
+    """
+    near = lambda p: text[max(0, p - base - SEEN - 1) : p - base + 1]
+    return np.array([p for p in starts.tolist() if p > base and not text[p - base - 1].isspace() and max(near(p)) <= SETTLED], np.int64)
+
+
 def pieces_of(chunks: list[tuple[str, bool, np.ndarray]], size: int, pattern: str) -> Iterator[str]:
-    """Stitch the chunks of one text, in order, into pieces that end at pre-token boundaries."""
-    text, last, starts = chunks[0]
-    base, begun = 0, 0  # where ``text`` starts in the document; from where it is not yet in a piece
-    starts = starts.astype(np.int64)
-    for i, (chunk, is_last, own) in enumerate(chunks[1:], 1):
+    """Stitch the chunks of one text, in order, into pieces that end at pre-token boundaries behind no white space."""
+    text, _, starts = chunks[0]
+    base, starts = 0, starts.astype(np.int64)  # where ``text`` starts in the document, always at a piece's start; its sure boundaries
+    i, n_joined = 1, 1
+    while i < len(chunks):
+        chunk, _, own = chunks[i]
         at = i * size
         own = own.astype(np.int64) + at
-        common = np.intersect1d(starts, own, assume_unique=True)
-        if len(common):
-            place = int(common[0])
-            if place > begun:
-                yield text[begun - base : place - base]
-            text, base, begun, starts = chunk, at, place, own[own >= place]
-        else:
-            text = text[begun - base :] + chunk[base + len(text) - at :]
-            base = begun
-            starts = starts_of(text, pattern, is_last) + base
-    if len(text) > begun - base:
-        yield text[begun - base :]
+        common = np.intersect1d(starts[starts >= at], own, assume_unique=True)
+        common = common[: np.searchsorted(common, base + len(text))]
+        cut = sure_cut(text, common, base)
+        if len(cut):
+            place = int(cut[0])
+            yield text[: place - base]
+            text, base, starts, n_joined = chunk[place - at :], place, own[own >= place], 1
+            i += 1
+            continue
+        ahead = chunks[i : i + n_joined]  # no agreement: split again over twice as many chunks
+        for k, (more, last, _) in enumerate(ahead, i):
+            text += more[base + len(text) - k * size :]
+        i += len(ahead)
+        n_joined *= 2
+        starts = starts_of(text, pattern, last) + base
+    if text:
+        yield text
 
 
 def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -147,6 +169,18 @@ def stitch(size: int, pattern: str):
     return run
 
 
+def ids_of(enc, text: str) -> np.ndarray:
+    """The ids of a text, or of a piece of one."""
+    out, place = [], 0
+    if len(text) > LONG_SPACE:
+        for m in splitter(r"\s{%d,}" % LONG_SPACE).finditer(text):
+            inner = m.end() if m.end() == len(text) else m.end() - 1  # the last one goes with what follows it
+            out += [enc.encode_to_numpy(text[place : m.start()], disallowed_special=()), np.array(enc._encode_single_piece(text[m.start() : inner].encode()))]
+            place = inner
+    out.append(enc.encode_to_numpy(text[place:], disallowed_special=()))
+    return np.concatenate(out).astype(np.int32)
+
+
 def ids_column(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
@@ -160,7 +194,7 @@ def encode_column(path: str, pattern: str, column: str):
         enc = encoder(path, pattern)
         for batch in batches:
             keep = [n for n in batch.schema.names if n != column]
-            ids = ids_column([enc.encode_to_numpy(t, disallowed_special=()) for t in batch[column].to_pylist()])
+            ids = ids_column([ids_of(enc, t) for t in batch[column].to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), ids], names=[*keep, "ids"])
 
     return run
@@ -174,22 +208,38 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), ids_column([ids])], names=["doc_id", "ids"])
 
 
+def encode_local(path: str, pattern: str):
+    """(doc_id, text) of one chunk each to (doc_id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for batch in batches:
+            parts = []
+            for text in batch["text"].to_pylist():
+                # without a neighbour no boundary is asked for, so the only chunk is the only piece
+                pieces = pieces_of([(text, True, np.zeros(0, np.int64))], max(1, len(text)), pattern)
+                parts.append(np.concatenate([np.zeros(0, np.int32), *(ids_of(enc, p) for p in pieces)]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids_column(parts)], names=["doc_id", "ids"])
+
+    return run
+
+
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ``ids`` (array of int) of every row; ``chunk`` and ``overlap`` are in code points."""
     path, split = default_ranks()
     path, split = ranks_path or path, pattern or split
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    short = F.length("text") <= chunk + overlap
-    whole = docs.where(short).mapInArrow(encode_column(path, split, "text"), "doc_id long, ids array<int>")
+    one = F.length("text") <= chunk + overlap
+    local = docs.where(one).mapInArrow(encode_local(path, split), "doc_id long, ids array<int>")
     key = "doc_id long, same string, "
-    chunks = docs.where(~short).mapInArrow(cut(chunk, overlap), key + "i int, last boolean, chunk string")
+    chunks = docs.where(~one).mapInArrow(cut(chunk, overlap), key + "i int, last boolean, chunk string")
     split_up = chunks.repartition("doc_id", "same", "i").mapInArrow(pretokenize(split), key + "i int, last boolean, chunk string, starts binary")
     in_order = split_up.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "i")
     pieces = in_order.mapInArrow(stitch(chunk, split), key + "k int, piece string")
     encoded = pieces.repartition("doc_id", "same", "k").mapInArrow(encode_column(path, split, "piece"), key + "k int, ids array<int>")
     joined = encoded.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(gather, "doc_id long, ids array<int>")
-    return whole.unionByName(joined)
+    return local.unionByName(joined)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:

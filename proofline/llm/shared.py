@@ -13,12 +13,14 @@ DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/proofline"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) a default is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine may do without; on a cluster a missing
+    setting is an error, as executors can't see each other's folders.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"file://{DEFAULT_CHECKPOINT_DIR}"
 
 
@@ -57,12 +59,25 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand Python at most so many rows at once, so a batch of long texts fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Hand Python at most so many rows and bytes at once, so a batch of long texts fits in a worker.
+
+    Only limits above these are lowered. They stay lowered in the session, as Spark reads them when the caller runs the result.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(name, None)
+        size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(have) if have else 0
+        if not 0 < size <= most:
+            spark.conf.set(name, str(most))
+
+
+def drawn(key: Column, share: float) -> Column:
+    """Whether a row belongs to a sample of about ``share`` of all, decided by a hash of ``key``; exact for any share above 2**-62."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftright(F.xxhash64(key, F.lit("drawn")), 1) + F.lit(1 << 62) < F.lit(int(share * (1 << 63)))
 
 
-def spread(spark: SparkSession, df: DataFrame, per_core: int = 1) -> DataFrame:
-    """Deal rows out evenly when a small table comes in fewer partitions than there are cores."""
-    n = spark.sparkContext.defaultParallelism * per_core
-    return df.repartition(n)
+def nested(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct column ``row`` beside ``columns``, so no name of theirs can clash; ``row.*`` is the way back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
