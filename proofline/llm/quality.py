@@ -5,18 +5,19 @@ too much of its text, or that fails the document-level base rules, is rejected.
 the table, every row on its own.
 
 Defined results: a null text counts as empty, an empty text has no words and fails the base
-rules. Repeated rows each get their own, equal result. Extra columns of the input are kept; columns named
-like a result are replaced.
+rules. Repeated rows each get their own, equal result, rows with a null doc_id too. Extra columns of the input are kept; ``score`` replaces
+columns named like a result, ``clean`` keeps them all. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import documents, text_or_empty
+from proofline.llm.shared import documents, nested, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -31,8 +32,13 @@ NAVIGATION = r"[|»›·]"
 MIN_NAVIGATION = 3
 BOILERPLATE = (
     r"(?i)(?:\bcookies?\b.*\b(?:accept|consent|policy|settings)\b|\b(?:accept|use) (?:all )?cookies\b|\bprivacy policy\b|\bterms of (?:use|service)\b"
-    r"|\ball rights reserved\b|\b(?:enable|requires?) javascript\b|\blorem ipsum\b|\b(?:click|tap) here\b|\bsubscribe (?:now|to our)\b|\bsign (?:in|up) to\b|\bshare (?:on|this)\b)"
+    r"|\ball rights reserved\b|\b(?:enable|requires?) javascript\b|\blorem ipsum\b|\b(?:click|tap) here\b|\bsubscribe (?:now|to our)\b|\bsign (?:in|up) to\b|\bshare (?:on|this)\b"
+    r"|\balle rechte vorbehalten\b|\bcookies? (?:akzeptieren|aceptar|accepter)\b|\b(?:akzeptieren|aceptar|acepte|accepter|acceptez) (?:sie )?(?:alle |todas las |tous les |las |les )?cookies\b|\bhier klicken\b|\bnewsletter abonnieren\b|\bjavascript aktivieren\b"
+    r"|\btodos los derechos reservados\b|\bderechos reservados\b|\bhaga clic\b|\bde privacidad\b|\baviso legal\b|\btous droits r.serv|\bde confidentialit|\bmentions l.gales\b|\bcliquez ici\b|\babonnez-vous\b)"
 )
+#: In small letters; every match of ``BOILERPLATE`` holds one, so texts without any are not searched.
+SEEDS = ["cookie", "privacy policy", "terms of ", "rights reserved", "javascript", "lorem ipsum", "click here", "tap here", "subscribe ", "sign in to", "sign up to", "share on", "share this"]
+SEEDS += ["rechte vorbehalten", "hier klicken", "newsletter abonnieren", "derechos reservados", "haga clic", "de privacidad", "aviso legal", "tous droits r", "de confidentialit", "mentions l", "cliquez ici", "abonnez-vous"]
 #: A word that ends in a run of marks (three symbols, or two exclamation or question marks).
 NOISE_MARKS = r"[#*$%&<>]{3,}|[!?]{2,}"
 #: Sentence ends, with closing quotes or brackets after them.
@@ -56,100 +62,103 @@ def words_of(text: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """How many words stand in three-word windows that the text holds twice or more.
 
-    Windows are hashed, sorted with their places and compared with their neighbours, so the cost is
-    n log n in the words of one text.
+    Hashes of the windows, sorted with their places, show which windows may be repeated; those are then sorted and compared
+    by their words. The cost is n log n in the words of one text.
     """
+    number = lambda n: F.lit(n).cast("long")
 
     def covered(places: Column) -> Column:
-        start = F.struct(F.lit(-3).cast("long").alias("prev"), F.lit(0).cast("long").alias("total"))
-        return F.aggregate(
-            F.array_sort(places),
-            start,
-            lambda a, p: F.struct(p.alias("prev"), (a["total"] + F.least(F.lit(3).cast("long"), p - a["prev"])).alias("total")),
-            lambda a: a["total"],
-        )
-
-    def repeated(keys: Column) -> Column:
-        def packed(bits: int) -> Column:
-            mask = (1 << bits) - 1
-            joined = F.transform(keys, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))
-            head = lambda x: F.shiftright(x, bits)
-            near = lambda s: F.filter(s, lambda x, i: (head(x) == head(F.get(s, i - 1))) | (head(x) == head(F.get(s, i + 1))))
-            return let(F.array_sort(joined), lambda s: covered(F.transform(near(s), lambda x: x.bitwiseAND(F.lit(mask)))))
-
-        def paired() -> Column:
-            joined = F.transform(keys, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))
-            near = lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-            return let(F.array_sort(joined), lambda s: covered(F.transform(near(s), lambda x: x["i"])))
-
-        # Up to 65,536 words the place fits beside 48 bits of hash in one long, which sorts faster.
-        return (
-            F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0).cast("long"))
-            .when(F.size(keys) <= 1 << 16, packed(16))
-            .otherwise(paired())
-        )
+        start = F.struct(number(-3).alias("prev"), number(0).alias("total"))
+        return F.aggregate(F.array_sort(places), start, lambda a, p: F.struct(p.alias("prev"), (a["total"] + F.least(number(3), p - a["prev"])).alias("total")), lambda a: a["total"])
+
+    def exact(w: Column, places: Column) -> Column:
+        spelled = F.transform(places, lambda i: F.struct(F.array_join(F.slice(w, (i + 1).cast("int"), F.lit(3)), " ").alias("window"), i.alias("i")))
+        near = lambda s: F.filter(s, lambda x, i: (x["window"] == F.get(s, i - 1)["window"]) | (x["window"] == F.get(s, i + 1)["window"]))
+        return let(F.array_sort(spelled), lambda s: covered(F.transform(near(s), lambda x: x["i"])))
+
+    def likely(keys: Column) -> Column:
+        """Places of windows whose hash occurs again, and perhaps some more."""
+        bits = F.ceil(F.log2(F.size(keys).cast("double"))).cast("int")  # a place fits beside the other bits of the hash in one long, which sorts fast
+
+        def masked(mask: Column) -> Column:
+            joined = F.transform(keys, lambda h, i: h.bitwiseAND(mask).bitwiseOR(i.cast("long")))
+            same = lambda x, y: x.bitwiseAND(mask) == y.bitwiseAND(mask)
+            near = lambda s: F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+            return let(F.array_sort(joined), lambda s: F.transform(near(s), lambda x: x.bitwiseAND(F.bitwise_not(mask))))
+
+        return let(F.call_function("shiftleft", number(-1), bits), masked)
+
+    def repeated(w: Column, keys: Column) -> Column:
+        none = F.size(F.array_distinct(keys)) == F.size(keys)
+        return F.when(none, number(0)).otherwise(let(likely(keys), lambda p: exact(w, p)))
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(windows(w), repeated)))
+    return let(words, lambda w: F.when(F.size(w) < 4, number(0)).otherwise(let(windows(w), lambda k: repeated(w, k))))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, boilerplate, marks, one word over and over, or a bare fragment."""
+def line_fails(line: Column, words: Column, seeded: Column) -> Column:
+    """Whether a line is navigation, boilerplate, marks, one word over and over, or a bare fragment; ``seeded`` tells if its text holds a seed."""
+    n = F.size(words)
+    return (
+        (F.regexp_count(line, F.lit(NAVIGATION)) >= MIN_NAVIGATION)
+        | (seeded & line.rlike(BOILERPLATE))
+        | (F.regexp_count(line, F.lit(NOISE_MARKS)) > n * F.lit(MAX_NOISE_PER_WORD))
+        | ((n >= MIN_LONG_LINE) & (F.size(F.array_distinct(words)) < n * F.lit(MIN_DISTINCT_SHARE)))
+        | (~line.rlike(TERMINAL) & (n <= MAX_UNPUNCTUATED))
+    )
 
-    def judged(words: Column) -> Column:
-        n = F.size(words)
-        return (
-            (F.regexp_count(line, F.lit(NAVIGATION)) >= MIN_NAVIGATION)
-            | line.rlike(BOILERPLATE)
-            | (F.regexp_count(line, F.lit(NOISE_MARKS)) > n * F.lit(MAX_NOISE_PER_WORD))
-            | ((n >= MIN_LONG_LINE) & (F.size(F.array_distinct(words)) < n * F.lit(MIN_DISTINCT_SHARE)))
-            | (~line.rlike(TERMINAL) & (n <= MAX_UNPUNCTUATED))
-        )
 
-    return let(words_of(line), judged)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "kept_words", "base_failed", "kept"]
+
+
+def judged(docs: DataFrame, text: str) -> DataFrame:
+    """``row`` (the input row), ``n_lines``, ``n_kept`` lines and the columns of ``COUNTS``."""
+    size = lambda c: F.size(c).cast("long")
+    out = nested(docs, text_or_empty(text).alias("t"))
+
+    def line(x: Column, seeded: Column) -> Column:
+        return let(words_of(x), lambda w: F.struct(x.alias("line"), w.alias("words"), ((F.size(w) > 0) & line_fails(x, w, seeded)).alias("fails")))
+
+    # bound here, as the optimizer would otherwise work it out again for every line
+    seeded = let(F.lower("t"), lambda low: reduce(Column.__or__, [F.contains(low, F.lit(seed)) for seed in SEEDS]))
+    every = let(seeded, lambda some: F.transform(F.split("t", "\n"), lambda x: line(x, some)))
+    lines = F.filter(every, lambda x: F.size(x["words"]) > 0)
+    out = out.withColumn("lines", lines).withColumn("good", F.filter("lines", lambda x: ~x["fails"]))
+    words, names = F.flatten(F.transform("lines", lambda x: x["words"])), F.transform("lines", lambda x: x["line"])
+    out = out.withColumn("words", words)
+    out = out.select(
+        "row",
+        F.size("lines").alias("n_lines"),
+        F.size("good").alias("n_kept"),
+        size("words").alias("n_words"),
+        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (size("lines") - size(F.array_distinct(names))).alias("n_dup_lines"),
+        repeat_words(F.col("words")).alias("n_repeat_words"),
+        F.array_join(F.transform("good", lambda x: x["line"]), "\n").alias("clean_text"),
+        F.aggregate("good", F.lit(0).cast("long"), lambda a, x: a + F.size(x["words"])).alias("kept_words"),
+    )
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= F.lit(MIN_KEPT_SHARE) * F.col("n_words")))
 
 
 def score(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts, ``clean_text``, ``kept_words``, ``base_failed`` and ``kept``."""
-    t = text_or_empty(text)
-    size = lambda c: F.size(c).cast("long")
-    results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "kept_words", "base_failed", "kept"]
-    out = docs.drop(*[c for c in results if c != text and c in docs.columns])
-    out = out.withColumns({
-        "__words": words_of(t),
-        "__lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    good = F.filter("__lines", lambda x: ~line_fails(x))
-    out = out.withColumns({
-        "n_words": size("__words"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": size("__lines") - size(F.array_distinct("__lines")),
-        "n_repeat_words": repeat_words(F.col("__words")),
-        "clean_text": F.array_join(good, "\n"),
-    })
-    out = out.withColumns({
-        "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "kept_words": size(words_of(F.col("clean_text"))),
-    })
-    verdict = ~F.col("base_failed") & (F.col("kept_words") >= F.lit(MIN_KEPT_SHARE) * F.col("n_words"))
-    return out.withColumn("kept", verdict).drop("__words", "__lines")
+    return judged(docs, text).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in COUNTS or c == text], *[c for c in COUNTS if c != text])
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that stay, with failing lines removed; same columns as ``docs``.
 
-    A text that loses no line stays as it is, byte for byte.
+    A text that loses no line stays as it is, byte for byte. ``n_chars``, if it is a column, is counted again where lines were removed.
     """
-    scored = score(docs.withColumn("__in", F.col(text)), text).where("kept")
-    lines = F.size(F.filter(F.split("__in", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    lost = F.size(F.split("clean_text", "\n")) < lines
-    scored = scored.withColumn(text, F.when(lost, F.col("clean_text")).otherwise(F.col("__in")))
+    stay, lost = judged(docs, text).where("kept"), F.col("n_kept") < F.col("n_lines")
+    new = {text: F.when(lost, F.col("clean_text")).otherwise(F.col(f"row.`{text}`"))}
     if "n_chars" in docs.columns:
-        scored = scored.withColumn("n_chars", F.when(lost, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return scored.select(docs.columns)
+        new["n_chars"] = F.when(lost, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return stay.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words"]
