@@ -11,8 +11,10 @@
 The sets are computed again for the candidates only, instead of storing the sets of all documents.
 
 Defined results: a null or wordless text has an empty set, no links and a class of its own. A text of fewer than five words
-has one shingle of all its words. Rows with a null doc_id are left out of the result of ``classes``. Repeated rows (equal doc_id) are
-members of the same or of different classes like any others. Extra columns are ignored; an empty table gives an empty result.
+has one shingle of all its words. A null doc_id takes part like any other and comes last in order, so a class is named by null only if it
+has no other id. Rows that share a doc_id are members of the same or of different classes by their texts. ``keep_one`` keeps one row of every
+class: that of the smallest doc_id, then of the smallest hash of the text; of rows equal in both it keeps one, whatever their other columns.
+Extra columns are ignored, or kept by ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from proofline.llm.graph import components
 from proofline.llm.minhash import band_hashes, bands_for
-from proofline.llm.shared import discard, documents, materialize, small_batches, text_or_empty
+from proofline.llm.shared import discard, documents, materialize, nested, small_batches, text_or_empty
 from proofline.llm.wordhash import Words, binary_column, row_shingles, slices
 
 SHINGLE = 5
@@ -37,6 +39,8 @@ ROWS = 4
 #: A bucket of at most so many members gives its pairs; a larger one is compared in blocks of about BLOCK members.
 SMALL = 24
 BLOCK = 256
+#: Stands for a null doc_id, behind all others.
+LAST_ID = (1 << 63) - 1
 
 
 def distinct_sets(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +61,7 @@ def unique_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.
 
 
 def signer(k: int, bands: int, rows: int):
-    """(doc_id, text) to (doc_id, digest of the set, size, band hashes)."""
+    """(key, text) to (key, digest of the set, size, band hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,8 +71,8 @@ def signer(k: int, bands: int, rows: int):
                 hashes = band_hashes(values, bounds, bands, rows).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), hashes.ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, n), pa.array(digests, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), lists],
-                    names=["doc_id", "digest", "size", "bands"],
+                    [batch["key"].slice(first, n), pa.array(digests, pa.binary()), pa.array(np.diff(bounds).astype(np.int32)), lists],
+                    names=["key", "digest", "size", "bands"],
                 )
 
     return run
@@ -154,12 +158,6 @@ def roots_of(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
         left, right = new_left, new_right
 
 
-def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest, size and bands of every row."""
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(signer(k, bands, rows), "doc_id long, digest binary, size int, bands array<long>")
-
-
 def near_links(reps: DataFrame, texts: DataFrame, k: int, threshold: float, name: str) -> tuple[DataFrame, DataFrame]:
     """Links between representatives: (id, links) summed, and edges (a, b) that connect what is linked.
 
@@ -225,39 +223,53 @@ def near_links(reps: DataFrame, texts: DataFrame, k: int, threshold: float, name
     return counts.groupBy("id").agg(F.sum("links").alias("links")), edges
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, class_id (smallest id of its group), set_id (smallest id with an equal set), n_links.
+def key_of() -> Column:
+    """What tells documents apart: the id, and a hash of the text for rows that share it."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"))
 
-    ``n_links`` counts the other documents whose set has a Jaccard similarity of at least ``threshold`` with its own, copies included.
-    """
+
+def members(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """Per row of ``docs``: key, first (the class's smallest key), same (the smallest key with an equal set), n_links."""
     bands = bands_for(threshold, recall, rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id IS NOT NULL")
-    signed = signatures(texts, k, bands, rows)
+    small_batches(docs.sparkSession)
+    texts = docs.select(key_of().alias("key"), text_or_empty().alias("text"))
+    signed = texts.mapInArrow(signer(k, bands, rows), "key struct<doc_id:bigint,h:bigint>, digest binary, size int, bands array<long>")
     # the class of a set; wordless documents have one each
-    signed = materialize(signed.withColumn("own", F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.lit(-1).cast("long"))), "join-signed")
-    same = signed.groupBy("digest", "own").agg(F.min("doc_id").alias("key"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    signed = materialize(signed.withColumn("own", F.when(F.col("size") == 0, F.col("key")).otherwise(F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h")))), "join-signed")
+    same = signed.groupBy("digest", "own").agg(F.min("key").alias("key"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = materialize(same.withColumn("id", F.monotonically_increasing_id()), "join-reps")
-    links, edges = near_links(reps, texts.withColumnRenamed("doc_id", "key"), k, threshold, "join")
+    links, edges = near_links(reps, texts, k, threshold, "join")
     roots = components(edges, "join-roots")
     found = reps.select("digest", "own", "key", "members", "size", "id").join(links, "id", "left").join(roots, "id", "left")
     found = materialize(found.withColumn("root", F.coalesce("root", "id")), "join-found")
-    named = found.groupBy("root").agg(F.min("key").alias("class_id"))
+    discard(reps)
+    named = found.groupBy("root").agg(F.min("key").alias("first"))
     per_class = found.join(named, "root").select(
         "digest",
         "own",
-        F.col("key").alias("set_id"),
-        "class_id",
+        F.col("key").alias("same"),
+        "first",
         (F.coalesce("links", F.lit(0)) + F.when(F.col("size") > 0, F.col("members") - 1).otherwise(F.lit(0))).cast("long").alias("n_links"),
     )
     per_class = materialize(per_class, "join-classes")
-    return signed.select("doc_id", "digest", "own").join(per_class, ["digest", "own"]).select("doc_id", "class_id", "set_id", "n_links")
+    discard(found)
+    return signed.select("key", "digest", "own").join(per_class, ["digest", "own"]).select("key", "first", "same", "n_links")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, class_id (smallest id of its group), set_id (smallest id with an equal set), n_links.
+
+    ``n_links`` counts the other documents whose set has a Jaccard similarity of at least ``threshold`` with its own, copies included.
+    """
+    shown = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    found = members(docs, **options)
+    return found.select(shown("key.doc_id").alias("doc_id"), shown("first.doc_id").alias("class_id"), shown("same.doc_id").alias("set_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The first document of every group, with the columns of ``docs``; rows with a null doc_id stay."""
-    first = classes(docs, **options).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One row of every group, with the columns of ``docs``."""
+    first = members(docs, **options).where("key = first").select("key").distinct()
+    return nested(docs, key_of().alias("key")).join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

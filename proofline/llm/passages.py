@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from proofline.llm.graph import components
 from proofline.llm.minhash import band_hashes, bands_for
 from proofline.llm.ngram_join import digest_of, distinct_sets, near_links
-from proofline.llm.shared import documents, materialize, small_batches, text_or_empty
+from proofline.llm.shared import discard, documents, materialize, nested, small_batches, text_or_empty
 from proofline.llm.wordhash import U64, Slice, Words, _powers_of, mix, row_shingles, slices
 
 SHINGLE = 5
@@ -60,10 +60,10 @@ class Lines:
         self.right = np.minimum(right, part.offsets[self.row + 1])
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Slice, Words, Lines]]:
+def rows_of(batch: pa.RecordBatch, least: int) -> Iterator[tuple[pa.RecordBatch, Slice, Words, Lines]]:
     for part in slices(batch["text"]):
         words = Words(part)
-        yield batch.slice(part.first, part.rows), part, words, Lines(part, words, MIN_WORDS)
+        yield batch.slice(part.first, part.rows), part, words, Lines(part, words, least)
 
 
 def key_column(rows: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -71,10 +71,10 @@ def key_column(rows: pa.RecordBatch, row: np.ndarray, start: np.ndarray) -> pa.A
     return pa.StructArray.from_arrays([rows["doc_id"].take(at), rows["h"].take(at), pa.array(start.astype(np.int32))], names=["doc_id", "h", "start"])
 
 
-def sign_lines(bands: int, rows: int):
+def sign_lines(bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, part, words, lines in rows_of(batch):
+            for own, part, words, lines in rows_of(batch, least):
                 inside = np.concatenate([np.arange(a, b) for a, b in zip(lines.first, lines.last, strict=True)]) if len(lines.first) else np.zeros(0, np.int64)
                 counts = SimpleNamespace(hash=words.hash[inside], bounds=np.concatenate([[0], np.cumsum(lines.last - lines.first)]))
                 values, bounds = distinct_sets(*row_shingles(counts, SHINGLE))
@@ -96,12 +96,15 @@ def sign_lines(bands: int, rows: int):
     return run
 
 
-def line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for own, part, _, lines in rows_of(batch):
-            raw = part.data.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(lines.left, lines.right, strict=True)]
-            yield pa.RecordBatch.from_arrays([key_column(own, lines.row, lines.left - part.offsets[lines.row]), pa.array(texts, pa.string())], names=["key", "text"])
+def line_texts(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, part, _, lines in rows_of(batch, least):
+                raw = part.data.tobytes()
+                texts = [raw[a:b].decode() for a, b in zip(lines.left, lines.right, strict=True)]
+                yield pa.RecordBatch.from_arrays([key_column(own, lines.row, lines.left - part.offsets[lines.row]), pa.array(texts, pa.string())], names=["key", "text"])
+
+    return run
 
 
 def low_pairs(pair: np.ndarray, radius: int) -> np.ndarray:
@@ -134,42 +137,45 @@ def cuts(words: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int) ->
     return np.flatnonzero(cut)
 
 
-def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch["text"]):
-            own, words = batch.slice(part.first, part.rows), Words(part)
-            rows = np.flatnonzero(np.diff(words.bounds) >= MIN_WORDS)
-            if not len(rows):
-                continue
-            first, last = words.bounds[rows].astype(np.int64), words.bounds[rows + 1].astype(np.int64)
-            begin = cuts(words.hash, first, last, RADIUS)
-            text = np.searchsorted(first, begin, "right") - 1
-            row = rows[text]
-            closes = np.append(text[1:] != text[:-1], True)
-            end = np.where(closes, last[text], np.append(begin[1:], 0))
-            breaks = np.flatnonzero(part.data == 10)
-            line_left, line_right = np.append(0, breaks + 1), np.append(breaks, len(part.data))
-            line = np.searchsorted(breaks, words.start)
-            opens_line = (begin == first[text]) | (line[begin] != line[begin - 1])  # what stands before a line's first word, or behind its last, goes with it
-            left = np.where(opens_line, np.maximum(line_left[line[begin]], part.offsets[row]), words.start[begin])
-            closes_line = closes | (line[np.minimum(end, len(line) - 1)] != line[end - 1])
-            right = np.where(closes_line, np.minimum(line_right[line[end - 1]], part.offsets[row + 1]), words.start[np.minimum(end, len(line) - 1)])
-            up, down = _powers_of(len(words.hash) + 1)
-            digests = []
-            with np.errstate(over="ignore"):
-                for salt in (U64(0), U64(0xA0761D6478BD642F)):
-                    total = np.append(U64(0), np.cumsum(mix(words.hash ^ salt) * up[: len(words.hash)]))
-                    digests.append(mix((total[end] - total[begin]) * down[begin]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(d) for d in digests),
-                    key_column(own, row, left - part.offsets[row]),
-                    pa.array((right - left).astype(np.int32)),
-                    pa.array((begin - first[text]).astype(np.int32)),
-                    pa.array((end - begin).astype(np.int32)),
-                ],
-                names=["d1", "d2", "key", "n_bytes", "word", "n_words"],
-            )
+def segments(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch["text"]):
+                own, words = batch.slice(part.first, part.rows), Words(part)
+                rows = np.flatnonzero(np.diff(words.bounds) >= least)
+                if not len(rows):
+                    continue
+                first, last = words.bounds[rows].astype(np.int64), words.bounds[rows + 1].astype(np.int64)
+                begin = cuts(words.hash, first, last, RADIUS)
+                text = np.searchsorted(first, begin, "right") - 1
+                row = rows[text]
+                closes = np.append(text[1:] != text[:-1], True)
+                end = np.where(closes, last[text], np.append(begin[1:], 0))
+                breaks = np.flatnonzero(part.data == 10)
+                line_left, line_right = np.append(0, breaks + 1), np.append(breaks, len(part.data))
+                line = np.searchsorted(breaks, words.start)
+                opens_line = (begin == first[text]) | (line[begin] != line[begin - 1])  # what stands before a line's first word, or behind its last, goes with it
+                left = np.where(opens_line, np.maximum(line_left[line[begin]], part.offsets[row]), words.start[begin])
+                closes_line = closes | (line[np.minimum(end, len(line) - 1)] != line[end - 1])
+                right = np.where(closes_line, np.minimum(line_right[line[end - 1]], part.offsets[row + 1]), words.start[np.minimum(end, len(line) - 1)])
+                up, down = _powers_of(len(words.hash) + 1)
+                digests = []
+                with np.errstate(over="ignore"):
+                    for salt in (U64(0), U64(0xA0761D6478BD642F)):
+                        total = np.append(U64(0), np.cumsum(mix(words.hash ^ salt) * up[: len(words.hash)]))
+                        digests.append(mix((total[end] - total[begin]) * down[begin]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(d) for d in digests),
+                        key_column(own, row, left - part.offsets[row]),
+                        pa.array((right - left).astype(np.int32)),
+                        pa.array((begin - first[text]).astype(np.int32)),
+                        pa.array((end - begin).astype(np.int32)),
+                    ],
+                    names=["d1", "d2", "key", "n_bytes", "word", "n_words"],
+                )
+
+    return run
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -186,23 +192,24 @@ def result(members: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def repeated_lines(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def repeated_lines(texts: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     bands = bands_for(threshold, recall, rows)
-    signed = texts.mapInArrow(sign_lines(bands, rows), f"key {KEY}, n_bytes int, n_words int, digest binary, size int, bands array<long>").where("size > 0")
+    signed = texts.mapInArrow(sign_lines(bands, rows, least), f"key {KEY}, n_bytes int, n_words int, digest binary, size int, bands array<long>").where("size > 0")
     same = signed.groupBy("digest").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = materialize(same.withColumn("id", F.monotonically_increasing_id()), "line-reps")
-    _, edges = near_links(reps, texts.mapInArrow(line_texts, f"key {KEY}, text string"), SHINGLE, threshold, "line")
+    _, edges = near_links(reps, texts.mapInArrow(line_texts(least), f"key {KEY}, text string"), SHINGLE, threshold, "line")
     roots = components(edges, "line-roots")
     found = materialize(reps.select("digest", "key", "last", "id").join(roots, "id", "left").where("root IS NOT NULL OR key <> last"), "line-found")
     found = found.withColumn("root", F.coalesce("root", "id"))
     clusters = found.groupBy("root").agg(F.min("key").alias("first"))
     named = materialize(found.join(clusters, "root").select("digest", "first"), "line-clusters")
-    places = texts.mapInArrow(sign_lines(1, 1), f"key {KEY}, n_bytes int, n_words int, digest binary, size int, bands array<long>")
+    discard(reps)
+    places = texts.mapInArrow(sign_lines(1, 1, least), f"key {KEY}, n_bytes int, n_words int, digest binary, size int, bands array<long>")
     return result(places.select("key", "n_bytes", "n_words", "digest").join(named, "digest").distinct(), "line")
 
 
 def repeated_segments(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    found = texts.mapInArrow(segments, f"d1 long, d2 long, key {KEY}, n_bytes int, word int, n_words int")
+    found = texts.mapInArrow(segments(least), f"d1 long, d2 long, key {KEY}, n_bytes int, word int, n_words int")
     seen = found.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("d1", "d2", "first")
     seen = materialize(seen, "segment-seen")
     matches = materialize(found.join(seen, ["d1", "d2"]).drop("d1", "d2"), "segment-matches").distinct()
@@ -214,10 +221,14 @@ def repeated_segments(texts: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return result(matches, "segment")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Every paragraph of a cluster of two or more: its place, its cluster's first paragraph, and whether it is to be removed."""
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every paragraph of a cluster of two or more: its place, its cluster's first paragraph, and whether it is to be removed.
+
+    ``min_words`` is the least length of a paragraph. Repeated lines and stretches of fewer words are left alone on purpose, as they are
+    mostly phrases of the language; 1 compares every line and every segment.
+    """
     texts = hashed(docs)
-    return repeated_lines(texts).unionByName(repeated_segments(texts))
+    return repeated_lines(texts, min_words).unionByName(repeated_segments(texts, min_words))
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +251,19 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the removed paragraphs; documents that lose all their words go. Same columns as ``docs``."""
-    gone = found.where("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "n_bytes"))).alias("spans")).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    keyed = docs.withColumn("__text_h", F.xxhash64(text_or_empty()))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_h") == F.col("__h")), "left").drop("__id", "__h", "__text_h")
-    hit = joined.where("spans IS NOT NULL")
-    kept = docs.schema.fields
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    cleaned = hit.select(*[F.col(f"`{f.name}`") for f in kept], "spans").mapInArrow(cut_out, schema).where(F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return joined.where("spans IS NULL").select(docs.columns).unionByName(cleaned.select(docs.columns))
+    """``docs`` without the removed paragraphs; documents that lose all their words go. Same columns as ``docs``.
+
+    ``n_chars``, if it is a column, is counted again where text was removed.
+    """
+    gone = found.where("removed").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "n_bytes"))).alias("spans"))
+    keyed = nested(docs, F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_or_empty()).alias("own_h"))
+    joined = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")), "left").select("row", "spans")
+    text = F.col("row.text").alias("text")
+    row = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + ">"
+    cleaned = joined.where("spans IS NOT NULL").select("row", text, "spans").mapInArrow(cut_out, f"row {row}, text string").where(F.col("text").rlike(r"\S"))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    cleaned = cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return joined.where("spans IS NULL").select("row.*").unionByName(cleaned)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
