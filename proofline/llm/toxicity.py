@@ -1,23 +1,26 @@
 """Operator 3, toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding lower-cases a text, writes homoglyphs (letters of other scripts, full-width forms) as the Latin letters they look like, reads digits
-and signs inside words as the letters they stand for, and puts one space for everything that is no letter. The lexicon holds
+Folding lower-cases a text, drops accents and characters of no width, writes homoglyphs (letters of other scripts, full-width and styled
+forms) as the Latin letters they look like, reads digits and signs inside words as the letters they stand for, and puts one space for everything
+that is no letter. As ``1``, ``!`` and ``|`` may stand for i or l, these two become one letter, in the lexicon too. The lexicon holds
 words and word beginnings (so inflected forms count), each weighted by the log-odds of toxic against other training
 documents. Its matches are found by one Aho-Corasick automaton; a word counts once, with its heaviest entry. Words inside an
 exception phrase don't count. The sum is divided by the number of words, and a logistic curve fitted on the training documents turns
 it into a score from 0 to 1.
 
 Training uses a bounded sample: about ``TRAIN_DOCS`` labelled documents, drawn by a hash of doc_id, none of them held out.
-The lexicon is bounded by ``MAX_ENTRIES`` and so is everything that is collected or sent to the executors.
+Entries are features of ``MIN_DOCS`` (and one in ``MIN_SHARE``) of the sample's toxic documents at least, so the lexicon, all that is collected or
+sent to executors, is bounded by the sample.
 
 Defined results: a null or empty text has no words and no matches, and gets the curve's value there. Labels that are null, or whose
-document is missing, are not used. Without any toxic training document every score is 0. Repeated rows each get their own, equal result;
+document is missing, are not used; of several labels of a doc_id the largest counts. Without any toxic training document every score is 0. Repeated rows each get their own, equal result;
 rows with a null doc_id are never held out. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,35 +29,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import documents, materialize, small_batches, text_or_empty
+from proofline.llm.shared import discard, documents, drawn, materialize, small_batches, text_or_empty
 
 TRAIN_DOCS = 20_000
-MAX_ENTRIES = 2_000
 MIN_WEIGHT = 3.0
 MIN_DOCS = 4
+MIN_SHARE = 200
 PREFIXES = range(4, 9)
 FLUSH = 400_000
 THRESHOLD = 0.3
 
 # Letters of other scripts and the Latin letters that they look like.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнαοερτυικνχ", "aeopcyxijsdhlkmtbhaoeptuikvx", strict=True))
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмтвнԛԝүգոսցαοερτυικνχγωηßøłđıɑɡɩʀ", "aeopcyxijsdhlkmtbhqwyqnuqaoeptuikvxywnsoldiagir", strict=True))
 # Digits and signs that stand for letters inside words.
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 # Harmless phrases that contain words of abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "white trash bag", "sore loser rule")
-SIGNS = re.compile(r"(?<=[^\W_])[@$](?=[^\W_])")
+SIGNS = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
+#: Characters of no width, which split words unseen.
+UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 NUMBERS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 
+def folded_char(c: str) -> str:
+    plain = HOMOGLYPHS.get(c, SUBSTITUTES.get(c, c) if c.isdigit() else c)
+    if plain == c and ord(c) > 127:
+        return "".join(folded_char(p) for p in unicodedata.normalize("NFKD", c).lower() if p != c and not unicodedata.combining(p)) or (c if c.isalpha() else "" if unicodedata.combining(c) else " ")
+    return ("i" if plain == "l" else plain) if plain.isalpha() else " "
+
+
 class Folds(dict):
-    """Code point to its folded character, filled as characters are met."""
+    """Code point to its folded characters, filled as characters are met."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code)
-        if 0xFF21 <= code <= 0xFF5A:
-            c = chr(code - 0xFEE0).lower()
-        c = HOMOGLYPHS.get(c, SUBSTITUTES.get(c, c) if c.isdigit() else c)
-        self[code] = c if c.isalpha() else " "
+        self[code] = folded_char(chr(code))
         return self[code]
 
 
@@ -64,7 +72,9 @@ FOLDS = Folds()
 def fold(text: str) -> str:
     """The folded text, with one space at either end; words are what stands between spaces."""
     low = text.lower()
-    if "@" in low or "$" in low:
+    if not low.isascii():
+        low = UNSEEN.sub("", low)
+    if any(c in low for c in "@$!|"):
         low = SIGNS.sub(lambda m: SUBSTITUTES[m[0]], low)
     return " " + NUMBERS.sub(" ", low).translate(FOLDS) + " "
 
@@ -119,7 +129,8 @@ class Matcher:
         for entry, w in lexicon.items():
             self.automaton.add_word(entry, (len(entry.rstrip()), len(entry), w))
         for phrase in exceptions:
-            self.automaton.add_word(f" {phrase} ", (0, len(phrase) + 2, 0.0))
+            phrase = fold(phrase)
+            self.automaton.add_word(phrase, (0, len(phrase), 0.0))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -189,10 +200,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, train_docs: int = TRAIN_DOCS) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
-    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, train_docs / max(1, usable.count()))
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    some = usable.where(drawn(F.col("doc_id"), share))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic")
     sample = materialize(texts, "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
@@ -200,9 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPT
         return Model({}, None, exceptions)
     counts = sample.mapInArrow(count_features, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (positives + 1)) - F.log((F.col("neg") + 0.5) / (negatives + 1))
-    strong = counts.where((F.col("pos") >= max(MIN_DOCS, positives // 200)) & (odds >= MIN_WEIGHT)).orderBy(F.desc("pos"), "feature").limit(MAX_ENTRIES)
+    strong = counts.where((F.col("pos") >= max(MIN_DOCS, positives // MIN_SHARE)) & (odds >= MIN_WEIGHT))
     lexicon = choose([tuple(r) for r in strong.collect()], positives, negatives)
     measured = sample.mapInArrow(strength(lexicon, exceptions, ["toxic"]), "toxic int, x double, n_matches long").select("toxic", "x").toPandas()
+    discard(sample)
     return Model(lexicon, fit_curve(measured["x"].to_numpy(float), measured["toxic"].to_numpy(float)), exceptions)
 
 
