@@ -8,8 +8,8 @@ Escaping touches only conflicting content: between a ``<`` and a ``|`` with noth
 backslashes between them it puts one more backslash, so ``<|`` never stands in a text and
 the way back takes one backslash out again. In roles, line breaks are escaped too.
 A conversation is first rendered without escapes (level 0). A deterministic parser reads the result back, and
-only where the recovered turns differ from the source is it rendered again with escapes (level 1), which always reads back.
-The level stands in the conversation's header ``<|chat0|>`` or ``<|chat1|>``.
+only where the recovered turns differ from the source is it rendered again with escapes (level 1). That is read back and compared
+too; a conversation that still differed would be an error, never output. The level stands in the conversation's header ``<|chat0|>`` or ``<|chat1|>``.
 
 Rendering works on single turns before the shuffle; a conversation is then one concatenation. Its turns
 must fit in a row, since the formatted conversation is one value.
@@ -97,7 +97,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     safe = F.array_join(F.transform("source", lambda t: t["safe"]), "")
     pairs = lambda c: F.transform(c, lambda t: F.struct(t["role"], t["text"]))
     tried = grouped.select("conv_id", "source", plain.alias("plain"), safe.alias("safe")).withColumn("back", parse(F.col("plain"), 0))
-    level = F.when(pairs("back").eqNullSafe(pairs("source")), 0).otherwise(1)
+    again = pairs(parse(F.col("safe"), 1)).eqNullSafe(pairs("source"))
+    level = F.when(pairs("back").eqNullSafe(pairs("source")), 0).when(again, 1).otherwise(F.raise_error(F.lit("a conversation does not read back")).cast("int"))
     out = tried.withColumn("level", level).select(
         "conv_id",
         "level",
@@ -126,7 +127,7 @@ def read_back(formatted: Column) -> Column:
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, i, r, t) for i, (r, t) in enumerate(PROBE)], "conv_id bigint, turn bigint, role string, text string")
-    chats = format_chats(turns.unionByName(probe))
+    chats = format_chats(turns).unionByName(format_chats(probe))  # apart, so a conversation of the table numbered -1 stays itself
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return chats.select(
