@@ -2,47 +2,64 @@
 
 Texts are far too many for one suffix array, so strings that can be equal are first brought together:
 
-1. Every window of ``LENGTH`` bytes is represented by the least hash of the ``GRAM``-byte strings in it (winnowing). Equal windows
-   have equal representatives, so a window whose representative occurs in one run of windows only has no equal and is left out.
-   Representatives that a small sample shows to be very frequent are dealt out with a salt; they repeat for certain.
-2. Runs of windows with one representative are cut out as pieces. Equal pieces, and before them equal texts, collapse into the earliest; all
-   others repeat whole.
-3. The different pieces of a representative meet in one task. Tasks divide their pieces into shards, build each shard's
-   Burrows-Wheeler transform, and merge the transforms by refining the interleave once per byte of depth: after step h it is in order
-   of the first h bytes, and block borders mark where common prefixes of h bytes end. After ``LENGTH`` steps the blocks are the
-   repeated intervals; suffixes of different shards are never sorted together. In each interval the earliest window stays.
-4. A representative with more than ``MOST`` different pieces (a short line that very many texts contain, each time in another
-   context) would be a hot group: its windows are dealt out one by one, by the digest of the whole window.
-
-Order is by doc_id, then place; a null doc_id comes first. Everything is exact.
-
-Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing. Repeated rows (equal doc_id and text) count as one document
-and each get its result. Rows that share a doc_id but not the text are ordered by a hash of the text. Extra columns are
-ignored. An empty table gives an empty result.
+1. Every window of ``LENGTH`` bytes is represented by the least hash of the strings of ``GRAMS[0]`` bytes in it (winnowing). Equal windows
+   have equal representatives; consecutive windows with one representative are a run. A representative that occurs once has no equal and is left out.
+   Those that a small sample shows to be very frequent are counted with a salt; they repeat for certain.
+2. Texts that hold repeated representatives are dealt out by ranges of (least representative, doc_id), so texts that share much stand together and
+   a large group of copies is spread over as many tasks as it needs. A task takes about ``Sizes.batch`` bytes at a time, divides them into shards,
+   builds each shard's Burrows-Wheeler transform, and merges the transforms by refining the interleave: every step puts rows in order of one more
+   symbol to the left, and block borders mark where common prefixes end. Rows of whole runs are refined by the run's length, which tells
+   equal runs; of the different ones that are left, rows of single windows are refined ``LENGTH`` times. Blocks that remain are the repeated
+   intervals; suffixes of different shards are never sorted together. In each interval the earliest stays.
+3. Runs that are left over and whose representative is also left over elsewhere are cut out as pieces, meet by representative, and are merged alike.
+   A representative of more than ``Sizes.group`` pieces is dealt out in groups of about that size. What a group leaves over is represented
+   anew by a longer string (the next of ``GRAMS``) within its windows and meets again, until groups are whole. So a short line in
+   very many contexts falls apart by context, and a long equal passage shrinks by that factor each round.
+
+Hashes only bring strings together; what is removed is decided by merging. The one exception are whole texts that are equal (by MD5), which count
+as copies of the earliest beforehand. Order is by doc_id, then place; a null doc_id comes first.
+
+Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing. Texts of more than ``Sizes.portion`` bytes are worked on in overlapping
+portions. Repeated rows (equal doc_id and text) count as one document and each get its result. Rows that share a doc_id but not the
+text are ordered by a hash of the text. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import discard, documents, materialize, small_batches, text_or_empty
-from proofline.llm.wordhash import U64, _powers_of, binary_column, mix, slices
+from proofline.llm.shared import discard, documents, drawn, materialize, small_batches, text_or_empty
+from proofline.llm.wordhash import _powers_of, binary_column, mix, slices
 
 LENGTH = 100
-GRAM = 32
-#: Different pieces of one representative that a task compares.
-MOST = 2000
-SHARD = 1 << 17
-BATCH = 1 << 20
+#: Lengths of the strings that represent windows, by round; the last is the window itself.
+GRAMS = (32, 64, 88, 97, 100)
 SAMPLE_DOCS = 4000
 SAMPLE_HOT = 20
 SALTS = 64
 NULL_ID = -(1 << 63)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How much is worked on at once; results don't depend on it."""
+
+    #: pieces of one representative that meet at once, about
+    group: int = 2000
+    #: bytes in a shard, in what is merged at once, and in a portion of a long text
+    shard: int = 1 << 18
+    batch: int = 1 << 21
+    portion: int = 1 << 20
+
+
 _BYTE = np.random.default_rng(100).integers(1, 2**63, 256, dtype=np.uint64)
 
 
@@ -66,13 +83,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :]) if have < width else out
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(representative, row, first window, windows) of every run in the rows that ``offsets`` cut ``data`` into."""
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return empty.astype(np.uint64), empty, empty, empty
-    grams = gram_hashes(data, GRAM)
-    least = sliding_least(grams, LENGTH - GRAM + 1)
+    grams = gram_hashes(data, gram)
+    least = sliding_least(grams, LENGTH - gram + 1)
     inside = np.zeros(len(least) + 1, np.int32)
     long = np.diff(offsets) >= LENGTH
     np.add.at(inside, offsets[:-1][long], 1)
@@ -94,186 +111,282 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (fp, doc_id, place): place is the first window's start times 256, plus how many windows."""
     for batch in batches:
         for part in slices(batch["text"]):
-            value, row, start, count = runs_of(part.data, part.offsets)
+            value, row, start, count = runs_of(part.data, part.offsets, GRAMS[0])
             yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), batch["doc_id"].take(pa.array(row + part.first)), pa.array(start * 256 + count)], names=["fp", "doc_id", "place"])
 
 
-def digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of data[begin:end] for many ranges."""
-    up, down = _powers_of(len(data) + 1)
-    out = []
-    with np.errstate(over="ignore"):
-        for salt in (U64(0x2545F4914F6CDD1D), U64(0x9E6C63D0876A9A47)):
-            total = np.append(U64(0), np.cumsum(mix(_BYTE ^ salt)[data] * up[: len(data)]))
-            out.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * salt).astype(np.int64))
-    return out
-
-
-def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text, runs) to (fp, d1, d2, doc_id, h, start, n): every run with the digest of the bytes that its windows cover."""
-    for batch in batches:
-        runs = batch["runs"]
-        bounds = runs.offsets.to_numpy().astype(np.int64)
-        fps, places = (runs.values.field(c).to_numpy() for c in ("fp", "place"))
-        for part in slices(batch["text"]):
-            own = slice(bounds[part.first], bounds[part.first + part.rows])
-            row = np.repeat(np.arange(part.rows), np.diff(bounds[part.first : part.first + part.rows + 1]))
-            start, n = places[own] // 256, places[own] % 256
-            begin = part.offsets[row] + start
-            end = begin + n - 1 + LENGTH
-            fits = end <= part.offsets[row + 1]
-            d1, d2 = digests(part.data, begin[fits], end[fits])
-            at = pa.array(row[fits] + part.first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(fps[own][fits]), pa.array(d1), pa.array(d2), batch["doc_id"].take(at), batch["h"].take(at), pa.array(start[fits].astype(np.int32)), pa.array(n[fits].astype(np.int32))],
-                names=["fp", "d1", "d2", "doc_id", "h", "start", "n"],
-            )
-
-
-def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, text, wanted) to (fp, variants, doc_id, h, start, n, piece)."""
-    for batch in batches:
-        wanted = batch["wanted"]
-        bounds = wanted.offsets.to_numpy().astype(np.int64)
-        own = wanted.values.slice(bounds[0], bounds[-1] - bounds[0])
-        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        raws = [t.encode() for t in batch["text"].to_pylist()]
-        start, stop = own.field("start").to_numpy(), own.field("start").to_numpy() + own.field("n").to_numpy() - 1 + LENGTH
-        pieces = [raws[k][a:b] for k, a, b in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True)]
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [own.field("fp"), own.field("variants"), batch["doc_id"].take(at), batch["h"].take(at), own.field("start"), own.field("n"), pa.array(pieces, pa.binary())],
-            names=["fp", "variants", "doc_id", "h", "start", "n", "piece"],
-        )
-
-
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotations in the order of their first ``LENGTH`` symbols at least, Burrows-Wheeler transform, row of each row's left neighbour)."""
+    """(row of each place, Burrows-Wheeler transform, row of each row's left neighbour), rows in order of ``LENGTH`` symbols at least."""
     n = len(symbols)
+    bits = max(1, int(n - 1).bit_length())
+    wide = bits > 21  # then ranks and places don't fit in one number
+    depth = (62 - bits) // 8
     key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key * 257 + np.roll(symbols, -k)
-    depth = 7
+    for k in range(depth):
+        key = key << 8 | np.roll(symbols, -k)
     while True:
-        order = np.argsort(key)
-        fresh = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
+        if wide:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        else:
+            packed = np.sort(key << bits | np.arange(n))
+            order, key = packed & (1 << bits) - 1, packed >> bits
+        fresh = np.append(0, np.cumsum(key[1:] != key[:-1]))
         if depth >= LENGTH or fresh[-1] == n - 1:
             break
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        key = rank * (n + 1) + np.roll(rank, -depth)
+        key = rank << bits | np.roll(rank, -depth)
         depth *= 2
     row = np.empty(n, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
-    return order, symbols[order - 1], row[order - 1]
-
-
-def merge(transformed: np.ndarray, left: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge Burrows-Wheeler transforms by refining the interleave of their rows.
-
-    ``transformed`` and ``left`` hold the transforms of all shards and their steps to the left, one shard after another; ``rows`` are those
-    that are ``LENGTH`` steps to the right of what is asked for. Every step moves all rows one symbol to the left and puts them in order of it,
-    stably, so after step h they are in the order of their first h symbols; blocks hold rows that agree so far. A row alone in its block can't
-    agree with any other later on and leaves. Gives the rows that agree with others in ``LENGTH`` symbols, and their blocks.
-    """
-    block = np.zeros(len(rows), np.int32)
-    for step in range(1, LENGTH + 1):
-        first = transformed[rows]
-        order = np.argsort(first, kind="stable")
-        rows, block, first = left[rows[order]], block[order], first[order]
-        block = np.append(0, np.cumsum((block[1:] != block[:-1]) | (first[1:] != first[:-1]), dtype=np.int32))[: len(rows)]
-        if step % 4 == 0:
-            some = np.bincount(block)[block] > 1 if len(block) else np.zeros(0, bool)
-            rows, block = rows[some], block[some]
-    return rows, block
-
-
-def repeated_windows(pieces: list[bytes], doc_id: np.ndarray, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, offset) of every window that is equal to an earlier one, among different pieces."""
-    shards, current, size = [], [], 0
-    for k, piece in enumerate(pieces):
-        current.append(k)
-        size += len(piece) + 1
-        if size >= SHARD:
-            shards.append(current)
-            current, size = [], 0
-    if current:
-        shards.append(current)
-    transforms, lefts, owners, offsets, base = [], [], [], [], 0
-    for shard in shards:
-        # bytes of UTF-8 are at most F4, so every symbol fits in a byte beside the end mark 0
-        symbols = np.frombuffer(b"\xff".join(pieces[k] for k in shard) + b"\xff", np.uint8) + np.uint8(1)
-        order, transformed, left = transform(symbols)
-        lengths = np.array([len(pieces[k]) + 1 for k in shard])
-        which = np.repeat(np.arange(len(shard)), lengths)[order]
-        offset = order - (np.cumsum(lengths) - lengths)[which]
-        transforms.append(transformed)
-        lefts.append(left + np.int32(base))
-        owners.append(np.array(shard, np.int32)[which])
-        offsets.append(offset.astype(np.int32))
-        base += len(symbols)
-    owner, offset = np.concatenate(owners), np.concatenate(offsets)
-    rows, block = merge(np.concatenate(transforms), np.concatenate(lefts), np.flatnonzero(offset >= LENGTH))
-    piece, offset = owner[rows].astype(np.int64), offset[rows].astype(np.int64)
-    order = np.lexsort((start[piece] + offset, h[piece], doc_id[piece], block))
-    later = np.zeros(len(order), bool)
-    later[1:] = block[order][1:] == block[order][:-1]
-    return piece[order][later], offset[order][later]
-
-
-SPAN = "doc_id long, h long, start int, stop int"
-
-
-def spans_of(piece: np.ndarray, offset: np.ndarray, doc_id: np.ndarray, h: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Byte ranges that the windows cover, adjacent windows of a piece taken together."""
-    order = np.lexsort((offset, piece))
-    piece, offset = piece[order], offset[order]
-    fresh = np.ones(len(piece), bool)
-    fresh[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
-    begin = np.flatnonzero(fresh)
-    last = np.append(begin[1:], len(piece))[: len(begin)] - 1
-    own = piece[begin]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc_id[own]), pa.array(h[own]), pa.array((start[own] + offset[begin]).astype(np.int32)), pa.array((start[own] + offset[last] + LENGTH).astype(np.int32))],
-        names=["doc_id", "h", "start", "stop"],
-    )
+    return row, symbols[order - 1], row[order - 1]
+
+
+class Shards:
+    """The transforms of all shards of ``symbols``, one after another; shards end behind an end mark (0)."""
+
+    def __init__(self, symbols: np.ndarray, shard: int):
+        ends = np.flatnonzero(symbols == 0) + 1
+        bounds = np.unique(np.concatenate([[0], ends[np.minimum(np.searchsorted(ends, np.arange(shard, len(symbols), shard)), len(ends) - 1)], [len(symbols)]]))
+        self.row = np.empty(len(symbols), np.int32)
+        self.transformed = np.empty(len(symbols), np.uint8)
+        self.left = np.empty(len(symbols), np.int32)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            row, self.transformed[a:b], left = transform(symbols[a:b])
+            self.row[a:b], self.left[a:b] = row + a, left + a
+
+    def merge(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which of the strings of ``lengths`` symbols that end in front of ``places`` are equal: a number for each string, -1 if it has no equal.
+
+        The rows of all shards are interleaved. Every step moves them one symbol to the left and puts them in order of it, stably, so after step h
+        they are in order of their first h symbols; blocks hold rows that agree so far. A row alone in its block can't agree with
+        any other later on and leaves.
+        """
+        rows, own = self.row[places], np.arange(len(places))
+        number, given = np.full(len(places), -1, np.int64), 0
+        order = np.argsort(lengths, kind="stable")
+        rows, own, lengths = rows[order], own[order], lengths[order]
+        block = np.cumsum(np.diff(lengths, prepend=lengths[:1]) != 0).astype(np.int32)
+        step = 0
+        while len(rows):
+            step += 1
+            first = self.transformed[rows]
+            order = np.argsort(first, kind="stable")
+            rows, own, block, lengths, first = self.left[rows[order]], own[order], block[order], lengths[order], first[order]
+            block = np.append(0, np.cumsum((block[1:] != block[:-1]) | (first[1:] != first[:-1]), dtype=np.int32))[: len(rows)]
+            done = lengths == step
+            if step % 4 == 0 or done.any():
+                some = np.bincount(block)[block] > 1
+                over = some & done
+                number[own[over]] = block[over] + given
+                given += len(rows)
+                stay = some & ~done
+                rows, own, block, lengths = rows[stay], own[stay], block[stay], lengths[stay]
+        return number
+
+
+def later_of(number: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Whether each string has an equal one before it, in the order given (most significant last)."""
+    at = np.lexsort((*order, number))
+    later = np.zeros(len(number), bool)
+    later[at[1:]] = (number[at[1:]] == number[at[:-1]]) & (number[at[1:]] >= 0)
+    return later
+
+
+@dataclass
+class Batch:
+    """Some texts one after another in ``data``, cut at ``offsets``; their places in the order of documents; and their runs in order."""
+
+    data: np.ndarray
+    offsets: np.ndarray
+    rank: np.ndarray
+    base: np.ndarray  # where each text starts in its document
+    text: np.ndarray  # of each run: its text, first byte in ``data``, windows, representative
+    begin: np.ndarray
+    n: np.ndarray
+    key: np.ndarray
+
+    def later(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, stop) of byte ranges whose strings are equal to earlier ones, and the runs that are left over."""
+        size, length = len(self.data), self.n + (LENGTH - 1)
+        edges = np.bincount(self.begin, minlength=size + 1) - np.bincount(self.begin + length, minlength=size + 1)
+        some = np.flatnonzero(np.cumsum(edges[:size]) > 0)
+        opens = np.zeros(size + 1, bool)
+        opens[self.offsets] = True
+        opens = opens[some]
+        opens[0] = True
+        opens[1:] |= some[1:] != some[:-1] + 1
+        stretch = np.cumsum(opens) - 1
+        # bytes of UTF-8 are at most F4, so every symbol fits in a byte beside the end mark 0 behind each stretch
+        symbols = np.zeros(len(some) + stretch[-1] + 1, np.uint8)
+        symbols[np.arange(len(some)) + stretch] = self.data[some] + np.uint8(1)
+        behind = np.zeros(size, np.int32)  # the symbol's place behind each byte
+        behind[some] = np.arange(len(some)) + stretch + 1
+        shards = Shards(symbols, shard)
+
+        rank, place = self.rank[self.text], self.base[self.text] + self.begin - self.offsets[self.text]
+        gone = later_of(shards.merge(behind[self.begin + length - 1], length), place, rank)
+        alive = np.flatnonzero(~gone)
+        _, which, count = np.unique(self.key[alive], return_inverse=True, return_counts=True)
+        several = alive[count[which] > 1]
+        run = np.repeat(several, self.n[several])
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(self.n[several]) - self.n[several], self.n[several])
+        first = self.begin[run] + offset
+        again = later_of(shards.merge(behind[first + LENGTH - 1], np.full(len(run), LENGTH)), place[run] + offset, rank[run])
+        kept = np.ones(len(self.n), bool)
+        kept[gone] = False
+        kept[several] = np.bincount(run[again], minlength=len(self.n))[several] < self.n[several]
+        run, first = run[again], first[again]
+        fresh = np.ones(len(run), bool)
+        fresh[1:] = (run[1:] != run[:-1]) | (first[1:] != first[:-1] + 1)
+        opening = np.flatnonzero(fresh)
+        closing = np.append(opening[1:], len(run))[: len(opening)] - 1
+        text = np.concatenate([self.text[gone], self.text[run[opening]]])
+        shift = self.base[text] - self.offsets[text]
+        start = np.concatenate([self.begin[gone], first[opening]]) + shift
+        stop = np.concatenate([(self.begin + length)[gone], first[closing] + LENGTH]) + shift
+        return text, start, stop, np.flatnonzero(kept)
+
+
+FOUND = "key long, doc_id long, h long, start int, stop int, batch long"
+
+
+def found_batch(batch: Batch, shard: int, doc_id: list[int], h: list[int], number: int, leave: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``FOUND``: ranges to remove (batch null), and the runs left over where ``leave`` asks for them (start, and stop behind the last window)."""
+    text, start, stop, kept = batch.later(shard)
+    kept = kept[leave[kept]]
+    shift = (batch.base - batch.offsets[:-1])[batch.text[kept]]
+    own = np.concatenate([text, batch.text[kept]])
+    doc_id, h = np.array(doc_id, np.int64)[own], np.array(h, np.int64)[own]
+    columns = [np.concatenate([np.zeros(len(text), np.int64), batch.key[kept]]), doc_id, h]
+    columns += [np.concatenate([start, batch.begin[kept] + shift]).astype(np.int32), np.concatenate([stop, (batch.begin + batch.n)[kept] + (LENGTH - 1) + shift]).astype(np.int32)]
+    tag = pa.array(np.full(len(own), number), mask=np.arange(len(own)) < len(text))
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), tag], names=["key", "doc_id", "h", "start", "stop", "batch"])
+
+
+def batch_number(k: int) -> int:
+    return TaskContext.get().partitionId() << 32 | k
+
+
+def ranks_of(doc_id: list[int], h: list[int]) -> np.ndarray:
+    """Equal for portions of one document."""
+    places = {x: k for k, x in enumerate(sorted(set(zip(doc_id, h, strict=True))))}
+    return np.array([places[x] for x in zip(doc_id, h, strict=True)], np.int64)
+
+
+def compare_texts(sizes: Sizes):
+    """(doc_id, h, text, runs) to rows of ``FOUND``, about ``sizes.batch`` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[tuple] = []  # doc_id, h, base, bytes, keys, starts in them, windows
+        size, done = 0, 0
+
+        def merged() -> pa.RecordBatch:
+            doc_id, h, base, raws, keys, starts, ns = zip(*texts, strict=True)
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+            text = np.repeat(np.arange(len(raws)), [len(k) for k in keys])
+            batch = Batch(np.frombuffer(b"".join(raws), np.uint8), offsets, ranks_of(doc_id, h), np.array(base), text, np.concatenate(starts) + offsets[text], np.concatenate(ns), np.concatenate(keys))
+            return found_batch(batch, sizes.shard, doc_id, h, batch_number(done), np.ones(len(text), bool))
+
+        for batch in batches:
+            runs = batch["runs"]
+            bounds = runs.offsets.to_numpy().astype(np.int64)
+            every, place = (runs.values.field(c).to_numpy() for c in ("fp", "place"))
+            for k, (doc_id, h, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "h", "text")), strict=True)):
+                raw, own = text.encode(), slice(bounds[k], bounds[k + 1])
+                order = np.argsort(place[own])
+                key, start, n = every[own][order], place[own][order] // 256, place[own][order] % 256
+                fits = start + n - 1 + LENGTH <= len(raw)  # rows that share a doc_id share their lists of runs
+                key, start, n = key[fits], start[fits], n[fits]
+                for base in range(0, len(raw), sizes.portion):
+                    inside = (start >= base) & (start < base + sizes.portion)
+                    if inside.any():
+                        texts.append((doc_id, h, base, raw[base : base + sizes.portion + 256 + LENGTH], key[inside], start[inside] - base, n[inside]))
+                        size += len(texts[-1][3])
+                    if size >= sizes.batch:
+                        yield merged()
+                        texts, size, done = [], 0, done + 1
+        if texts:
+            yield merged()
+
+    return run
 
 
-def compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, doc_id, h, start, piece), sorted by fp, to spans; whole groups are merged, about ``BATCH`` bytes at a time."""
-    rows: list[tuple] = []
-    size, fp = 0, None
+def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, text, wanted) to pieces."""
+    for batch in batches:
+        wanted = batch["wanted"]
+        bounds = wanted.offsets.to_numpy().astype(np.int64)
+        own = wanted.values.slice(bounds[0], bounds[-1] - bounds[0])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        raws = [t.encode() for t in batch["text"].to_pylist()]
+        pieces = [raws[k][a:b] for k, a, b in zip(row.tolist(), own.field("start").to_pylist(), own.field("stop").to_pylist(), strict=True)]
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [own.field("key"), own.field("met"), batch["doc_id"].take(at), batch["h"].take(at), own.field("start"), pa.array(pieces, pa.binary())],
+            names=["key", "met", "doc_id", "h", "start", "piece"],
+        )
 
-    def done() -> pa.RecordBatch:
-        doc_id, h, start = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        return spans_of(*repeated_windows([r[3] for r in rows], doc_id, h, start), doc_id, h, start)
 
-    for batch in batches:
-        for group, *row in zip(*(batch[c].to_pylist() for c in ("fp", "doc_id", "h", "start", "piece")), strict=True):
-            if size >= BATCH and group != fp:
-                yield done()
-                rows, size = [], 0
-            rows.append(tuple(row))
-            size, fp = size + len(row[3]), group
-    if rows:
-        yield done()
-
-
-def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, start, n, piece) to (d1, d2, doc_id, h, start) of each window."""
-    for batch in batches:
-        doc_ids, hs, starts, ns = (batch[c].to_numpy() for c in ("doc_id", "h", "start", "n"))
-        for k, piece in enumerate(batch["piece"].to_pylist()):
-            at = np.arange(ns[k])
-            d1, d2 = digests(np.frombuffer(piece, np.uint8), at, at + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(np.full(len(at), doc_ids[k])), pa.array(np.full(len(at), hs[k])), pa.array((starts[k] + at).astype(np.int32))], names=["d1", "d2", "doc_id", "h", "start"])
+PIECE = "key long, met long, doc_id long, h long, start int, piece binary"
+
+
+def compare_pieces(sizes: Sizes):
+    """(key, salt, met, doc_id, h, start, piece), sorted by key and salt, to rows of ``FOUND`` with ``piece``; whole groups, about ``sizes.batch`` bytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size, done, group = 0, 0, None
+
+        def merged() -> pa.RecordBatch:
+            key, met, doc_id, h, start, raws = zip(*rows, strict=True)
+            lengths = np.array([len(r) for r in raws])
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            # pieces of one document keep their order by their starts
+            batch = Batch(np.frombuffer(b"".join(raws), np.uint8), offsets, ranks_of(doc_id, h), np.array(start, np.int64), np.arange(len(raws)), offsets[:-1], lengths - (LENGTH - 1), np.array(key))
+            found = found_batch(batch, sizes.shard, doc_id, h, batch_number(done), np.array(met) > sizes.group)
+            by_place = {(d, x, s): r for d, x, s, r in zip(doc_id, h, start, raws, strict=True)}
+            pieces = [by_place[d, x, s] if b is not None else None for d, x, s, b in zip(*(found[c].to_pylist() for c in ("doc_id", "h", "start", "batch")), strict=True)]
+            return pa.RecordBatch.from_arrays([*found.columns, pa.array(pieces, pa.binary())], names=[*found.schema.names, "piece"])
+
+        for batch in batches:
+            for salt, *row in zip(*(batch[c].to_pylist() for c in ("salt", "key", "met", "doc_id", "h", "start", "piece")), strict=True):
+                if size >= sizes.batch and group != (row[0], salt):
+                    yield merged()
+                    rows, size, done = [], 0, done + 1
+                rows.append(tuple(row))
+                size, group = size + len(row[-1]), (row[0], salt)
+        if rows:
+            yield merged()
+
+    return run
+
+
+def longer(gram: int):
+    """(key, doc_id, h, start, piece, batch) represented anew by strings of ``gram`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = batch["piece"].to_pylist()
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+            value, row, begin, count = runs_of(np.frombuffer(b"".join(raws), np.uint8), offsets, gram)
+            old = batch["key"].to_numpy().view(np.uint64)[row]
+            with np.errstate(over="ignore"):
+                key = mix(old + value).astype(np.int64)
+            pieces = [raws[k][a : a + n - 1 + LENGTH] for k, a, n in zip(row.tolist(), begin.tolist(), count.tolist(), strict=True)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), batch["doc_id"].take(at), batch["h"].take(at), pa.array((batch["start"].to_numpy()[row] + begin).astype(np.int32)), batch["batch"].take(at), pa.array(pieces, pa.binary())],
+                names=["key", "doc_id", "h", "start", "batch", "piece"],
+            )
+
+    return run
 
 
-def later_than_first(found: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that are not the first (doc_id, h, start) of their keys."""
-    first = found.groupBy(*keys).agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    first = materialize(first.drop("copies"), "repeat-first")
-    return found.join(first, keys).where(F.struct("doc_id", "h", "start") > F.col("first"))
+def meeting(left: DataFrame) -> DataFrame:
+    """The keys of runs left over by different batches, and how many they are (``met``)."""
+    return left.groupBy("key").agg(F.count("*").alias("met"), F.min("batch").alias("lo"), F.max("batch").alias("hi")).where("lo <> hi").select("key", "met")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -288,41 +401,49 @@ def later_copies(texts: DataFrame) -> DataFrame:
     return found.join(first, "md5").where(F.struct("doc_id", "h") > F.col("first")).select("doc_id", "h", "n_bytes")
 
 
-def spans(texts: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(byte ranges to remove: doc_id, h, start, stop; the texts that they are of: doc_id, h, text), but for whole copies."""
+def candidates_of(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """The texts that hold repeated representatives, but for whole copies: doc_id, h, text, runs; texts that share much stand together."""
     runs = lambda df: df.mapInArrow(fingerprints, "fp long, doc_id long, place long")
-    share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(1_000_000)) < int(share * 1_000_000))
-    hot = runs(drawn).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HOT).select("fp", F.lit(True).alias("hot"))
+    share = SAMPLE_DOCS / max(1, texts.count())
+    hot = runs(texts.where(drawn(F.col("doc_id"), share))).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HOT).select("fp", F.lit(True).alias("hot"))
     hot = materialize(hot, "repeat-hot")  # at most the sample's runs by SAMPLE_HOT, whatever the input
     marked = runs(texts).join(F.broadcast(hot), "fp", "left")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(-1))
     counted = marked.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("fp", "salt"))).where("n > 1 OR hot")
-    per_doc = counted.groupBy("doc_id").agg(F.collect_set(F.struct("fp", "place")).alias("runs"))
+    per_doc = counted.groupBy("doc_id").agg(F.collect_set(F.struct("fp", "place")).alias("runs"), F.min("fp").alias("least"))
     gone = copies.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))  # before the texts are joined, so they move once
     per_doc = per_doc.join(gone, "doc_id", "left")
     own = texts.select("doc_id", F.xxhash64("text").alias("h"), "text").join(per_doc, "doc_id")
-    own = own.where(~F.coalesce(F.array_contains("gone", F.col("h")), F.lit(False))).drop("gone")
-    candidates = materialize(own.dropDuplicates(["doc_id", "h"]), "repeat-candidates")
-
-    placed = materialize(candidates.mapInArrow(occurrences, "fp long, d1 long, d2 long, doc_id long, h long, start int, n int"), "repeat-places")
-    keys = ["fp", "d1", "d2"]
-    whole = later_than_first(placed, keys).select("doc_id", "h", "start", (F.col("start") + F.col("n") - 1 + LENGTH).alias("stop"))
-    different = placed.groupBy(*keys).agg(F.min(F.struct("doc_id", "h", "start")).alias("p"), F.first("n").alias("n")).select("fp", "p.*", "n")
-    different = materialize(different, "repeat-different")
-    variants = materialize(different.groupBy("fp").agg(F.count("*").alias("variants")).where("variants > 1"), "repeat-variants")
-    wanted = different.join(variants, "fp").groupBy("doc_id", "h").agg(F.collect_list(F.struct("fp", "variants", "start", "n")).alias("wanted"))
-    several = candidates.select("doc_id", "h", "text").join(wanted, ["doc_id", "h"]).mapInArrow(cut_pieces, "fp long, variants long, doc_id long, h long, start int, n int, piece binary")
-    several = materialize(several, "repeat-pieces")
-    few = several.where(F.col("variants") <= MOST).select("fp", "doc_id", "h", "start", "piece")
-    compared = few.repartition("fp").sortWithinPartitions("fp").mapInArrow(compare_groups, SPAN)
-    many = several.where(F.col("variants") > MOST).select("doc_id", "h", "start", "n", "piece")
-    windows = many.mapInArrow(single_windows, "d1 long, d2 long, doc_id long, h long, start int")
-    windows = later_than_first(windows, ["d1", "d2"]).select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop"))
-    found = materialize(whole.unionByName(compared).unionByName(windows), "repeat-spans")
-    for df in (placed, different, variants, several):
-        discard(df)
-    return found, candidates
+    own = own.where(~F.coalesce(F.array_contains("gone", F.col("h")), F.lit(False))).dropDuplicates(["doc_id", "h"])
+    dealt = own.repartitionByRange("least", "doc_id").sortWithinPartitions("least", "doc_id")
+    found = materialize(dealt.select("doc_id", "h", "text", "runs"), "repeat-candidates")
+    discard(hot)
+    return found
+
+
+def spans(candidates: DataFrame, sizes: Sizes) -> DataFrame:
+    """Byte ranges to remove: doc_id, h, start, stop."""
+    tables = [materialize(candidates.mapInArrow(compare_texts(sizes), FOUND), "repeat-texts")]
+    left = tables[0].where("batch IS NOT NULL")
+    wanted = left.join(meeting(left), "key").groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "met", "start", "stop")).alias("wanted"))
+    pieces = candidates.select("doc_id", "h", "text").join(wanted, ["doc_id", "h"]).mapInArrow(cut_pieces, PIECE)
+    level = 0
+    while True:
+        salt = F.pmod(F.xxhash64("doc_id", "h", "start"), F.ceil(F.col("met") / sizes.group))
+        dealt = pieces.withColumn("salt", salt).repartition("key", "salt").sortWithinPartitions("key", "salt")
+        tables.append(materialize(dealt.mapInArrow(compare_pieces(sizes), FOUND + ", piece binary"), "repeat-pieces"))
+        left = tables[-1].where("batch IS NOT NULL")
+        if left.isEmpty():
+            break
+        level = min(level + 1, len(GRAMS) - 1)
+        anew = left.mapInArrow(longer(GRAMS[level]), "key long, doc_id long, h long, start int, batch long, piece binary")
+        tables.append(materialize(anew, "repeat-anew"))
+        pieces = tables[-1].join(meeting(tables[-1]), "key").select("key", "met", "doc_id", "h", "start", "piece")
+    ranges = [t.where("batch IS NULL").select("doc_id", "h", "start", "stop") for t in tables if "stop" in t.columns]
+    found = materialize(reduce(DataFrame.unionByName, ranges), "repeat-spans")
+    for t in tables:
+        discard(t)
+    return found
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,11 +471,12 @@ def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
     """Documents that lose bytes: doc_id, h (hash of the text), n_removed, n_spans and ``kept`` (the bytes left)."""
     texts = keyed(docs)
     copies = materialize(later_copies(texts), "repeat-copies")
-    found, candidates = spans(texts, copies)
+    candidates = candidates_of(texts, copies)
+    found = spans(candidates, sizes)
     own = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     rows = candidates.select("doc_id", "h", "text").join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "spans")
     parts = rows.mapInArrow(keep_rest, "doc_id long, h long, n_removed long, n_spans long, kept binary")

@@ -181,14 +181,13 @@ def removed_by_brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [2000, 3])
-def test_repeats(spark, corpus, most, monkeypatch):
-    monkeypatch.setattr(repeats, "MOST", most)
-    monkeypatch.setattr(repeats, "SHARD", 2000)
+@pytest.mark.parametrize("sizes", [repeats.Sizes(), repeats.Sizes(group=3, shard=700, batch=3000, portion=1000)])
+def test_repeats(spark, corpus, sizes):
+    """Against brute force; the small sizes take texts through every round: portions, groups of three pieces, longer representatives."""
     line = prose(random.Random(8), 25).replace("\n", " ")[:90]
-    texts = [*corpus, *[prose(random.Random(100 + k), 10) + line + prose(random.Random(200 + k), 10) for k in range(12)], corpus[2].upper()]
+    texts = [*corpus, *[prose(random.Random(100 + k), 10) + line + prose(random.Random(200 + k), 10) for k in range(40)], corpus[2].upper()]
     rows = list(zip([*range(len(texts)), 3], [*texts, texts[3]], strict=True))
-    found = repeats.dedup(table(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
+    found = repeats.dedup(table(spark, [t for _, t in rows], [d for d, _ in rows]), sizes).collect()
     assert {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in found} == removed_by_brute_force(rows[:-1])
 
 
