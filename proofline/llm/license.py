@@ -8,8 +8,8 @@ room for the rest behind that word (positional filter). Only then are the sets c
 Besides, the words of three phrases are located in the whole text (the base labels).
 
 The template index is a constant of this module, some dozens of rows whatever the corpus, so it is
-broadcast. The corpus is read twice (frequencies, then the join); only candidate lines are ever exploded, and
-what is shuffled is one row per document with a hit.
+broadcast. The corpus is read and normalised once: base counts and each document's template words are written, with the text of those
+documents only that hold enough words of some template (what a block can't do without). Frequencies and the join come from that table.
 
 Defined results: a null text is empty, without words, labels or score. Documents with equal doc_id and text get equal
 results, each row once. Words beyond ASCII stay as they are.
@@ -18,12 +18,13 @@ results, each row once. Words beyond ASCII stay as they are.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.quality import _sql_string
-from proofline.llm.shared import documents, text_or_empty
+from proofline.llm.shared import documents, materialize, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -79,15 +80,23 @@ def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def ranked_vocabulary(docs: DataFrame) -> list[str]:
-    """All template words by the number of documents that hold them, rarest first, then by the word.
+def all_tokens() -> list[str]:
+    return sorted({t for _, tokens in template_tokens() for t in tokens})
+
+
+def ranked_vocabulary(known: DataFrame) -> list[str]:
+    """All template words by the number of documents that hold them (column ``known``), rarest first, then by the word.
 
     The result is as long as the templates' vocabulary, whatever the corpus.
     """
-    vocabulary = sorted({t for _, tokens in template_tokens() for t in tokens})
-    found = docs.select(F.explode(F.array_intersect(strings(vocabulary), distinct_words(F.col("norm")))).alias("token"))
+    found = known.select(F.explode("known").alias("token"))
     counts = {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
+    return sorted(all_tokens(), key=lambda t: (counts.get(t, 0), t))
+
+
+def can_match(known: Column) -> Column:
+    """Whether a document with these template words can hold a block that meets the threshold (length filter of the whole text)."""
+    return reduce(Column.__or__, [F.size(F.array_intersect(strings(tokens), known)) >= need_of(len(tokens)) for _, tokens in template_tokens()])
 
 
 def template_index(vocabulary: list[str]) -> list[tuple[str, int, int, list[str], str, int]]:
@@ -137,16 +146,9 @@ def containment_join(blocks: DataFrame, vocabulary: list[str], keys: list[str])
     return candidates.where(fits).where(overlap >= F.col("need")).select(*keys, "label", (overlap / m).alias("containment"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("norm", normal(F.col("text")))
-    vocabulary = ranked_vocabulary(base)
-    prefix = strings(sorted({r[0] for r in template_index(vocabulary)}))
-    key = [F.col("doc_id"), F.xxhash64("text").alias("k1"), F.crc32(F.encode("text", "utf-8")).alias("k2")]
-    near = base.where(F.arrays_overlap(distinct_words(F.col("norm")), prefix)).select(*key, "text")
-    hits = containment_join(blocks_of(near, prefix, ["doc_id", "k1", "k2"]), vocabulary, ["doc_id", "k1", "k2"])
-    found = hits.groupBy("doc_id", "k1", "k2").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "hit_id")
-
+def base_counts(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, k1, k2 (hashes of the text), the base columns, ``known`` (template words), and ``text`` where a block can match."""
+    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("norm", normal(F.col("text"))).withColumn("n_words", n_words_in(F.col("norm")))
     places, firsts, lasts, names = [], [], [], []
     for phrase, label in PHRASES.items():
         spaced, length = " " + phrase.replace(" ", "  ") + " ", len(phrase.split())
@@ -156,17 +158,33 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(has, n_words_in(F.substring_index("norm", spaced, 1))))
         lasts.append(F.when(has, F.col("n_words") - n_words_in(F.substring_index("norm", spaced, -1)) - F.lit(length)))
         names.append(F.when(has, F.lit(label)))
-    counted = base.withColumn("n_words", n_words_in(F.col("norm"))).select(
-        *key,
+    counted = base.select(
+        "doc_id",
+        F.xxhash64("text").alias("k1"),
+        F.crc32(F.encode("text", "utf-8")).alias("k2"),
+        "text",
         "n_words",
         sum(places[1:], places[0]).alias("n_base"),
         F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"),
         F.array_sort(F.array_compact(F.array(*names))).alias("base"),
+        F.array_intersect(strings(all_tokens()), distinct_words(F.col("norm"))).alias("known"),
     )
-    found = found.withColumnsRenamed({"k1": "h1", "k2": "h2"})
+    return counted.withColumn("text", F.when(can_match(F.col("known")), F.col("text")))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    counted = materialize(base_counts(docs), "license-base")
+    vocabulary = ranked_vocabulary(counted)
+    prefix = strings(sorted({r[0] for r in template_index(vocabulary)}))
+    keys = ["doc_id", "k1", "k2"]
+    near = counted.where("text IS NOT NULL").select(*keys, "text")
+    hits = containment_join(blocks_of(near, prefix, keys), vocabulary, keys)
+    found = hits.groupBy(*keys).agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    found = found.withColumnsRenamed({"doc_id": "hit_id", "k1": "h1", "k2": "h2"})
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
-    joined = counted.join(found, same, "left")
+    joined = counted.drop("text", "known").join(found, same, "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return joined.select(
         "doc_id",
