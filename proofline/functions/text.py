@@ -1,14 +1,15 @@
 """Words, runs and sentences of a text, and the places where they stand.
 
-Spark's regular expressions return text and no places. Text is therefore cut into consecutive parts, and a part's place is
-the length of all parts before it, a running sum by block. Blocks that can't have a match are left out before they are cut.
+Spark's regular expressions return text and no places. Matches are therefore put between marks, the text is cut at the marks, and a part's place is
+the length of all parts before it, summed up inside the row: no shuffle, and rows that share a key never mix. Only matches cost anything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What counts as a word, a number, protected text and an elision.
 WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 NUMBER = r"^\p{N}+$"
 #: White space, no-break spaces included, as a class that Java and RE2 read alike.
@@ -19,6 +20,7 @@ ELISION = r"^(?:l|d|j|m|n|s|t|c|qu|jusqu|lorsqu|puisqu|quoiqu)['’](.+)$"
 #: A sentence ends with its marks and closing quotes, if space and a capital, a digit or an opening quote follow.
 SENTENCE_END = r'([.!?…]+["»”’)]*)([' + SPACE + r']+)([\p{Lu}\p{N}«“"(])'
 MARK = "\x01"
+HIT = "array<struct<start:int,end:int,text:string>>"
 
 
 def every(text: Column, pattern: str) -> Column:
@@ -33,26 +35,31 @@ def number_count(text: Column) -> Column:
     return F.size(F.filter(every(text, WORD), lambda w: w.rlike(NUMBER))).cast("int")
 
 
-def numeric_share(text: Column) -> Column:
-    n = F.size(every(text, WORD))
-    return F.when(n == 0, F.lit(0.0)).otherwise(number_count(text) / n)
+def pieces_at(pieces: Column) -> Column:
+    """The pieces of a text, in order, with their places: array of (start, end, text)."""
+    zero = F.struct(F.lit(0).alias("place"), F.array().cast(HIT).alias("out"))
 
+    def step(a: Column, x: Column) -> Column:
+        end = a["place"] + F.length(x)
+        return F.struct(end.alias("place"), F.concat(a["out"], F.array(F.struct(a["place"].alias("start"), end.alias("end"), x.alias("text")))).alias("out"))
 
-def parts(df: DataFrame, keys: list[str], pieces: Column) -> DataFrame:
-    """Rows (keys, i, part, start) of a text cut into consecutive pieces."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    start = F.coalesce(F.sum(F.length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return df.select(*keys, F.posexplode(pieces).alias("i", "part")).withColumn("start", start)
+    return F.aggregate(pieces, zero, step, lambda a: a["out"])
 
 
-def runs(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Runs without spaces: keys, run, start, and what follows: sep, next, next_start, next_gap (the space after next)."""
-    cut = parts(df, keys, every(F.col(text), rf"[^{SPACE}]+|[{SPACE}]+"))
-    order = Window.partitionBy(*keys).orderBy("i")
-    ahead = cut.select(
-        *keys, F.col("part").alias("run"), "start", F.lead("part", 1).over(order).alias("sep"), F.lead("part", 2).over(order).alias("next"), F.lead("start", 2).over(order).alias("next_start")
-    )
-    return ahead.where(F.col("run").rlike(rf"^[^{SPACE}]"))
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a Java pattern with their places: array of (start, end, text)."""
+    plain = F.translate(text, MARK, " ")
+    cut = pieces_at(F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK, -1))
+    return F.filter(cut, lambda x, i: i % 2 == 1)
+
+
+def run_before(text: Column, place: Column) -> Column:
+    """The run without spaces that ends at ``place``, as far as it stands before it."""
+    return F.regexp_extract(F.substr(text, F.lit(1), place), rf"[^{SPACE}]*$", 0)
+
+
+def run_behind(text: Column, place: Column) -> Column:
+    return F.regexp_extract(F.substr(text, place + 1, F.length(text)), rf"^[^{SPACE}]*", 0)
 
 
 def runs_sql(source: str, keys: str) -> str:
@@ -63,13 +70,22 @@ ahead AS (SELECT {keys}, part AS run, start, lead(part, 1) OVER w AS sep, lead(p
 runs AS (SELECT * FROM ahead WHERE regexp_matches(run, '^[^{SPACE}]'))"""
 
 
+def sentence_ranges(text: Column) -> Column:
+    """Sentences in order, without outer spaces: array of (start, end, text)."""
+    cut = pieces_at(F.split(F.regexp_replace(F.translate(text, MARK, " "), SENTENCE_END, f"$1{MARK}$2$3"), MARK))
+
+    def trimmed(x: Column) -> Column:
+        own = F.regexp_replace(x["text"], rf"^[{SPACE}]+|[{SPACE}]+$", "")
+        start = (x["start"] + F.length(x["text"]) - F.length(F.regexp_replace(x["text"], rf"^[{SPACE}]+", ""))).cast("int")
+        return F.struct(start.alias("start"), (start + F.length(own)).cast("int").alias("end"), own.alias("text"))
+
+    return F.transform(cut, trimmed)
+
+
 def sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Sentences with their places: keys, sentence (from 0), start, end and text without outer spaces."""
-    marked = F.regexp_replace(F.col(text), SENTENCE_END, f"$1{MARK}$2$3")
-    cut = parts(df, keys, F.split(marked, MARK))
-    own = F.regexp_replace("part", rf"^[{SPACE}]+|[{SPACE}]+$", "")
-    lead = F.length("part") - F.length(F.regexp_replace("part", rf"^[{SPACE}]+", ""))
-    return cut.select(*keys, F.col("i").alias("sentence"), (F.col("start") + lead).cast("int").alias("start"), own.alias("text")).withColumn("end", F.col("start") + F.length("text"))
+    rows = df.select(*keys, F.posexplode(sentence_ranges(F.col(text))).alias("sentence", "s"))
+    return rows.select(*keys, "sentence", "s.start", "s.end", "s.text")
 
 
 def sentences_sql(source: str, keys: str) -> str:
