@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from proofline import model
 from proofline.functions import scalar
 from proofline.functions.text import word_count
-from proofline.operators import decisions, edits, grammar, issues, language, lexicon, rules, serve, structure, words
-from proofline.plans import chunks, progress
+from proofline.operators import beautify, decisions, edits, evaluate, forms, grammar, history, issues, language, lexicon, rules, serve, structure, words
+from proofline.plans import chunks, progress, work
 from proofline.sources import html
 from proofline.sources import text as source
-from proofline.streaming import quota
+from proofline.streaming import limits, quota
 
-MODULES = [words, scalar, rules, structure, language, lexicon, grammar, issues, serve, edits, decisions, chunks, progress, quota]
+MODULES = [words, scalar, rules, structure, language, lexicon, forms, grammar, issues, serve, history, edits, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

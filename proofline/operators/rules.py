@@ -55,10 +55,10 @@ def repeated_word(blocks: DataFrame) -> DataFrame:
     return found.select(*KEYS, "start", (place + F.length("second")).cast("int").alias("end"), F.concat("original", "sep", "second").alias("original"), F.col("original").alias("suggestion"))
 
 
-def _repeated_word_sql() -> str:
+def repeated_word_sql(blocks: str = source.SQL) -> str:
     names = ", ".join(f"'{w}'" for w in ALLOWED_REPEATS)
     last, first = LAST_WORD.replace("'", "''"), FIRST_WORD.replace("'", "''")
-    return rf"""WITH {source.SQL}, {runs_sql('blocks', 'doc_id, ord')},
+    return rf"""WITH {blocks}, {runs_sql('blocks', 'doc_id, ord')},
     w AS (SELECT *, regexp_extract(run, '{last}', 1) AS f, regexp_extract(next, '{first}', 1) AS s FROM runs)
     SELECT doc_id, ord, CAST(start + length(run) - length(f) AS INT) AS start, CAST(next_start + length(s) AS INT) AS "end", f || sep || s AS original, f AS suggestion
     FROM w WHERE f <> '' AND lower(f) = lower(s) AND regexp_matches(sep, '{BLANKS}') AND length(f) <= {MAX_WORD} AND lower(f) NOT IN ({names})
@@ -75,8 +75,8 @@ def long_sentence(blocks: DataFrame) -> DataFrame:
     return found.select(*KEYS, "start", F.col("end").cast("int").alias("end"), "n_words", F.col("text").alias("original"))
 
 
-def _long_sentence_sql() -> str:
-    return rf"""WITH {source.SQL}, {sentences_sql('blocks', 'doc_id, ord')},
+def long_sentence_sql(blocks: str = source.SQL) -> str:
+    return rf"""WITH {blocks}, {sentences_sql('blocks', 'doc_id, ord')},
     w AS (SELECT doc_id, ord, start, text, regexp_extract_all(text, '{word_sql()}') AS words FROM sentences)
     SELECT doc_id, ord, start, CAST(start + length(text) AS INT) AS "end", CAST(len(words) AS INT) AS n_words, text AS original FROM w
     WHERE len(words) > {LONG_SENTENCE} AND length(text) - length(replace(text, ';', '')) < {ENUMERATION_MARKS}
@@ -132,7 +132,7 @@ def typography_counts(blocks: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("start").alias("first_start"))
 
 
-def _typography_ctes() -> str:
+def typography_ctes() -> str:
     """Written over runs and their tokens: a doubled mark is a token of two equal marks, a glued comma stands between two tokens of letters."""
     p = PROTECTED
     return rf"""{runs_sql('blocks', 'doc_id, ord')},
@@ -176,8 +176,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "repeated_word": _repeated_word_sql(),
-        "long_sentence": _long_sentence_sql(),
-        "typography_cases": f"WITH {INJECTED_SQL}, {EQUATIONS}, {_typography_ctes()} SELECT * FROM found",
-        "typography_documents": f"WITH {source.SQL}, {NO_EQUATIONS}, {_typography_ctes()} SELECT doc_id, rule, count(*) AS n, min(start) AS first_start FROM found GROUP BY doc_id, rule",
+        "repeated_word": repeated_word_sql(),
+        "long_sentence": long_sentence_sql(),
+        "typography_cases": f"WITH {INJECTED_SQL}, {EQUATIONS}, {typography_ctes()} SELECT * FROM found",
+        "typography_documents": f"WITH {source.SQL}, {NO_EQUATIONS}, {typography_ctes()} SELECT doc_id, rule, count(*) AS n, min(start) AS first_start FROM found GROUP BY doc_id, rule",
     }
