@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.operators import rules
 from proofline.sources import text as source
 
+# Fixed value: characters of a replacement.
 MAX_REPLACEMENT = 1000
-#: One text for both engines: why an edit can't be applied, in the order of the checks.
-REASON = """CASE WHEN text IS NULL THEN 'block_not_found' WHEN text <> expected_text THEN 'block_changed' WHEN start < 0 OR stop < start OR stop > length(text) THEN 'invalid_range'
-  WHEN substring(text, start + 1, stop - start) <> expected THEN 'original_mismatch' WHEN kind = 'toc_entry' THEN 'unsupported_block'
-  WHEN length(replacement) > 1000 OR position(chr(9) IN replacement) > 0 OR position(chr(10) IN replacement) > 0 OR position(chr(13) IN replacement) > 0 OR replacement = expected THEN 'invalid_replacement' END"""
 
-BLOCKS = [(1, 0, "paragraph", "Le chat chat dort."), (1, 1, "toc_entry", "Sommaire 3"), (2, 0, "paragraph", "Un mot ,  deux.")]
-#: id, doc_id, ord, start, stop, expected_text, expected, replacement
-EDITS = [
-    (1, 1, 0, 3, 12, "Le chat chat dort.", "chat chat", "chat"), (2, 1, 0, 8, 17, "Le chat chat dort.", "chat dort", "rit"), (3, 1, 0, 13, 17, "Le chat chat dort.", "dort", "dort"),
-    (4, 1, 1, 0, 8, "Sommaire 3", "Sommaire", "Table"), (5, 1, 7, 0, 1, "x", "x", "y"), (6, 2, 0, 3, 8, "Autre", "mot ,", "mot,"), (7, 2, 0, 3, 8, "Un mot ,  deux.", "mot ,", "mot,"),
-    (8, 2, 0, 8, 10, "Un mot ,  deux.", "  ", " "), (9, 2, 0, 10, 99, "Un mot ,  deux.", "deux", "d"), (10, 2, 0, 0, 2, "Un mot ,  deux.", "Le", "Les"), (11, 2, 0, 10, 14, "Un mot ,  deux.", "deux", "deux\ttrois"), (12, 1, 0, 0, 2, "Le chat chat dort.", "Le", "Un"),
-]
-EDIT_SCHEMA = "id long, doc_id long, ord int, start int, stop int, expected_text string, expected string, replacement string"
+
+def reason() -> Column:
+    """Why an edit can't be applied, in the order of the checks; null if it can."""
+    text, start, stop, new = F.col("text"), F.col("start"), F.col("stop"), F.col("replacement")
+    bad_text = (F.length(new) > MAX_REPLACEMENT) | new.rlike(r"[\t\n\r\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]") | (new == F.col("expected"))
+    return (
+        F.when(text.isNull(), "block_not_found").when(text != F.col("expected_text"), "block_changed").when((start < 0) | (stop < start) | (stop > F.length(text)), "invalid_range")
+        .when(F.substr(text, start + 1, stop - start) != F.col("expected"), "original_mismatch").when(F.col("kind") == "toc_entry", "unsupported_block").when(bad_text, "invalid_replacement")
+    )
+
+
+#: For both engines: edits of the documents' repeated words with every fault there is, by plain arithmetic.
+FAULTS = {
+    "expected_text": "CASE WHEN id % 11 = 0 THEN concat(text, 'x') ELSE text END",
+    "new_start": "CASE WHEN id % 13 = 0 THEN -1 ELSE start END",
+    "stop": "CASE WHEN id % 17 = 0 THEN 1000000 WHEN id % 19 = 0 THEN stop + 3 ELSE stop END",
+    "new_ord": "CASE WHEN id % 23 = 0 THEN ord + 1000000 ELSE ord END",
+    "replacement": "CASE id % 7 WHEN 0 THEN concat(suggestion, chr(9)) WHEN 1 THEN original WHEN 2 THEN repeat('x', 1001) ELSE suggestion END",
+}
+KIND = "CASE WHEN ord % 9 = 8 THEN 'toc_entry' ELSE 'paragraph' END"
+
+
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edits and blocks."""
+    blocks = source.blocks(spark, sf_dir).withColumn("kind", F.expr(KIND))
+    hits = rules.repeated_word(blocks).join(blocks.select("doc_id", "ord", "text"), ["doc_id", "ord"]).withColumnRenamed("end", "stop")
+    hits = hits.withColumn("id", (F.col("doc_id") * 10000 + F.col("ord")) * 100000 + F.col("start"))
+    made = hits.withColumns({c: F.expr(e.replace("chr(", "char(")) for c, e in FAULTS.items() if c != "stop"}).withColumn("stop", F.expr(FAULTS["stop"]))
+    return made.select("id", "doc_id", F.col("new_ord").cast("int").alias("ord"), F.col("new_start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "expected_text", F.col("original").alias("expected"), "replacement"), blocks
 
 
 def checked(edits: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every edit with its block's text and the reason against it, null if there is none."""
     found = edits.join(blocks.select("doc_id", "ord", "kind", "text"), ["doc_id", "ord"], "left")
-    return found.withColumn("reason", F.expr(REASON.replace("chr(", "char(")))
+    return found.withColumn("reason", reason())
 
 
 def apart(edits: DataFrame) -> DataFrame:
@@ -75,22 +93,28 @@ def frozen(edits: DataFrame) -> DataFrame:
     return edits.groupBy("doc_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(e)), ";"), 256).alias("edits_hash"), F.count("*").alias("n"))
 
 
-def cases(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(EDITS, EDIT_SCHEMA), spark.createDataFrame(BLOCKS, "doc_id long, ord int, kind string, text string")
-
-
 def queries() -> dict:
     return {
-        "edit_reasons": lambda spark, sf: checked(*cases(spark)).select("id", "reason"),
-        "edit_outcomes_fold": lambda spark, sf: outcome(*cases(spark)),
-        "edits_frozen": lambda spark, sf: frozen(cases(spark)[0]),
+        "edit_reasons": lambda spark, sf: checked(*tables(spark, sf)).select("id", "reason"),
+        "edit_outcomes_fold": lambda spark, sf: outcome(*tables(spark, sf)),
+        "edits_frozen": lambda spark, sf: frozen(tables(spark, sf)[0]),
         "repeats_corrected_fold": lambda spark, sf: without_repeats(source.blocks(spark, sf)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    e = f"e(id, doc_id, ord, start, stop, expected_text, expected, replacement) AS (VALUES {rules.values(EDITS)})"
+    f = FAULTS
+    e = f"""{source.SQL}, h AS (SELECT r.*, "end" AS stop, b.text, (r.doc_id * 10000 + r.ord) * 100000 + start AS id FROM ({rules.repeated_word_sql()}) r JOIN blocks b ON b.doc_id = r.doc_id AND b.ord = r.ord),
+      e AS (SELECT id, doc_id, {f["new_ord"]} AS ord, {f["new_start"]} AS start, {f["stop"]} AS stop, {f["expected_text"]} AS expected_text, original AS expected, {f["replacement"]} AS replacement FROM h),
+      k AS (SELECT doc_id, ord, text, {KIND} AS kind FROM blocks)"""
+    why = f"""r AS (SELECT e.*, text, CASE WHEN text IS NULL THEN 'block_not_found' WHEN text <> expected_text THEN 'block_changed' WHEN start < 0 OR stop < start OR stop > length(text) THEN 'invalid_range'
+      WHEN substring(text, start + 1, stop - start) <> expected THEN 'original_mismatch' WHEN kind = 'toc_entry' THEN 'unsupported_block'
+      WHEN length(replacement) > {MAX_REPLACEMENT} OR contains(replacement, chr(9)) OR contains(replacement, chr(10)) OR replacement = expected THEN 'invalid_replacement' END AS reason FROM e LEFT JOIN k USING (doc_id, ord))"""
+    kept = """l AS (SELECT doc_id, ord, list([{'s': start, 'e': stop, 'id': id}] ORDER BY start, stop, id) AS l FROM r WHERE reason IS NULL GROUP BY doc_id, ord),
+      g AS (SELECT list_reduce(l, lambda a, x: CASE WHEN x[1].s < a[len(a)].e OR (x[1].s = a[len(a)].e AND (x[1].s = x[1].e OR a[len(a)].s = a[len(a)].e)) THEN a ELSE list_concat(a, x) END) AS l FROM l), kept AS (SELECT u.id FROM (SELECT unnest(l) AS u FROM g))"""
+    one = "concat_ws(':', ord, start, stop, replacement)"
     return {
-        "edit_reasons": f"WITH {e}, b(doc_id, ord, kind, text) AS (VALUES {rules.values(BLOCKS)}) SELECT CAST(id AS BIGINT) AS id, {REASON} AS reason FROM e LEFT JOIN b USING (doc_id, ord)",
-        "edits_frozen": f"WITH {e} SELECT CAST(doc_id AS BIGINT) AS doc_id, sha256(string_agg(concat_ws(':', ord, start, stop, replacement), ';' ORDER BY concat_ws(':', ord, start, stop, replacement))) AS edits_hash, count(*) AS n FROM e GROUP BY doc_id",
+        "edit_reasons": f"WITH {e}, {why} SELECT id, reason FROM r",
+        "edit_outcomes_fold": f"WITH {e}, {why}, {kept} SELECT id, coalesce(reason, CASE WHEN id IN (SELECT id FROM kept) THEN 'applied' ELSE 'overlap' END) AS outcome FROM r",
+        "edits_frozen": f"WITH {e} SELECT doc_id, sha256(string_agg({one}, ';' ORDER BY {one})) AS edits_hash, count(*) AS n FROM e GROUP BY doc_id",
     }

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.text import PROTECTED, SPACE
-from proofline.operators.rules import values
+from proofline.operators.rules import repeated_word, repeated_word_sql, values
+from proofline.sources import text as source
 
 # Kinds of findings and their subtypes, the kinds that can be sure, and homophones that make any finding doubtful.
 KINDS = {"gn": "gender_number", "ppas": "agreement", "conj": "conjugation", "infi": "conjugation", "imp": "conjugation", "vmode": "conjugation", "inte": "syntax", "conf": "syntax", "loc": "syntax"}
@@ -22,15 +23,6 @@ WORD = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 #: A word with a digit, of capitals only, or with a capital inside.
 NAME = r"\p{N}|^\p{Lu}{2,}$|.\p{Lu}"
 
-TEXTS = [(1, 0, "Les serveur marchent et ils a mangé."), (1, 1, "Voir GitHub dans C:\\les\\serveur ici."), (2, 0, "Son satisfaisants restent les résultat. Ils a fini.")]
-#: doc_id, ord, start, stop, rule, kind, suggestions
-FINDINGS = [
-    (1, 0, 4, 11, "gn_les_a1_1", "gn", ["serveurs"]), (1, 0, 28, 29, "conj_ils_b1_a1_1", "conj", ["ont"]), (1, 0, 24, 27, "conj_ils_b1_a2_1", "conj", ["il"]), (1, 0, 0, 3, "typo_a1_1", "typo", ["Le"]),
-    (1, 1, 5, 11, "gn_x_a1_1", "gn", ["git"]), (1, 1, 17, 31, "gn_y_a1_1", "gn", ["les"]), (2, 0, 4, 17, "gn_z_a1_1", "gn", ["satisfaisant"]), (2, 0, 30, 38, "gn_w_a1_1", "gn", ["résultats"]), (2, 0, 40, 43, "inte_a1_1", "inte", []),
-    (2, 0, 44, 45, "gn_v_a1_1", "gn", ["a ", "à"]), (2, 0, 46, 99, "gn_u_a1_1", "gn", ["x"]),
-]
-
-
 def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[’‘ʼ`´]", "'"), f"[{SPACE}]+", " "))
 
@@ -59,8 +51,17 @@ def mapped(findings: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select("doc_id", "ord", "start", "stop", "subtype", F.get("useful", F.lit(0)).alias("suggestion"), confidence.alias("confidence"), (F.col("n") - 1).cast("int").alias("alternatives"))
 
 
-def tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(FINDINGS, "doc_id long, ord int, start int, stop int, rule string, kind string, suggestions array<string>"), spark.createDataFrame(TEXTS, "doc_id long, ord int, text string")
+#: For both engines: the checker's findings, on the documents' repeated words, by plain arithmetic on their place.
+MADE = {"kind": "element_at(array('gn', 'ppas', 'conj', 'infi', 'typo', 'inte'), cast(start % 6 + 1 as int))", "rule": "concat('r', start % 50, '_a', start % 3 + 1, '_1')"}
+KIND_SQL = "['gn', 'ppas', 'conj', 'infi', 'typo', 'inte'][1 + start % 6]"
+
+
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings (doc_id, ord, start, stop, rule, kind, suggestions) and blocks."""
+    blocks = source.blocks(spark, sf_dir)
+    hits = repeated_word(blocks).withColumnRenamed("end", "stop").withColumns({c: F.expr(e) for c, e in MADE.items()})
+    other = F.when(F.col("start") % 4 == 0, F.array().cast("array<string>")).when(F.col("start") % 4 == 1, F.array("suggestion")).when(F.col("start") % 4 == 2, F.array("suggestion", F.upper("suggestion"))).otherwise(F.array("original"))
+    return hits.select("doc_id", "ord", "start", "stop", "rule", "kind", other.alias("suggestions")), blocks
 
 
 def by_kind(findings: DataFrame) -> DataFrame:
@@ -70,9 +71,8 @@ def by_kind(findings: DataFrame) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"grammar_issues": lambda spark, sf: mapped(*tables(spark)), "grammar_kinds": lambda spark, sf: by_kind(tables(spark)[0])}
+    return {"grammar_issues": lambda spark, sf: mapped(*tables(spark, sf)), "grammar_kinds": lambda spark, sf: by_kind(tables(spark, sf)[0])}
 
 
 def oracle_sql() -> dict[str, str]:
-    rows = values([r[:6] for r in FINDINGS])
-    return {"grammar_kinds": f"WITH f(d, o, a, b, rule, kind) AS (VALUES {rows}), k(kind, subtype) AS (VALUES {values(list(KINDS.items()))}) SELECT subtype, count(*) AS n FROM f JOIN k USING (kind) GROUP BY subtype"}
+    return {"grammar_kinds": f"WITH f AS (SELECT {KIND_SQL} AS kind FROM ({repeated_word_sql()})), k(kind, subtype) AS (VALUES {values(list(KINDS.items()))}) SELECT subtype, count(*) AS n FROM f JOIN k USING (kind) GROUP BY subtype"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fixtures
 import pytest
 from compare import connect, difference
 from conftest import SF
@@ -46,14 +47,49 @@ def test_long_sentence_cases(spark):
 
 
 def test_places_give_the_original(spark):
-    rows = rules.typography(blocks(spark, *[t for _, t in rules.TYPOGRAPHY_CASES])).collect()
-    texts = dict(rules.TYPOGRAPHY_CASES)
+    rows = rules.typography(blocks(spark, *[t for _, t in fixtures.TYPOGRAPHY_CASES])).collect()
+    texts = dict(fixtures.TYPOGRAPHY_CASES)
     assert {r["rule"] for r in rows} == {"double_space", "space_before_punctuation", "doubled_punctuation", "missing_space_after_comma"}
     assert all(texts[r["ord"]][r["start"] : r["end"]] == r["original"] for r in rows)
 
 
+def structure_cases(spark):
+    """The cases with the level of each heading: the parts of its number, 1 without one."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(fixtures.STRUCTURE_CASES, "doc_id long, ord int, kind string, text string")
+    number = F.regexp_extract("text", structure.HEADING_NUMBER, 1)
+    return rows.withColumn("level", F.when(F.col("kind") == "heading", F.greatest(F.lit(1), F.size(F.split(number, r"\.")))))
+
+
+def edit_tables(spark):
+    return spark.createDataFrame(fixtures.EDITS, fixtures.EDIT_SCHEMA), spark.createDataFrame(fixtures.BLOCKS, "doc_id long, ord int, kind string, text string")
+
+
+def test_every_mark_of_a_run(spark):
+    """All matches count, not only the first of a run; documents with equations are spared one rule; repeated ids don't mix."""
+    rows = blocks(spark, "aa,bb;;cc,dd", "un , deux,, trois", "10 ,, x", "aa,bb,cc,dd").withColumn("equations", rules.F.lit(False))
+    got = sorted((r["ord"], r["rule"], r["start"], r["original"]) for r in rules.typography(rows).collect())
+    assert got == [(0, "doubled_punctuation", 5, ";;"), (0, "missing_space_after_comma", 0, "aa,bb"), (0, "missing_space_after_comma", 7, "cc,dd"), (1, "doubled_punctuation", 9, ",,"), (1, "space_before_punctuation", 0, "un ,"),
+                   (2, "doubled_punctuation", 3, ",,"), (3, "missing_space_after_comma", 0, "aa,bb"), (3, "missing_space_after_comma", 6, "cc,dd")]
+    spared = rules.typography(rows.withColumn("equations", rules.F.lit(True)))
+    assert {r["rule"] for r in spared.collect()} == {"doubled_punctuation", "missing_space_after_comma"}
+    twice = blocks(spark, "le le chat", "oui oui").withColumn("ord", rules.F.lit(0))
+    assert sorted((r["start"], r["end"], r["original"]) for r in rules.repeated_word(twice).collect()) == [(0, 5, "le le"), (0, 7, "oui oui")]
+
+
+def test_contradictions_and_glossaries(spark):
+    rows = spark.createDataFrame([("coherence", "contradiction", "high", None, v) for v in ("contradictory", "compatible", None)], "category string, subtype string, confidence string, suggestion string, verdict string")
+    assert sorted(r["n"] for r in rows.select(issues.nature().alias("n")).collect()) == ["potential", "verify", "verify"]
+    texts = [(1, 0, "paragraph", "Le XYZ et le XYZ."), (2, 0, "heading", "Glossaire"), (2, 1, "paragraph", "Le XYZ et le XYZ."), (3, 0, "heading", "XYZ"), (3, 1, "paragraph", "Le XYZ seul."), (4, 0, "paragraph", "Le XYZ (ceci), le XYZ.")]
+    found = structure.undefined_acronym(spark.createDataFrame(texts, "doc_id long, ord int, kind string, text string"))
+    assert [(r["doc_id"], r["acronym"]) for r in found.collect()] == [(1, "XYZ")]
+    deep = [(1, k, "heading", "1.1.1.1.1.1.1." + str(n) + " x", 8) for k, n in enumerate((1, 2, 4))]
+    assert [r["number"] for r in structure.heading_gap(spark.createDataFrame(deep, "doc_id long, ord int, kind string, text string, level int")).collect()] == ["1.1.1.1.1.1.1.4"]
+
+
 def test_structure_cases(spark):
-    cases = structure.case_blocks(spark)
+    cases = structure_cases(spark)
     assert [tuple(r) for r in structure.heading_gap(cases).orderBy("doc_id", "ord").collect()] == [(1, 7, "1.3", "1.1", 2), (1, 11, "4", "2", 3), (3, 1, "5", "1", 2)]
     assert [r["original"] for r in structure.toc_mismatch(cases).collect()] == ["Annexe perdue"]
     found = {(r["doc_id"], r["ord"]): (r["path"], r["paragraph"]) for r in structure.sections(cases).collect()}
@@ -70,7 +106,7 @@ def overlapping(rows):
 @pytest.mark.parametrize("dedupe", [issues.final_dedupe, issues.block_dedupe])
 def test_greedy_choice(spark, dedupe):
     rows = issues.issue_rows(spark, SF)
-    every = issues.classified(rows).withColumn("family", issues.F.expr(issues.FAMILY)).withColumn("p", issues.F.expr(issues.PRIORITY)).collect()
+    every = issues.classified(rows).withColumn("family", issues.family()).withColumn("p", issues.priority()).collect()
     kept = {r["issue_id"] for r in dedupe(rows).collect()}
     places = {(r["doc_id"], r["block"], r["family"], r["start"], r["end"], r["issue_id"]) for r in every if r["issue_id"] in kept}
     assert not overlapping(places)
@@ -121,7 +157,7 @@ def test_distance():
 def test_misspellings(spark):
     from proofline.operators import lexicon
 
-    rows = {r["word"]: r["suggestion"] for r in lexicon.misspelling(*lexicon.tables(spark)).collect()}
+    rows = {r["word"]: r["suggestion"] for r in lexicon.misspelling(spark.createDataFrame([(x,) for x in fixtures.TEXTS], "text string"), spark.createDataFrame(fixtures.LEXICON, "word string, zipf double")).collect()}
     assert rows["maisno"] == "maison" and rows["professionel"] == "professionnel" and rows["bonjuor"] == "bonjour" and rows["chateau"] == "château" and rows["tres"] == "très"
     assert "zzyzx" not in rows
 
@@ -129,9 +165,9 @@ def test_misspellings(spark):
 def test_edits(spark):
     from proofline.operators import edits
 
-    outcome = {r["id"]: r["outcome"] for r in edits.outcome(*edits.cases(spark)).collect()}
+    outcome = {r["id"]: r["outcome"] for r in edits.outcome(*edit_tables(spark)).collect()}
     assert outcome[1] == "applied" and outcome[2] == "overlap" and outcome[7] == outcome[8] == "applied" and outcome[12] == "applied"
-    texts = {(r["doc_id"], r["ord"]): r["text"] for r in edits.applied(*edits.cases(spark)).collect()}
+    texts = {(r["doc_id"], r["ord"]): r["text"] for r in edits.applied(*edit_tables(spark)).collect()}
     assert texts == {(1, 0): "Un chat dort.", (2, 0): "Un mot, deux."}
 
 
@@ -166,7 +202,7 @@ def test_docx(spark, tmp_path):
 def test_grammar_findings(spark):
     from proofline.operators import grammar
 
-    rows = {(r["doc_id"], r["ord"], r["start"]): (r["subtype"], r["suggestion"], r["confidence"], r["alternatives"]) for r in grammar.mapped(*grammar.tables(spark)).collect()}
+    rows = {(r["doc_id"], r["ord"], r["start"]): (r["subtype"], r["suggestion"], r["confidence"], r["alternatives"]) for r in grammar.mapped(spark.createDataFrame(fixtures.FINDINGS, "doc_id long, ord int, start int, stop int, rule string, kind string, suggestions array<string>"), spark.createDataFrame(fixtures.GRAMMAR_TEXTS, "doc_id long, ord int, text string")).collect()}
     assert rows == {
         (1, 0, 4): ("gender_number", "serveurs", "high", 0),
         (1, 0, 28): ("conjugation", "ont", "medium", 1),
