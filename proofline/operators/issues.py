@@ -131,11 +131,11 @@ def rule_cap(issues: DataFrame) -> DataFrame:
 
 
 def top_issues(issues: DataFrame, most: int) -> DataFrame:
-    """The most important issues of each document; ``capped`` tells whether there were more."""
+    """The most important issues of each document, with priority and place; ``capped`` tells whether there were more. All columns stay."""
     w = Window.partitionBy("doc_id")
     found = classified(issues).withColumn("priority", priority())
     found = found.withColumns({"place": F.row_number().over(w.orderBy(F.desc("priority"), "block", "start", "issue_id")), "capped": F.count("*").over(w) > most})
-    return found.where(F.col("place") <= most).select("issue_id", "doc_id", "priority", "place", "capped")
+    return found.where(F.col("place") <= most)
 
 
 GROUP = ["doc_id", "block", "family"]
@@ -158,13 +158,13 @@ def keep_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts.insert(at, start)
                 ends.insert(at, end)
             keep.append(free)
-        yield batch.select(["issue_id", "doc_id"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def greedy(issues: DataFrame) -> DataFrame:
-    """One issue per place in each group, the one with the highest priority; ties go to the first in the text."""
-    rows = issues.select("issue_id", *GROUP, "start", "end", "priority")
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("priority"), "start", "issue_id").mapInArrow(keep_apart, "issue_id long, doc_id long")
+    """One issue per place in each group, the one with the highest priority; ties go to the first in the text. All columns stay."""
+    ordered = issues.repartition(*GROUP).sortWithinPartitions(*GROUP, F.desc("priority"), "start", "issue_id")
+    return ordered.mapInArrow(keep_apart, ordered.schema).drop("priority", "family")
 
 
 def final_dedupe(issues: DataFrame) -> DataFrame:
@@ -206,13 +206,15 @@ def score(issues: DataFrame) -> DataFrame:
     return out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100 - F.round(total, 6) + 0.5))).cast("int"))
 
 
-def _score_sql() -> str:
+def score_ctes() -> str:
+    """For DuckDB: the score as common table expressions over ``classified``, ending in ``scored``."""
     weight = f"{_case('nature', NATURE_WEIGHT)} * {_case('severity', model.SEVERITY_RANK)}"
     raw = ", ".join(f"round(CAST(sum(CASE WHEN category = '{c}' THEN CAST({weight} AS DOUBLE) ELSE 0.0 END) AS DOUBLE), 6) AS {c}" for c in model.CATEGORIES)
     thousands = f"(greatest(doc_words, {LEAST_WORDS}) / 1000)"
     pen = ", ".join(f"floor(least(CAST({PENALTY_CAP[c]} AS DOUBLE), {c} / {thousands} * {PER_DENSITY}) * 10 + 0.5) / 10 AS {c}" for c in model.CATEGORIES)
-    return f"""WITH {CLASSIFIED_SQL}, s AS (SELECT doc_id, any_value(doc_words) AS doc_words, {raw} FROM classified GROUP BY doc_id), p AS (SELECT doc_id, {pen} FROM s)
-      SELECT *, CAST(greatest(0, least(100, floor(100 - round({' + '.join(model.CATEGORIES)}, 6) + 0.5))) AS INT) AS score FROM p"""
+    total = " + ".join(model.CATEGORIES)
+    return f"""s AS (SELECT doc_id, any_value(doc_words) AS doc_words, {raw} FROM classified GROUP BY doc_id), pen AS (SELECT doc_id, {pen} FROM s),
+      scored AS (SELECT *, CAST(greatest(0, least(100, floor(100 - round({total}, 6) + 0.5))) AS INT) AS score FROM pen)"""
 
 
 TOP = 20
@@ -228,9 +230,9 @@ def queries() -> dict:
         "issue_classified": lambda spark, sf: classified(rows(spark, sf)).select("issue_id", "doc_id", "category", "subtype", "confidence", "nature", "severity"),
         "issue_fingerprint": lambda spark, sf: fingerprint(rows(spark, sf)),
         "rule_cap": lambda spark, sf: rule_cap(rows(spark, sf)).select("issue_id", "doc_id", "rule", "place"),
-        "top_issues": lambda spark, sf: top_issues(rows(spark, sf), TOP),
-        "final_dedupe_greedy": lambda spark, sf: final_dedupe(rows(spark, sf)),
-        "block_dedupe_greedy": lambda spark, sf: block_dedupe(rows(spark, sf)),
+        "top_issues": lambda spark, sf: top_issues(rows(spark, sf), TOP).select("issue_id", "doc_id", "priority", "place", "capped"),
+        "final_dedupe_greedy": lambda spark, sf: final_dedupe(rows(spark, sf)).select("issue_id", "doc_id"),
+        "block_dedupe_greedy": lambda spark, sf: block_dedupe(rows(spark, sf)).select("issue_id", "doc_id"),
         "issue_counts": lambda spark, sf: counts(rows(spark, sf)),
         "quality_score": lambda spark, sf: score(rows(spark, sf)),
     }
@@ -252,5 +254,5 @@ def oracle_sql() -> dict[str, str]:
         "block_dedupe_greedy": f"""WITH {ISSUES_SQL}, p AS (SELECT *, {_case('confidence', model.CONFIDENCE_RANK)} AS priority, {FAMILY} AS family FROM issues), {GREEDY_SQL} SELECT issue_id, doc_id FROM apart""",
         "issue_counts": f"""WITH {CLASSIFIED_SQL}, g AS ({dims}), d AS (SELECT DISTINCT doc_id FROM issues), f AS ({found})
           SELECT d.doc_id, g.dimension, g.value, coalesce(n, 0) AS n FROM d CROSS JOIN g LEFT JOIN f ON f.doc_id = d.doc_id AND f.dimension = g.dimension AND f.value = g.value""",
-        "quality_score": _score_sql(),
+        "quality_score": f"WITH {CLASSIFIED_SQL}, {score_ctes()} SELECT * FROM scored",
     }

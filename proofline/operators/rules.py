@@ -9,6 +9,7 @@ from proofline.functions.text import NUMBER, PROTECTED, SPACE, WORD, every, matc
 from proofline.sources import text as source
 
 KEYS = ["doc_id", "ord"]
+FOUND = ["doc_id", "ord", "start", "end", "original", "suggestion"]
 # Words that are often right when doubled, and the longest word looked at.
 ALLOWED_REPEATS = ("nous", "vous")
 MAX_WORD = 30
