@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import discard, documents, drawn, materialize, small_batches, text_or_empty
+from proofline.llm.shared import discard, documents, drawn, drop_shuffles, materialize, small_batches, text_or_empty
 from proofline.llm.wordhash import _powers_of, binary_column, mix, slices
 
 LENGTH = 100
@@ -56,7 +56,7 @@ class Sizes:
     group: int = 2000
     #: bytes in a shard, in what is merged at once, and in a portion of a long text
     shard: int = 1 << 18
-    batch: int = 1 << 21
+    batch: int = 1 << 20
     portion: int = 1 << 20
 
 
@@ -163,10 +163,10 @@ class Shards:
         they are in order of their first h symbols; blocks hold rows that agree so far. A row alone in its block can't agree with
         any other later on and leaves.
         """
-        rows, own = self.row[places], np.arange(len(places))
+        rows, own = self.row[places], np.arange(len(places), dtype=np.int32)
         number, given = np.full(len(places), -1, np.int64), 0
         order = np.argsort(lengths, kind="stable")
-        rows, own, lengths = rows[order], own[order], lengths[order]
+        rows, own, lengths = rows[order], own[order], lengths[order].astype(np.int16)
         block = np.cumsum(np.diff(lengths, prepend=lengths[:1]) != 0).astype(np.int32)
         step = 0
         while len(rows):
@@ -230,10 +230,10 @@ class Batch:
         alive = np.flatnonzero(~gone)
         _, which, count = np.unique(self.key[alive], return_inverse=True, return_counts=True)
         several = alive[count[which] > 1]
-        run = np.repeat(several, self.n[several])
-        offset = np.arange(len(run)) - np.repeat(np.cumsum(self.n[several]) - self.n[several], self.n[several])
+        run = np.repeat(several.astype(np.int32), self.n[several])
+        offset = (np.arange(len(run)) - np.repeat(np.cumsum(self.n[several]) - self.n[several], self.n[several])).astype(np.int32)
         first = self.begin[run] + offset
-        again = later_of(shards.merge(behind[first + LENGTH - 1], np.full(len(run), LENGTH)), place[run] + offset, rank[run])
+        again = later_of(shards.merge(behind[first + LENGTH - 1], np.full(len(run), LENGTH, np.int16)), place[run] + offset, rank[run])
         kept = np.ones(len(self.n), bool)
         kept[gone] = False
         kept[several] = np.bincount(run[again], minlength=len(self.n))[several] < self.n[several]
@@ -402,7 +402,7 @@ def later_copies(texts: DataFrame) -> DataFrame:
 
 
 def candidates_of(texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """The texts that hold repeated representatives, but for whole copies: doc_id, h, text, runs; texts that share much stand together."""
+    """The texts that hold repeated representatives, but for whole copies: doc_id, h, text, runs, least (representative)."""
     runs = lambda df: df.mapInArrow(fingerprints, "fp long, doc_id long, place long")
     share = SAMPLE_DOCS / max(1, texts.count())
     hot = runs(texts.where(drawn(F.col("doc_id"), share))).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HOT).select("fp", F.lit(True).alias("hot"))
@@ -415,12 +415,19 @@ def candidates_of(texts: DataFrame, copies: DataFrame) -> DataFrame:
     per_doc = per_doc.join(gone, "doc_id", "left")
     own = texts.select("doc_id", F.xxhash64("text").alias("h"), "text").join(per_doc, "doc_id")
     own = own.where(~F.coalesce(F.array_contains("gone", F.col("h")), F.lit(False))).dropDuplicates(["doc_id", "h"])
-    dealt = own.repartitionByRange("least", "doc_id").sortWithinPartitions("least", "doc_id")
-    found = materialize(dealt.select("doc_id", "h", "text", "runs"), "repeat-candidates")
+    found = materialize(own.select("doc_id", "h", "text", "runs", "least"), "repeat-joined")
     discard(hot)
     return found
 
 
+def clustered(joined: DataFrame) -> DataFrame:
+    """The same, dealt out so that texts that share much stand together."""
+    # merging costs by the text and ranges are even by rows only, so they are made small
+    parts = 2 * int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = joined.repartitionByRange(parts, "least", "doc_id").sortWithinPartitions("least", "doc_id")
+    return materialize(dealt.select("doc_id", "h", "text", "runs"), "repeat-candidates")
+
+
 def spans(candidates: DataFrame, sizes: Sizes) -> DataFrame:
     """Byte ranges to remove: doc_id, h, start, stop."""
     tables = [materialize(candidates.mapInArrow(compare_texts(sizes), FOUND), "repeat-texts")]
@@ -475,7 +482,11 @@ def dedup(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
     """Documents that lose bytes: doc_id, h (hash of the text), n_removed, n_spans and ``kept`` (the bytes left)."""
     texts = keyed(docs)
     copies = materialize(later_copies(texts), "repeat-copies")
-    candidates = candidates_of(texts, copies)
+    joined = candidates_of(texts, copies)
+    drop_shuffles(docs.sparkSession)  # written tables stand between, so each step's shuffle files can go before the next one's come
+    candidates = clustered(joined)
+    discard(joined)
+    drop_shuffles(docs.sparkSession)
     found = spans(candidates, sizes)
     own = found.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     rows = candidates.select("doc_id", "h", "text").join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "spans")
