@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm import bpe, chat, decontaminate, license, ngram_join, passages, quality, records, repeats, toxicity
+from proofline.llm import alignment, bpe, chat, decontaminate, license, ngram_join, passages, quality, records, repeats, simhash, toxicity, vector_codes
 
-MODULES = [quality, chat, license]
+MODULES = [quality, chat, license, vector_codes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_chat_format": chat.op9_chat_format,
         "op10_license_scan": license.op10_license_scan,
+        "op11_simhash": simhash.op11_simhash,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
