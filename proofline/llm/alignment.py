@@ -8,10 +8,10 @@ byte they are cut into groups; tokens of one group are linked.
    character that fails the check is no split.
 2. A task packs its documents into blocks of bounded size: a list of different segments, and for each document the numbers of its segments in order.
 3. Different segments of all blocks are tokenised and aligned once.
-4. Alignments are joined to the blocks' segments (a row per block and segment, however often it occurs), gathered by block, and documents are composed from them:
-   first the pairs of ids that each holds, whose documents are counted over the whole corpus, then, with these counts summed per segment, the result.
+4. Alignments are joined to the blocks' segments (a row per block and segment, however often it occurs), gathered by block, and documents are composed from them: their
+   digests and numbers, and the pairs of ids that each holds. The documents of a pair are counted over the whole corpus; counts go back to the blocks that hold the pair.
 
-Texts are never shuffled, only blocks' numbers and segments; a frequent segment has a row per block, and adaptive skew join splits it.
+Texts are never shuffled, only blocks' numbers (compressed) and segments; a frequent segment has a row per block, and adaptive skew join splits it.
 
 Defined results: a null or empty text, or one that a tokenizer does not give back byte by byte (B reads U+2581 as a space), has no tokens: zeros, and '' for its
 groups. Each row is a document: rows with a null or repeated doc_id, and repeated rows, count and get a row each. Texts of white space alone are one segment. A text is
@@ -24,29 +24,40 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.shared import discard, documents, materialize, small_batches, text_or_empty
 
 VOCABULARIES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Bytes of text in a block.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 SPACE = "▁"
 #: Characters before which a text may be split, if the vocabularies allow it; both tokenizers read them as white space.
 SPLITTERS = " \n\t\r\x0b\x0c"
+#: Different segments that are encoded in one call, and links of a group beyond which it is counted by different ids.
+TOGETHER, CROWD = 2000, 1 << 16
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>"
-ALIGNED = "segment string, n_a int, n_b int, n_groups int, groups string, pairs array<long>, times array<long>"
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+LINKED = "block long, doc_ids array<long>, " + ", ".join(f"{c} array<long>" for c in NUMBERS) + ", digests array<string>, kinds array<int>, held binary, times binary, pairs array<long>, documents array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed."""
+    return pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+
+
 def byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from 256."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -72,6 +83,7 @@ class Pair:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
         self.space = pieces.index(SPACE)
+        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         with open(path_a, encoding="utf-8") as f:
             settings = json.load(f)
         own = settings["pre_tokenizer"] or {}
@@ -83,6 +95,7 @@ class Pair:
         if " " not in safe:
             raise ValueError("the vocabularies merge across spaces")
         self.split = re.compile(rf"\s*\S+(?:(?![{safe}])\s+\S+)*(?:\s++\Z)?").findall
+        self.plain, self.odd = re.compile(r"\s*\S+").findall, re.compile(rf"(?![{safe}])\s").search
 
     def apart(self, space: str, vocabularies: list) -> bool:
         """Whether no token holds ``space`` behind a character that is no white space, and B never behind its space mark (but for spaces themselves)."""
@@ -96,18 +109,44 @@ class Pair:
     def segments(self, text: str) -> list[str]:
         """The segments of a space and the text."""
         text = " " + text
-        return self.split(text) or [text]
-
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of segments as they stand in a text. B puts a space before every text: one that a segment begins with is left to it, else its mark is removed."""
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        spaced = [s.startswith(" ") for s in segments]
-        b = self.b.encode([s[x:] for s, x in zip(segments, spaced, strict=True)], num_threads=1)
-        # an empty text gets no mark
-        b = [(ids or [self.space]) if x else ids[1:] if ids[:1] == [self.space] else None for ids, x in zip(b, spaced, strict=True)]
-        if None in b:
+        if self.odd(text):
+            return self.split(text) or [text]
+        found = self.plain(text)
+        rest = len(text) - len(text.rstrip())
+        return [*found[:-1], found[-1] + text[-rest:]] if rest and found else found or [text]
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """The ids of a text as it stands behind others. B puts a space before every text: one that the text begins with is left to it, else its mark is removed."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        if text.startswith(" "):
+            return a, self.b.encode(text[1:]) or [self.space]  # an empty text gets no mark
+        b = self.b.encode(text)
+        if b[0] != self.space:
             raise ValueError("a space mark was merged with a split")
-        return a, b
+        return a, b[1:]
+
+    def equal(self, text: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join([self.bytes_a[k] for k in a]) == text and b"".join([self.bytes_b[k] for k in b]) == text
+
+    def aligned(self, segments: list[str]) -> list[str | None]:
+        """Every segment's groups as text; null where bytes differ. Segments are encoded in a row, as they would stand in a text, if all give their bytes back."""
+        raw = [s.encode() for s in segments]
+        a, b = self.encode("".join(segments))
+        if not self.equal(b"".join(raw), a, b):
+            if len(segments) == 1:
+                return [None]
+            half = len(segments) // 2
+            return self.aligned(segments[:half]) + self.aligned(segments[half:])
+        ends = [np.cumsum([own[k] for k in ids]) for own, ids in ((self.size_a, a), (self.size_b, b))]
+        common = np.intersect1d(*ends)
+        cuts = [[0, *np.searchsorted(e, common, "right").tolist()] for e in ends]
+        words = [list(map(str, x)) for x in (a, b)]
+        groups = [",".join(words[0][i:j]) + "|" + ",".join(words[1][k:m]) for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False)]
+        last = np.cumsum([len(r) for r in raw])
+        upto = np.searchsorted(common, last, "right")
+        if not np.array_equal(common[upto - 1], last):
+            raise ValueError("a token reaches across a split")
+        return [";".join(groups[i:j]) for i, j in zip([0, *upto.tolist()], upto.tolist(), strict=False)]
 
 
 @cache
@@ -138,8 +177,7 @@ def packer(paths: tuple[str, str], size: int = BLOCK):
 
         def block() -> pa.RecordBatch:
             sizes = [len(x) for x in found]
-            packed = np.concatenate(found).astype("<i4").tobytes()
-            row = {"block": pa.array([part << 32 | k], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "numbers": [packed], "segments": [list(numbers)]}
+            row = {"block": pa.array([part << 32 | k], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "numbers": [packed(np.concatenate(found))], "segments": [list(numbers)]}
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
@@ -156,135 +194,155 @@ def packer(paths: tuple[str, str], size: int = BLOCK):
     return run
 
 
-def grouped(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The tokens of one text in groups: cut where both sides end."""
-    out, i, j = [], 0, 0
-    for end in sorted(set(ends_a) & set(ends_b)):
-        x, y = i, j
-        while ends_a[i] != end:
-            i += 1
-        while ends_b[j] != end:
-            j += 1
-        i, j = i + 1, j + 1
-        out.append((a[x:i], b[y:j]))
-    return out
-
-
 def aligner(paths: tuple[str, str]):
-    """Segments to their alignments: counts, groups as text, pairs of ids (A's in the upper half) and how often each is linked. Unequal bytes give null."""
+    """Segments to (segment, groups)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(*paths)
-        size_a, size_b = ([len(x) for x in y] for y in (both.bytes_a, both.bytes_b))
         for batch in batches:
-            segments = batch["segment"].to_pylist()
-            rows = []
-            for segment, a, b in zip(segments, *both.encode(segments), strict=True):
-                raw = segment.encode()
-                if b"".join([both.bytes_a[k] for k in a]) != raw or b"".join([both.bytes_b[k] for k in b]) != raw:
-                    rows.append((segment, None, None, None, None, None, None))
-                    continue
-                groups = grouped(a, b, np.cumsum([size_a[k] for k in a]).tolist(), np.cumsum([size_b[k] for k in b]).tolist())
-                times: Counter[int] = Counter()
-                for x, y in groups:
-                    if len(x) == len(y) == 1:
-                        times[x[0] << 32 | y[0]] += 1
-                    else:
-                        left, right = Counter(x), Counter(y)
-                        times.update({p << 32 | q: n * m for p, n in left.items() for q, m in right.items()})
-                text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-                rows.append((segment, len(a), len(b), len(groups), text, list(times), list(times.values())))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ALIGNED.split(", ")])
+            every = batch["segment"].to_pylist()
+            # those that end in white space stand at the end of a text only
+            alone = [s for s in every if s[-1].isspace()]
+            rest = [s for s in every if not s[-1].isspace()]
+            parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)] + [[s] for s in alone]
+            found = [both.aligned(p) for p in parts]
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([s for p in parts for s in p], pa.string()), "groups": pa.array([g for f in found for g in f], pa.string())})
 
     return run
 
 
-class Block:
-    """A block and the rows joined to its segments."""
-
-    def __init__(self, row: dict):
-        self.doc_ids, self.numbers = row["doc_ids"], np.frombuffer(row["numbers"], "<i4")
-        sizes = np.array(row["sizes"], np.int64)
-        self.n = len(sizes)
-        self.document = np.repeat(np.arange(self.n), sizes)
-        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.rows = sorted(row["rows"], key=lambda r: r["place"])
-        known = np.array([r["pairs"] is not None if "pairs" in r else r["groups"] is not None for r in self.rows], bool)
-        bad = np.bincount(self.document, ~known[self.numbers], self.n) if len(self.numbers) else np.zeros(self.n)
-        self.good = (bad == 0) & (sizes > 0)
-
-    def per_document(self, name: str) -> list[int]:
-        values = np.array([r[name] or 0 for r in self.rows], np.int64)
-        sums = np.concatenate([[0], np.cumsum(values[self.numbers])])
-        return np.where(self.good, sums[self.bounds[1:]] - sums[self.bounds[:-1]], 0).tolist()
-
-
-def held_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with their segments' pairs to (pair, n): how many of the block's documents hold it."""
+class Groups:
+    """The groups of a block's segments, read from their text into arrays."""
+
+    def __init__(self, texts: list[str | None]):
+        n = len(texts)
+        self.known = np.array([t is not None for t in texts], bool)
+        per_segment = np.array([t.count(";") + 1 if t is not None else 0 for t in texts], np.int64)
+        codes = np.frombuffer(";".join([t for t in texts if t is not None]).encode(), np.uint8)
+        marks = np.flatnonzero((codes < ord("0")) | (codes > ord("9")))
+        begin, end = np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(codes)]])
+        values = np.zeros(len(end), np.int64)
+        for k in range(int((end - begin).max(initial=0))):
+            here = end - 1 - k >= begin
+            values[here] += (codes[end[here] - 1 - k].astype(np.int64) - ord("0")) * 10**k
+        if not len(codes):
+            begin, values = begin[:0], values[:0]
+        before = np.concatenate([[0], codes[marks]])[: len(values)]
+        group = np.cumsum(before == ord(";"))
+        second = np.cumsum(before == ord("|")) > group
+        groups = int(per_segment.sum())
+        segment = np.repeat(np.arange(n), per_segment)
+        ids, sides = (values[~second], values[second]), (group[~second], group[second])
+        counts = [np.bincount(g, minlength=groups) for g in sides]
+        products = counts[0] * counts[1]
+        sums = lambda x: np.bincount(segment, x, n).astype(np.int64) if groups else np.zeros(n, np.int64)
+        self.numbers = {"n_a": sums(counts[0]), "n_b": sums(counts[1]), "n_groups": per_segment, "n_links": sums(products)}
+        # all links of small groups, and of large ones every pair of different ids with its number
+        small = products <= CROWD
+        own = small[sides[0]]
+        reps = counts[1][sides[0][own]]
+        heads = np.cumsum(counts[1]) - counts[1]
+        at = np.repeat(heads[sides[0][own]] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        found = [(segment[np.repeat(sides[0][own], reps)], np.repeat(ids[0][own], reps) << 32 | ids[1][at], np.ones(len(at), np.int64))]
+        for g in np.flatnonzero(~small).tolist():
+            (a, x), (b, y) = (np.unique(i[s == g], return_counts=True) for i, s in zip(ids, sides, strict=True))
+            found.append((np.full(len(a) * len(b), segment[g]), (a[:, None] << 32 | b).ravel(), (x[:, None] * y).ravel()))
+        where, pairs, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.pairs, local = np.unique(pairs, return_inverse=True)
+        width = max(len(self.pairs), 1)
+        key, self.times = summed(where * width + local, times)
+        self.pair = key % width
+        self.bounds = np.searchsorted(key // width, np.arange(n + 1))
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(values, first) if len(first) else values
+
+
+def by_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their segments' groups to what is known of their documents but for the corpus's counts."""
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row)
-            lists = [r["pairs"] or [] for r in block.rows]
-            pairs, local = np.unique(np.array([p for x in lists for p in x], np.int64), return_inverse=True)
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-            some = block.good[block.document]
-            held = np.unique(block.document[some] * len(lists) + block.numbers[some]) if len(lists) else np.zeros(0, np.int64)
-            document, segment = held // max(len(lists), 1), held % max(len(lists), 1)
-            n = (bounds[1:] - bounds[:-1])[segment]
-            at = np.repeat(bounds[segment] - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            seen = np.unique(np.repeat(document, n) * len(pairs) + local[at]) % max(len(pairs), 1)
-            counts = np.bincount(seen, minlength=len(pairs))
-            there = counts > 0
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[there]), pa.array(counts[there], pa.int64())], names=["pair", "n"])
-
-
-def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with all that is known of their segments to the results of their documents."""
+        for k in range(batch.num_rows):
+            ids, sizes = batch["doc_ids"][k].as_py(), batch["sizes"][k].values.to_numpy().astype(np.int64)
+            numbers = unpacked(batch["numbers"][k].as_py(), int(sizes.sum()))
+            places, texts = batch["places"][k].values.to_numpy(), batch["groups"][k].values
+            texts = texts.take(pa.array(np.argsort(places))).to_pylist()
+            groups = Groups(texts)
+            document, bounds = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+            good = (sizes > 0) & (by_document(~groups.known[numbers], bounds) == 0)
+            columns = {c: pa.array([np.where(good, by_document(groups.numbers[c][numbers], bounds), 0)], pa.list_(pa.int64())) for c in NUMBERS}
+            digests = [hashlib.sha256(";".join([texts[n] for n in numbers[i:j].tolist()]).encode()).hexdigest() if g else "" for i, j, g in zip(bounds.tolist(), bounds[1:].tolist(), good.tolist(), strict=False)]
+            # pairs of a document: those of its different segments, as often as these stand in it
+            some, width, span = good[document], max(len(texts), 1), max(len(groups.pairs), 1)
+            held, often = np.unique(document[some] * width + numbers[some], return_counts=True)
+            segment, n = held % width, np.diff(groups.bounds)
+            n = n[segment]
+            at = np.repeat(groups.bounds[segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key, times = summed(np.repeat(held // width, n) * span + groups.pair[at], np.repeat(often, n) * groups.times[at])
+            per = np.bincount(key // span, minlength=len(sizes))
+            seen = np.bincount(key % span, minlength=len(groups.pairs))  # pairs that only texts without tokens hold go
+            own = (np.cumsum(seen > 0) - 1)[key % span]
+            row = {"block": batch["block"].slice(k, 1), "doc_ids": pa.array([ids], pa.list_(pa.int64()))} | columns | {"digests": [digests], "kinds": pa.array([per], pa.list_(pa.int32())), "held": [packed(np.diff(own, prepend=0) % (1 << 32))], "times": [packed(times)]}
+            yield pa.RecordBatch.from_pydict(row | {"pairs": pa.array([groups.pairs[seen > 0]], pa.list_(pa.int64())), "documents": pa.array([seen[seen > 0]], pa.list_(pa.int64()))})
+
+
+def composer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the counts of their pairs to the results of their documents."""
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row)
-            texts = [r["groups"] for r in block.rows]
-            digests = []
-            for k, good in enumerate(block.good.tolist()):
-                own = [texts[n] for n in block.numbers[block.bounds[k] : block.bounds[k + 1]].tolist()] if good else []
-                digests.append(hashlib.sha256(";".join(own).encode()).hexdigest() if good else "")
-            names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-            columns = {"doc_id": pa.array(block.doc_ids, pa.int64())} | {c: pa.array(block.per_document(c), pa.int64()) for c in names}
-            yield pa.RecordBatch.from_pydict(columns | {"groups_sha256": pa.array(digests, pa.string())})
+        for k in range(batch.num_rows):
+            kinds = batch["kinds"][k].values.to_numpy().astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(kinds)])
+            own = np.cumsum(unpacked(batch["held"][k].as_py(), int(bounds[-1]))) % (1 << 32)
+            times = unpacked(batch["times"][k].as_py(), int(bounds[-1]))
+            order = np.argsort(batch["places"][k].values.to_numpy())
+            n, best = (batch[c][k].values.to_numpy()[order] for c in ("n", "best"))
+            columns = {"doc_id": batch["doc_ids"][k].values} | {c: batch[c][k].values for c in NUMBERS}
+            columns |= {"n_best": by_document(times * best[own], bounds), "count_sum": by_document(times * n[own], bounds), "groups_sha256": batch["digests"][k].values}
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = BLOCK) -> DataFrame:
     """The alignment of every row of ``docs``."""
     paths = paths or default_paths()
     pair(*paths)  # tokenizers that can't be split are refused before any task runs
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 20_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     blocks = materialize(rows.mapInArrow(packer(paths, size), BLOCKS), "align-blocks")
     segments = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    aligned = materialize(segments.select("segment").distinct().mapInArrow(aligner(paths), ALIGNED), "align-segments")
-
-    def gathered(known: DataFrame, *columns: str) -> DataFrame:
-        """The blocks, each with one row for each of its segments."""
-        own = segments.join(known.select("segment", *columns), "segment").groupBy("block").agg(F.collect_list(F.struct("place", *columns)).alias("rows"))
-        return blocks.select("block", "doc_ids", "sizes", "numbers").join(own, "block", "left").withColumn("rows", F.coalesce("rows", F.array().cast(own.schema["rows"].dataType)))
-
-    held = gathered(aligned, "pairs").mapInArrow(held_pairs, "pair long, n long")
-    counts = materialize(held.groupBy("pair").agg(F.sum("n").alias("n")), "align-counts")
-    best = counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n").alias("most"))
-    valued = counts.withColumn("a", F.shiftright("pair", 32)).join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
-    linked = aligned.where("pairs IS NOT NULL").select("segment", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("segment", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    # a pair that only stands in texts without tokens has no count
-    sums = linked.join(valued, "pair", "left").groupBy("segment").agg(
-        F.sum("times").alias("n_links"), F.sum(F.col("times") * F.coalesce("best", F.lit(0))).alias("n_best"), F.sum(F.col("times") * F.coalesce("n", F.lit(0))).alias("count_sum")
-    )
-    known = materialize(aligned.drop("pairs", "times").join(sums, "segment", "left"), "align-known")
-    found = materialize(gathered(known, "n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum").mapInArrow(composed, RESULT), "align-found")
-    for table in (blocks, aligned, counts, known):
-        discard(table)
+    aligned = materialize(segments.select("segment").distinct().mapInArrow(aligner(paths), "segment string, groups string"), "align-segments")
+
+    own = segments.join(aligned, "segment").groupBy("block").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
+    known = blocks.drop("segments").join(own, "block", "left").select("block", "doc_ids", "sizes", "numbers", *listed("own", place="int", groups="string"))
+    linked = materialize(known.mapInArrow(linker, LINKED), "align-linked")
+    discard(blocks)
+    discard(aligned)
+
+    held = linked.select("block", F.posexplode(F.arrays_zip("pairs", "documents")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("documents"))
+    counts = held.groupBy("pair").agg(F.sum("documents").alias("n")).withColumn("a", F.shiftright("pair", 32))
+    counts = materialize(counts, "align-counts")
+    most = counts.groupBy("a").agg(F.max("n").alias("most"))
+    valued = counts.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    told = held.join(valued, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "n", "best")).alias("told"))
+    whole = linked.drop("pairs", "documents").join(told, "block", "left").select(*linked.drop("pairs", "documents").columns, *listed("told", place="int", n="long", best="long"))
+    found = materialize(whole.mapInArrow(composer, RESULT), "align-found")
+    discard(linked)
+    discard(counts)
     return found
 
 
+def listed(name: str, **fields: str) -> list[Column]:
+    """A column of an array of structs for each of its fields; none for null."""
+    return [F.coalesce(F.col(name)[c], F.array().cast(f"array<{kind}>")).alias("places" if c == "place" else c) for c, kind in fields.items()]
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir))
