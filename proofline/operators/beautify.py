@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import matches
-from proofline.operators.rules import calm
+from proofline.functions.text import FILL, calm_text, matches
 from proofline.sources import text as source
 
 NBSP = " "
@@ -28,19 +27,20 @@ EDIT = "array<struct<start:int,end:int,replacement:string>>"
 
 
 def candidates(text: Column) -> Column:
-    """Every change that a pattern proposes, in order of place: array of (start, end, replacement)."""
+    """Every change that a pattern proposes in a text without addresses, paths and code, in order of place: array of (start, end, replacement)."""
 
     def by(pattern: str, new: str, whole: str) -> Column:
         row = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.regexp_replace(x["text"], whole, new.replace("{s}", NBSP)).alias("replacement"), x["text"].alias("old"))
-        return F.when(text.rlike(pattern), F.transform(matches(text, pattern), row))
+        touching = lambda x: F.contains(F.concat(x["before"], x["text"], F.left(x["rest"], F.lit(1))), F.lit(FILL))
+        return F.transform(F.filter(matches(text, pattern), lambda x: ~touching(x)), row)
 
     found = F.flatten(F.array_compact(F.array(*[by(*rule) for rule in RULES])))
-    return F.array_sort(F.filter(found, lambda x: (x["old"] != x["replacement"]) & calm(text, x["start"], x["end"])))
+    return F.array_sort(F.filter(found, lambda x: x["old"] != x["replacement"]))
 
 
 def edits(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, text and the changes that don't overlap, the earliest first."""
-    found = blocks.select("doc_id", "ord", "text", candidates(F.col("text")).alias("c")).where(F.size("c") > 0)
+    found = blocks.withColumn("calm", calm_text(F.col("text"))).select("doc_id", "ord", "text", candidates(F.col("calm")).alias("c")).where(F.size("c") > 0)
     zero = F.struct(F.lit(-1).alias("last"), F.array().cast(EDIT).alias("out"))
 
     def step(a: Column, x: Column) -> Column:

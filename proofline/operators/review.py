@@ -16,6 +16,8 @@ from proofline.functions.text import word_count, word_sql
 from proofline.operators import issues, rules
 
 COLUMNS = ["issue_id", "doc_id", "block", "start", "end", "rule", "category", "subtype", "severity", "confidence", "source", "original", "suggestion"]
+#: An issue's number within its document has room for so many places in a block and so many rules.
+PLACES, KINDS = 1 << 31, 1 << 5
 # What each rule's issues are: category, subtype, severity, confidence.
 KIND = {
     "repeated_word": ("spelling", "typo", "major", "high"),
@@ -28,11 +30,7 @@ KIND = {
 
 Rule = Callable[[DataFrame], DataFrame]
 #: The rules in the order in which they are tried: blocks to rows with ``rule`` and the columns of ``rules.FOUND``. A new rule is one more entry.
-RULES: list[Rule] = [
-    lambda blocks: rules.repeated_word(blocks).withColumn("rule", F.lit("repeated_word")),
-    lambda blocks: rules.long_sentence(blocks).withColumns({"rule": F.lit("long_sentence"), "suggestion": F.lit(None).cast("string")}),
-    rules.typography,
-]
+RULES: list[Rule] = [rules.every_hit]
 
 
 def findings(blocks: DataFrame, by: list[Rule] | None = None) -> DataFrame:
@@ -44,7 +42,7 @@ def findings(blocks: DataFrame, by: list[Rule] | None = None) -> DataFrame:
     number = {rule: k for k, rule in enumerate(KIND)}
     kinds = F.create_map(*[x for rule, kind in KIND.items() for x in (F.lit(rule), F.array(*map(F.lit, kind)))])[F.col("rule")]
     known = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("rule")]
-    out = found.where("start >= 0 AND start < end").withColumns({"kind": kinds, "issue_id": (F.col("ord").cast("long") * 1_000_000 + F.col("start")) * 10 + known})
+    out = found.where("start >= 0 AND start < end").withColumns({"kind": kinds, "issue_id": F.col("ord").cast("long") * PLACES * KINDS + F.col("start").cast("long") * KINDS + known})
     names = {name: F.get("kind", F.lit(k)) for k, name in enumerate(("category", "subtype", "severity", "confidence"))}
     suggestion = F.when(F.trim("suggestion") != "", F.col("suggestion"))
     return out.withColumns({**names, "block": F.col("ord"), "source": F.lit("rules"), "suggestion": suggestion}).select(COLUMNS)
@@ -80,7 +78,7 @@ def _ctes() -> str:
     return f"""{rules.INJECTED_SQL}, {rules.EQUATIONS}, every AS (SELECT 'repeated_word' AS rule, {columns} FROM ({rules.repeated_word_sql(rules.INJECTED_SQL)})
       UNION ALL SELECT 'long_sentence', doc_id, ord, start, "end", original, NULL FROM ({rules.long_sentence_sql(rules.INJECTED_SQL)})
       UNION ALL SELECT rule, {columns} FROM (WITH {rules.INJECTED_SQL}, {rules.EQUATIONS}, {rules.typography_ctes()} SELECT * FROM found)),
-    found AS (SELECT (CAST(ord AS BIGINT) * 1000000 + start) * 10 + {number} AS issue_id, doc_id, ord AS block, start, "end", rule, {case(0)} AS category, {case(1)} AS subtype, {case(2)} AS severity0, {case(3)} AS confidence,
+    found AS (SELECT (CAST(ord AS BIGINT) * {PLACES} + start) * {KINDS} + {number} AS issue_id, doc_id, ord AS block, start, "end", rule, {case(0)} AS category, {case(1)} AS subtype, {case(2)} AS severity0, {case(3)} AS confidence,
       'rules' AS source, original, CASE WHEN trim(suggestion) <> '' THEN suggestion END AS suggestion, CAST(NULL AS VARCHAR) AS verdict FROM every),
     p AS (SELECT *, {issues._case("confidence", model.CONFIDENCE_RANK)} AS priority, {issues.FAMILY} AS family FROM found), {issues.GREEDY_SQL},
     len AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '{word_sql()}'))) AS BIGINT) AS doc_words FROM blocks GROUP BY doc_id),

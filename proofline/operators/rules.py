@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import NUMBER, PROTECTED, SPACE, WORD, every, matches, run_before, run_behind, runs_sql, sentences, sentences_sql, word_count, word_sql
+from proofline.functions.text import FILL, NUMBER, PROTECTED, SPACE, WORD, bound, calm_text, every, matches, runs_sql, sentence_ranges, sentences_sql, word_count, word_sql
 from proofline.sources import text as source
 
 KEYS = ["doc_id", "ord"]
@@ -22,38 +22,75 @@ LETTERS_END = r"(\p{L}+)$"
 BLANKS = r"^[ \x{00A0}\x{202F}]+$"
 
 
-def protected(run: Column) -> Column:
-    return F.coalesce(run.rlike(PROTECTED), F.lit(False))
-
-
 #: A word with the same word behind it; only the first is matched, so a third one makes a second pair.
 REPEATED = r"(?iu)(?<![\p{L}\p{N}'’-])(\p{L}+)(?=[ \x{00A0}\x{202F}]+\1(?![\p{L}\p{N}'’-]))"
+#: What a rule finds in a text.
+HITS = "array<struct<rule:string,start:int,end:int,original:string,suggestion:string>>"
+
+
+def hit(rule: str, start: Column, end: Column, original: Column, suggestion: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), start.alias("start"), end.alias("end"), original.alias("original"), suggestion.alias("suggestion"))
+
+
+def repeats_of(calm: Column) -> Column:
+    """The same word twice with nothing but spaces between, in a text without addresses, paths and code (``calm_text``)."""
+    sep = lambda x: F.regexp_extract(x["rest"], rf"^[{SPACE}]+", 0)
+    second = lambda x: F.substr(x["rest"], F.length(sep(x)) + 1, F.length(x["text"]))
+    good = lambda x: (F.lower(x["text"]) == F.lower(second(x))) & sep(x).rlike(BLANKS) & (F.length(x["text"]) <= MAX_WORD) & ~F.lower(x["text"]).isin(*ALLOWED_REPEATS) & (F.left(F.substr(x["rest"], F.length(sep(x)) + F.length(x["text"]) + 1), F.lit(1)) != FILL)
+    row = lambda x: hit("repeated_word", x["start"], x["end"] + F.length(sep(x)) + F.length(x["text"]), F.concat(x["text"], sep(x), second(x)), x["text"])
+    return F.transform(F.filter(matches(calm, REPEATED), good), row)
+
+
+def long_sentences_of(text: Column) -> Column:
+    """Sentences of too many words, with their number of words."""
+
+    def good(words: Column, x: Column) -> Column:
+        numbers = F.size(F.filter(words, lambda w: w.rlike(NUMBER)))
+        return (F.size(words) > LONG_SENTENCE) & (F.regexp_count(x["text"], F.lit(";")) < ENUMERATION_MARKS) & (numbers <= MAX_NUMERIC * F.size(words))
+
+    found = F.filter(sentence_ranges(text), lambda x: bound(every(x["text"], WORD), lambda words: good(words, x)))
+    row = lambda x: F.struct(F.lit("long_sentence").alias("rule"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("original"), F.lit(None).cast("string").alias("suggestion"), word_count(x["text"]).alias("n_words"))
+    return F.when(word_count(text) > LONG_SENTENCE, F.transform(found, row))
+
+
+def exploded(blocks: DataFrame, found: Column, *more: str) -> DataFrame:
+    """A row for each thing found in a block."""
+    return blocks.select(*KEYS, F.explode(found).alias("hit")).select(*KEYS, *[f"hit.{c}" for c in ("rule", "start", "end", "original", "suggestion", *more)])
+
+
+def spans_of(runs: Column) -> Column:
+    """Runs of a word processor (run_index, start, end), in order, as the stretches in which each run follows the one before without a gap in index or place."""
+    zero = F.array().cast("array<struct<start:int,end:int,index:int>>")
+
+    def step(out: Column, r: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        follows = (r["run_index"] == last["index"] + 1) & (r["start"] == last["end"])
+        longer = F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(last["start"].alias("start"), r["end"].alias("end"), r["run_index"].alias("index")))
+        return F.when((F.size(out) > 0) & follows, longer).otherwise(F.array_append(out, F.struct(r["start"].alias("start"), r["end"].alias("end"), r["run_index"].alias("index"))))
+
+    return F.aggregate(runs, zero, step)
+
 
+def continuous(found: Column, spans: Column) -> Column:
+    """What was found within one stretch: an image, a note's mark or a field between two runs leaves a gap that the text doesn't show."""
+    return F.filter(found, lambda x: F.exists(spans, lambda s: (s["start"] <= x["start"]) & (x["end"] <= s["end"])))
 
-def hits(blocks: DataFrame, pattern: str) -> DataFrame:
-    """The blocks that a pattern matches, a row for each match: their columns, and start, end and original."""
-    found = blocks.where(F.col("text").rlike(pattern)).select("*", F.explode(matches(F.col("text"), pattern)).alias("hit"))
-    return found.select(*blocks.columns, "hit.start", "hit.end", F.substr("text", F.col("hit.start") + 1, F.col("hit.end") - F.col("hit.start")).alias("original"))
 
+def calmed(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``calm``, their text without addresses, paths and code, and ``spans`` if they have runs."""
+    out = blocks.withColumn("calm", calm_text(F.col("text")))
+    return out.withColumn("spans", spans_of(F.col("runs"))) if "runs" in blocks.columns else out
 
-def calm(text: Column, start: Column, end: Column) -> Column:
-    """Whether the run around a match is no address, path or code."""
-    inner = F.substr(text, start + 1, end - start)
-    return ~protected(F.concat(run_before(text, start), inner, run_behind(text, end)))
+
+def unbroken(blocks: DataFrame, found: Column) -> Column:
+    """What was found, but for what crosses a gap between runs, if the blocks have any."""
+    return continuous(found, F.col("spans")) if "spans" in blocks.columns else found
 
 
 def repeated_word(blocks: DataFrame) -> DataFrame:
     """The same word twice with nothing but spaces between; both ends outside addresses, paths and code."""
-    found = hits(blocks.select(*KEYS, "text"), REPEATED)
-    rest = F.substr("text", F.col("end") + 1, F.length("text"))
-    sep = F.regexp_extract(rest, rf"^[{SPACE}]+", 0)
-    found = found.withColumn("sep", sep).withColumn("second", F.substr(rest, F.length("sep") + 1, F.length("original")))
-    place = F.col("end") + F.length("sep")
-    found = found.where(
-        (F.lower("original") == F.lower("second")) & F.col("sep").rlike(BLANKS) & (F.length("original") <= MAX_WORD)
-        & ~F.lower("original").isin(*ALLOWED_REPEATS) & calm(F.col("text"), F.col("start"), F.col("end")) & ~protected(run_behind(F.col("text"), place))
-    )
-    return found.select(*KEYS, "start", (place + F.length("second")).cast("int").alias("end"), F.concat("original", "sep", "second").alias("original"), F.col("original").alias("suggestion"))
+    own = calmed(blocks.where(F.col("text").rlike(REPEATED)))
+    return exploded(own, unbroken(own, repeats_of(F.col("calm")))).drop("rule")
 
 
 def repeated_word_sql(blocks: str = source.SQL) -> str:
@@ -68,12 +105,7 @@ def repeated_word_sql(blocks: str = source.SQL) -> str:
 
 def long_sentence(blocks: DataFrame) -> DataFrame:
     """Sentences of too many words, with their number of words."""
-    found = sentences(blocks.where(word_count(F.col("text")) > LONG_SENTENCE), KEYS)
-    words = every(F.col("text"), WORD)
-    found = found.withColumn("n_words", F.size(words).cast("int")).where(F.col("n_words") > LONG_SENTENCE)
-    numbers = F.size(F.filter(words, lambda w: w.rlike(NUMBER)))
-    found = found.where((F.regexp_count("text", F.lit(";")) < ENUMERATION_MARKS) & (numbers <= MAX_NUMERIC * F.col("n_words")))
-    return found.select(*KEYS, "start", F.col("end").cast("int").alias("end"), "n_words", F.col("text").alias("original"))
+    return exploded(blocks, long_sentences_of(F.col("text")), "n_words").select(*KEYS, "start", "end", "n_words", "original")
 
 
 def long_sentence_sql(blocks: str = source.SQL) -> str:
@@ -84,38 +116,44 @@ def long_sentence_sql(blocks: str = source.SQL) -> str:
       AND len(list_filter(words, lambda x: regexp_matches(x, '{NUMBER}'))) <= CAST({MAX_NUMERIC} AS DOUBLE) * len(words)"""
 
 
+#: What is no space and not part of an address, a path or code.
+SOLID = rf"[^{SPACE}{FILL}]"
 #: Rule, pattern, and whether a document with equations is left alone, as its text lacks them.
 TYPOGRAPHY = {
-    "double_space": (rf"(?<=[^{SPACE}]) {{2,}}(?=[^{SPACE}])", False),
-    "space_before_punctuation": (rf"\p{{L}}+[ \x{{00A0}}]+[,.](?=[{SPACE}]|$)", True),
+    "double_space": (rf"(?<={SOLID}) {{2,}}(?={SOLID})", False),
+    "space_before_punctuation": (rf"(?<!\p{{L}})\p{{L}}+[ \x{{00A0}}]+[,.](?=[{SPACE}]|$)", True),
     "doubled_punctuation": (r"(?<![,;])([,;])\1(?![,;])", False),
     "missing_space_after_comma": (r"(?<![\p{L}\p{N}(\[{])\p{L}{2,},\p{L}{2,}(?![\p{L}\p{N}(\])}])", False),
 }
 
 
+def typography_of(calm: Column, equations: Column) -> Column:
+    """Every match of the four patterns in a text without addresses, paths and code (``calm_text``)."""
+    suggestions = {
+        "double_space": lambda x: F.lit(" "),
+        "space_before_punctuation": lambda x: F.regexp_replace(x, r"[ \x{00A0}]+", ""),
+        "doubled_punctuation": lambda x: F.left(x, F.lit(1)),
+        "missing_space_after_comma": lambda x: F.replace(x, F.lit(","), F.lit(", ")),
+    }
+
+    def found_by(rule: str, pattern: str, alone: bool) -> Column:
+        rows = F.transform(matches(calm, pattern), lambda x: hit(rule, x["start"], x["end"], x["text"], suggestions[rule](x["text"])))
+        return F.when(~equations, rows) if alone else rows
+
+    return F.flatten(F.array_compact(F.array(*[found_by(rule, *how) for rule, how in TYPOGRAPHY.items()])))
+
+
+def has_equations(blocks: DataFrame) -> Column:
+    return F.coalesce(F.col("equations"), F.lit(False)) if "equations" in blocks.columns else F.lit(False)
+
+
 def typography(blocks: DataFrame) -> DataFrame:
     """Double spaces, spaces before marks, doubled marks and commas glued to the next word: every match, with the rule's name.
 
-    Blocks may have a column ``equations``: whether their document has any.
+    Blocks may have a column ``equations``: whether their document has any, and a column ``runs``: the runs of their text.
     """
-    equations = F.coalesce(F.col("equations"), F.lit(False)) if "equations" in blocks.columns else F.lit(False)
-    text, start, end = F.col("text"), F.col("start"), F.col("end")
-
-    def found_by(rule: str, pattern: str, alone: bool) -> Column:
-        here = F.when(text.rlike(pattern) & ~(F.lit(alone) & equations), matches(text, pattern))
-        return F.transform(here, lambda x: F.struct(F.lit(rule).alias("rule"), x["start"].alias("start"), x["end"].alias("end")))
-
-    lists = [found_by(rule, *how) for rule, how in TYPOGRAPHY.items()]
-    every_hit = F.flatten(F.array_compact(F.array(*lists)))
-    found = blocks.select(*KEYS, "text", F.explode(every_hit).alias("hit")).select(*KEYS, "text", "hit.*").withColumn("original", F.substr(text, start + 1, end - start))
-    spaces = F.col("rule") == "double_space"
-    first = F.when(F.col("rule") == "space_before_punctuation", F.length(F.regexp_extract("original", r"^\p{L}+", 0)) + start).otherwise(end)
-    around = F.when(spaces, ~protected(run_before(text, start)) & ~protected(run_behind(text, end))).otherwise(calm(text, start, first.cast("int")))
-    suggestion = (
-        F.when(spaces, F.lit(" ")).when(F.col("rule") == "space_before_punctuation", F.regexp_replace("original", r"[ \x{00A0}]+", ""))
-        .when(F.col("rule") == "doubled_punctuation", F.substr("original", F.lit(1), F.lit(1))).otherwise(F.replace("original", F.lit(","), F.lit(", ")))
-    )
-    return found.where(around).select(*KEYS, "rule", "start", "end", "original", suggestion.alias("suggestion"))
+    own = calmed(blocks)
+    return exploded(own, unbroken(own, typography_of(F.col("calm"), has_equations(blocks))))
 
 
 #: For both engines: documents with faults put in by plain arithmetic, as the driver's have none of them; some count as having equations.
@@ -128,6 +166,24 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.withColumns({"text": F.expr(INJECTED), "equations": F.col("doc_id") % 10 == 0})
 
 
+#: For both engines: runs of RUN characters as a word processor would have them; some documents miss an index after every third run, as an image leaves it.
+RUN = 37
+
+
+def with_runs(blocks: DataFrame) -> DataFrame:
+    holes = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.lit(1))
+    run = lambda k: F.struct((k + (k / 3).cast("int") * holes).alias("run_index"), (k * RUN).alias("start"), F.least((k + 1) * RUN, F.length("text")).alias("end"))
+    return blocks.withColumn("runs", F.transform(F.sequence(F.lit(0), ((F.length("text") - 1) / RUN).cast("int")), run))
+
+
+def every_hit(blocks: DataFrame) -> DataFrame:
+    """The hits of all rules on blocks in one pass: ``rule`` and the columns of FOUND."""
+    own = calmed(blocks)
+    broken = [repeats_of(F.col("calm")), typography_of(F.col("calm"), has_equations(blocks))]
+    plain = F.transform(long_sentences_of(F.col("text")), lambda x: F.struct(*[x[c].alias(c) for c in ("rule", "start", "end", "original", "suggestion")]))
+    return exploded(own, F.flatten(F.array_compact(F.array(*[unbroken(own, x) for x in broken], plain))))
+
+
 def typography_counts(blocks: DataFrame) -> DataFrame:
     found = typography(blocks)
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"), F.min("start").alias("first_start"))
@@ -172,6 +228,7 @@ def queries() -> dict:
         "long_sentence": lambda spark, sf: long_sentence(source.blocks(spark, sf)),
         "typography_cases": lambda spark, sf: typography(injected(spark, sf)),
         "typography_documents": lambda spark, sf: typography_counts(source.blocks(spark, sf)),
+        "continuous_hits": lambda spark, sf: every_hit(with_runs(injected(spark, sf))),
     }
 
 
@@ -180,5 +237,9 @@ def oracle_sql() -> dict[str, str]:
         "repeated_word": repeated_word_sql(),
         "long_sentence": long_sentence_sql(),
         "typography_cases": f"WITH {INJECTED_SQL}, {EQUATIONS}, {typography_ctes()} SELECT * FROM found",
+        "continuous_hits": f"""WITH {INJECTED_SQL}, {EQUATIONS}, {typography_ctes()},
+          every AS (SELECT doc_id, ord, rule, start, "end", original, suggestion FROM found UNION ALL SELECT doc_id, ord, 'repeated_word', start, "end", original, suggestion FROM ({repeated_word_sql(INJECTED_SQL)}))
+          SELECT * FROM every e WHERE doc_id % 3 = 0 OR (start // {3 * RUN} + 1) * {3 * RUN} >= "end"
+          UNION ALL SELECT doc_id, ord, 'long_sentence', start, "end", original, NULL FROM ({long_sentence_sql(INJECTED_SQL)})""",
         "typography_documents": f"WITH {source.SQL}, {NO_EQUATIONS}, {typography_ctes()} SELECT doc_id, rule, count(*) AS n, min(start) AS first_start FROM found GROUP BY doc_id, rule",
     }
