@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from proofline import model
 from proofline.functions import scalar
 from proofline.functions.text import word_count
-from proofline.operators import beautify, decisions, edits, evaluate, filters, forms, grammar, history, issues, language, lexicon, review, rules, serve, structure, wording, words
+from proofline.operators import ambiguity, anchor, beautify, decisions, edits, evaluate, filters, forms, grammar, history, issues, language, lexicon, review, rules, serve, structure, wording, words
 from proofline.plans import chunks, progress, work
 from proofline.sources import html
 from proofline.sources import text as source
 from proofline.streaming import limits, quota
 
-MODULES = [words, scalar, rules, structure, language, lexicon, forms, grammar, issues, review, wording, serve, history, filters, edits, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
+MODULES = [words, scalar, rules, anchor, ambiguity, structure, language, lexicon, forms, grammar, issues, review, wording, serve, history, filters, edits, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
