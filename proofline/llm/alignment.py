@@ -7,11 +7,11 @@ byte they are cut into groups; tokens of one group are linked.
    of B holds the splitting character behind another one, so no merge reaches across a split; A's pre-tokeniser starts afresh there as well. A run that begins with a
    character that fails the check is no split.
 2. A task packs its documents into blocks of bounded size: a list of different segments, and for each document the numbers of its segments in order.
-3. Different segments of all blocks are tokenised and aligned once.
-4. Alignments are joined to the blocks' segments (a row per block and segment, however often it occurs), gathered by block, and documents are composed from them: their
+3. The blocks' segments meet by what they are (a row per block and segment, however often it occurs); different ones are tokenised and aligned once.
+4. A task packs what it has for a block into one compressed row, so alignments are joined back to their blocks in few rows. Documents are composed from them: their
    digests and numbers, and the pairs of ids that each holds. The documents of a pair are counted over the whole corpus; counts go back to the blocks that hold the pair.
 
-Texts are never shuffled, only blocks' numbers (compressed) and segments; a frequent segment has a row per block, and adaptive skew join splits it.
+Texts are never shuffled, only segments and blocks' numbers (compressed). No segment has more rows than there are blocks, and rows of equal segments stream through their task.
 
 Defined results: a null or empty text, or one that a tokenizer does not give back byte by byte (B reads U+2581 as a space), has no tokens: zeros, and '' for its
 groups. Each row is a document: rows with a null or repeated doc_id, and repeated rows, count and get a row each. Texts of white space alone are one segment. A text is
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.shared import discard, documents, materialize, small_batches, text_or_empty
@@ -43,7 +43,10 @@ SPACE = "▁"
 SPLITTERS = " \n\t\r\x0b\x0c"
 #: Different segments that are encoded in one call, and links of a group beyond which it is counted by different ids.
 TOGETHER, CROWD = 2000, 1 << 16
+#: Rows that a task aligns before it packs them.
+HELD = 400_000
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>"
+ALIGNED = "block long, n int, places binary, size long, groups binary"
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 LINKED = "block long, doc_ids array<long>, " + ", ".join(f"{c} array<long>" for c in NUMBERS) + ", digests array<string>, kinds array<int>, held binary, times binary, pairs array<long>, documents array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -195,18 +198,41 @@ def packer(paths: tuple[str, str], size: int = BLOCK):
 
 
 def aligner(paths: tuple[str, str]):
-    """Segments to (segment, groups)."""
+    """(segment, block, place), equal segments together, to packed rows of ALIGNED: a block's places and the groups there, one a line; an empty line where bytes differ."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aligned(segments: list[str]) -> dict[str, str]:
         both = pair(*paths)
+        # those that end in white space stand at the end of a text only
+        alone = [s for s in segments if s[-1].isspace()]
+        rest = [s for s in segments if not s[-1].isspace()]
+        parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)] + [[s] for s in alone]
+        return {s: g or "" for p in parts for s, g in zip(p, both.aligned(p), strict=True)}
+
+    def blocks(held: list[tuple[np.ndarray, np.ndarray, list[str]]]) -> Iterator[pa.RecordBatch]:
+        block, place = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        texts = [t for h in held for t in h[2]]
+        order = np.lexsort((place, block))
+        cuts = [*np.flatnonzero(np.diff(block[order], prepend=-1)).tolist(), len(order)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            own = order[i:j]
+            raw = "\n".join([texts[k] for k in own.tolist()]).encode()
+            row = {"block": pa.array(block[own[:1]]), "n": pa.array([j - i], pa.int32()), "places": [packed(np.diff(place[own], prepend=0))], "size": pa.array([len(raw)], pa.int64())}
+            yield pa.RecordBatch.from_pydict(row | {"groups": [pa.compress(raw, codec="zstd", asbytes=True)]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            every = batch["segment"].to_pylist()
-            # those that end in white space stand at the end of a text only
-            alone = [s for s in every if s[-1].isspace()]
-            rest = [s for s in every if not s[-1].isspace()]
-            parts = [rest[k : k + TOGETHER] for k in range(0, len(rest), TOGETHER)] + [[s] for s in alone]
-            found = [both.aligned(p) for p in parts]
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s for p in parts for s in p], pa.string()), "groups": pa.array([g for f in found for g in f], pa.string())})
+            coded = batch["segment"].dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            known = aligned(different)
+            texts = [known[s] for s in different]
+            held.append((batch["block"].to_numpy(), batch["place"].to_numpy().astype(np.int64), [texts[k] for k in coded.indices.to_numpy().tolist()]))
+            rows += batch.num_rows
+            if rows >= HELD:
+                yield from blocks(held)
+                held, rows = [], 0
+        if held:
+            yield from blocks(held)
 
     return run
 
@@ -214,11 +240,11 @@ def aligner(paths: tuple[str, str]):
 class Groups:
     """The groups of a block's segments, read from their text into arrays."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str]):
         n = len(texts)
-        self.known = np.array([t is not None for t in texts], bool)
-        per_segment = np.array([t.count(";") + 1 if t is not None else 0 for t in texts], np.int64)
-        codes = np.frombuffer(";".join([t for t in texts if t is not None]).encode(), np.uint8)
+        self.known = np.array([t != "" for t in texts], bool)
+        per_segment = np.array([t.count(";") + 1 if t else 0 for t in texts], np.int64)
+        codes = np.frombuffer(";".join([t for t in texts if t]).encode(), np.uint8)
         marks = np.flatnonzero((codes < ord("0")) | (codes > ord("9")))
         begin, end = np.concatenate([[0], marks + 1]), np.concatenate([marks, [len(codes)]])
         values = np.zeros(len(end), np.int64)
@@ -274,8 +300,12 @@ def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             ids, sizes = batch["doc_ids"][k].as_py(), batch["sizes"][k].values.to_numpy().astype(np.int64)
             numbers = unpacked(batch["numbers"][k].as_py(), int(sizes.sum()))
-            places, texts = batch["places"][k].values.to_numpy(), batch["groups"][k].values
-            texts = texts.take(pa.array(np.argsort(places))).to_pylist()
+            rows = batch["rows"][k].as_py() or []
+            texts = [""] * sum(r["n"] for r in rows)
+            for r in rows:
+                lines = pa.decompress(r["groups"], decompressed_size=r["size"], codec="zstd", asbytes=True).decode().split("\n")
+                for place, line in zip(np.cumsum(unpacked(r["places"], r["n"])).tolist(), lines, strict=True):
+                    texts[place] = line
             groups = Groups(texts)
             document, bounds = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
             good = (sizes > 0) & (by_document(~groups.known[numbers], bounds) == 0)
@@ -303,8 +333,9 @@ def composer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate([[0], np.cumsum(kinds)])
             own = np.cumsum(unpacked(batch["held"][k].as_py(), int(bounds[-1]))) % (1 << 32)
             times = unpacked(batch["times"][k].as_py(), int(bounds[-1]))
-            order = np.argsort(batch["places"][k].values.to_numpy())
-            n, best = (batch[c][k].values.to_numpy()[order] for c in ("n", "best"))
+            told = batch["told"][k].values
+            order = np.argsort(told.field("place").to_numpy()) if told is not None else []
+            n, best = (told.field(c).to_numpy()[order] if told is not None else np.zeros(0, np.int64) for c in ("n", "best"))
             columns = {"doc_id": batch["doc_ids"][k].values} | {c: batch[c][k].values for c in NUMBERS}
             columns |= {"n_best": by_document(times * best[own], bounds), "count_sum": by_document(times * n[own], bounds), "groups_sha256": batch["digests"][k].values}
             yield pa.RecordBatch.from_pydict(columns)
@@ -318,13 +349,11 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = BLO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     blocks = materialize(rows.mapInArrow(packer(paths, size), BLOCKS), "align-blocks")
     segments = blocks.select("block", F.posexplode("segments").alias("place", "segment"))
-    aligned = materialize(segments.select("segment").distinct().mapInArrow(aligner(paths), "segment string, groups string"), "align-segments")
-
-    own = segments.join(aligned, "segment").groupBy("block").agg(F.collect_list(F.struct("place", "groups")).alias("own"))
-    known = blocks.drop("segments").join(own, "block", "left").select("block", "doc_ids", "sizes", "numbers", *listed("own", place="int", groups="string"))
+    met = segments.select("segment", "block", "place").repartition("segment").sortWithinPartitions("segment")
+    own = met.mapInArrow(aligner(paths), ALIGNED).groupBy("block").agg(F.collect_list(F.struct("n", "places", "size", "groups")).alias("rows"))
+    known = blocks.select("block", "doc_ids", "sizes", "numbers").join(own, "block", "left")
     linked = materialize(known.mapInArrow(linker, LINKED), "align-linked")
     discard(blocks)
-    discard(aligned)
 
     held = linked.select("block", F.posexplode(F.arrays_zip("pairs", "documents")).alias("place", "x")).select("block", "place", F.col("x.pairs").alias("pair"), F.col("x.documents").alias("documents"))
     counts = held.groupBy("pair").agg(F.sum("documents").alias("n")).withColumn("a", F.shiftright("pair", 32))
@@ -332,17 +361,12 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = BLO
     most = counts.groupBy("a").agg(F.max("n").alias("most"))
     valued = counts.join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     told = held.join(valued, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "n", "best")).alias("told"))
-    whole = linked.drop("pairs", "documents").join(told, "block", "left").select(*linked.drop("pairs", "documents").columns, *listed("told", place="int", n="long", best="long"))
+    whole = linked.drop("pairs", "documents").join(told, "block", "left")
     found = materialize(whole.mapInArrow(composer, RESULT), "align-found")
     discard(linked)
     discard(counts)
     return found
 
 
-def listed(name: str, **fields: str) -> list[Column]:
-    """A column of an array of structs for each of its fields; none for null."""
-    return [F.coalesce(F.col(name)[c], F.array().cast(f"array<{kind}>")).alias("places" if c == "place" else c) for c, kind in fields.items()]
-
-
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(documents(spark, sf_dir))
