@@ -44,7 +44,9 @@ SPLITTERS = " \n\t\r\x0b\x0c"
 #: Different segments that are encoded in one call, and links of a group beyond which it is counted by different ids.
 TOGETHER, CROWD = 2000, 1 << 16
 #: Rows that a task aligns before it packs them.
-HELD = 400_000
+HELD = 300_000
+#: Segments of the documents whose pairs are summed at once.
+PORTION = 1 << 17
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>"
 ALIGNED = "block long, n int, places binary, size long, groups binary"
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -294,6 +296,27 @@ def by_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def pairs_of(groups: Groups, numbers: np.ndarray, bounds: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many different pairs each document holds, these pairs document by document, and how often each is linked there. Documents are taken in portions of bounded length."""
+    width, span, sizes = max(len(groups.bounds) - 1, 1), max(len(groups.pairs), 1), np.diff(groups.bounds)
+    per, out, first = np.zeros(len(good), np.int64), [], 0
+    while first < len(good):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PORTION, "right")) - 1)
+        document = np.repeat(np.where(good[first:last], np.arange(last - first), -1), np.diff(bounds[first : last + 1]))
+        some = document >= 0
+        # the document's different segments, and how often they stand in it
+        held, often = np.unique(document[some] * width + numbers[bounds[first] : bounds[last]][some], return_counts=True)
+        segment = held % width
+        n = sizes[segment]
+        at = np.repeat(groups.bounds[segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key, times = summed(np.repeat(held // width, n) * span + groups.pair[at], np.repeat(often, n) * groups.times[at])
+        per[first:last] = np.bincount(key // span, minlength=last - first)
+        out.append(((key % span).astype(np.int32), times.astype(np.uint32)))
+        first = last
+    own, times = (np.concatenate(x) for x in zip(*out, strict=True))
+    return per, own, times
+
+
 def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with their segments' groups to what is known of their documents but for the corpus's counts."""
     for batch in batches:
@@ -307,21 +330,14 @@ def linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for place, line in zip(np.cumsum(unpacked(r["places"], r["n"])).tolist(), lines, strict=True):
                     texts[place] = line
             groups = Groups(texts)
-            document, bounds = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
             good = (sizes > 0) & (by_document(~groups.known[numbers], bounds) == 0)
             columns = {c: pa.array([np.where(good, by_document(groups.numbers[c][numbers], bounds), 0)], pa.list_(pa.int64())) for c in NUMBERS}
             digests = [hashlib.sha256(";".join([texts[n] for n in numbers[i:j].tolist()]).encode()).hexdigest() if g else "" for i, j, g in zip(bounds.tolist(), bounds[1:].tolist(), good.tolist(), strict=False)]
-            # pairs of a document: those of its different segments, as often as these stand in it
-            some, width, span = good[document], max(len(texts), 1), max(len(groups.pairs), 1)
-            held, often = np.unique(document[some] * width + numbers[some], return_counts=True)
-            segment, n = held % width, np.diff(groups.bounds)
-            n = n[segment]
-            at = np.repeat(groups.bounds[segment] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            key, times = summed(np.repeat(held // width, n) * span + groups.pair[at], np.repeat(often, n) * groups.times[at])
-            per = np.bincount(key // span, minlength=len(sizes))
-            seen = np.bincount(key % span, minlength=len(groups.pairs))  # pairs that only texts without tokens hold go
-            own = (np.cumsum(seen > 0) - 1)[key % span]
-            row = {"block": batch["block"].slice(k, 1), "doc_ids": pa.array([ids], pa.list_(pa.int64()))} | columns | {"digests": [digests], "kinds": pa.array([per], pa.list_(pa.int32())), "held": [packed(np.diff(own, prepend=0) % (1 << 32))], "times": [packed(times)]}
+            per, own, times = pairs_of(groups, numbers, bounds, good)
+            seen = np.bincount(own, minlength=len(groups.pairs))  # pairs that only texts without tokens hold go
+            own = (np.cumsum(seen > 0) - 1)[own]
+            row = {"block": batch["block"].slice(k, 1), "doc_ids": pa.array([ids], pa.list_(pa.int64()))} | columns | {"digests": [digests], "kinds": pa.array([per], pa.list_(pa.int32())), "held": [packed(np.diff(own.astype(np.int64), prepend=0) % (1 << 32))], "times": [packed(times)]}
             yield pa.RecordBatch.from_pydict(row | {"pairs": pa.array([groups.pairs[seen > 0]], pa.list_(pa.int64())), "documents": pa.array([seen[seen > 0]], pa.list_(pa.int64()))})
 
 
