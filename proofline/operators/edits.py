@@ -102,6 +102,11 @@ def queries() -> dict:
     }
 
 
+#: For DuckDB: of the edits of ``r`` without a reason, those that don't overlap the one kept before.
+KEPT_SQL = """l AS (SELECT doc_id, ord, list([{'s': start, 'e': stop, 'id': id}] ORDER BY start, stop, id) AS l FROM r WHERE reason IS NULL GROUP BY doc_id, ord),
+  g AS (SELECT list_reduce(l, lambda a, x: CASE WHEN x[1].s < a[len(a)].e OR (x[1].s = a[len(a)].e AND (x[1].s = x[1].e OR a[len(a)].s = a[len(a)].e)) THEN a ELSE list_concat(a, x) END) AS l FROM l), kept AS (SELECT u.id FROM (SELECT unnest(l) AS u FROM g))"""
+
+
 def oracle_sql() -> dict[str, str]:
     f = FAULTS
     e = f"""{source.SQL}, h AS (SELECT r.*, "end" AS stop, b.text, (r.doc_id * 10000 + r.ord) * 100000 + start AS id FROM ({rules.repeated_word_sql()}) r JOIN blocks b ON b.doc_id = r.doc_id AND b.ord = r.ord),
@@ -110,11 +115,9 @@ def oracle_sql() -> dict[str, str]:
     why = f"""r AS (SELECT e.*, text, CASE WHEN text IS NULL THEN 'block_not_found' WHEN text <> expected_text THEN 'block_changed' WHEN start < 0 OR stop < start OR stop > length(text) THEN 'invalid_range'
       WHEN substring(text, start + 1, stop - start) <> expected THEN 'original_mismatch' WHEN kind = 'toc_entry' THEN 'unsupported_block'
       WHEN length(replacement) > {MAX_REPLACEMENT} OR contains(replacement, chr(9)) OR contains(replacement, chr(10)) OR replacement = expected THEN 'invalid_replacement' END AS reason FROM e LEFT JOIN k USING (doc_id, ord))"""
-    kept = """l AS (SELECT doc_id, ord, list([{'s': start, 'e': stop, 'id': id}] ORDER BY start, stop, id) AS l FROM r WHERE reason IS NULL GROUP BY doc_id, ord),
-      g AS (SELECT list_reduce(l, lambda a, x: CASE WHEN x[1].s < a[len(a)].e OR (x[1].s = a[len(a)].e AND (x[1].s = x[1].e OR a[len(a)].s = a[len(a)].e)) THEN a ELSE list_concat(a, x) END) AS l FROM l), kept AS (SELECT u.id FROM (SELECT unnest(l) AS u FROM g))"""
     one = "concat_ws(':', ord, start, stop, replacement)"
     return {
         "edit_reasons": f"WITH {e}, {why} SELECT id, reason FROM r",
-        "edit_outcomes_fold": f"WITH {e}, {why}, {kept} SELECT id, coalesce(reason, CASE WHEN id IN (SELECT id FROM kept) THEN 'applied' ELSE 'overlap' END) AS outcome FROM r",
+        "edit_outcomes_fold": f"WITH {e}, {why}, {KEPT_SQL} SELECT id, coalesce(reason, CASE WHEN id IN (SELECT id FROM kept) THEN 'applied' ELSE 'overlap' END) AS outcome FROM r",
         "edits_frozen": f"WITH {e} SELECT doc_id, sha256(string_agg({one}, ';' ORDER BY {one})) AS edits_hash, count(*) AS n FROM e GROUP BY doc_id",
     }
