@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from proofline import model
 from proofline.functions import answers, scalar
 from proofline.functions.text import word_count
-from proofline.operators import ambiguity, anchor, beautify, decisions, edits, evaluate, filters, forms, grammar, history, issues, language, lexicon, parts, related, review, rules, segments, serve, structure, styles, wording, words
+from proofline.operators import ambiguity, anchor, beautify, decisions, edits, evaluate, filters, forms, grammar, history, issues, language, lexicon, names, parts, related, review, rules, segments, serve, structure, styles, wording, words
 from proofline.plans import chunks, progress, work
 from proofline.sources import html
 from proofline.sources import text as source
 from proofline.streaming import limits, quota
 
-MODULES = [words, scalar, answers, rules, anchor, ambiguity, structure, styles, parts, language, lexicon, forms, grammar, issues, review, related, wording, serve, history, filters, edits, segments, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
+MODULES = [words, scalar, answers, rules, anchor, ambiguity, structure, styles, parts, names, language, lexicon, forms, grammar, issues, review, related, wording, serve, history, filters, edits, segments, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
