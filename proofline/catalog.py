@@ -14,9 +14,9 @@ from proofline.operators import ambiguity, anchor, beautify, decisions, edits, e
 from proofline.plans import chunks, progress, work
 from proofline.sources import html
 from proofline.sources import text as source
-from proofline.streaming import limits, quota
+from proofline.streaming import limits, quota, spacing
 
-MODULES = [words, scalar, answers, rules, anchor, ambiguity, structure, styles, parts, names, language, lexicon, forms, grammar, issues, review, related, wording, serve, history, filters, edits, segments, beautify, evaluate, decisions, chunks, progress, work, quota, limits]
+MODULES = [words, scalar, answers, rules, anchor, ambiguity, structure, styles, parts, names, language, lexicon, forms, grammar, issues, review, related, wording, serve, history, filters, edits, segments, beautify, evaluate, decisions, chunks, progress, work, quota, limits, spacing]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
