@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import MARK, SPACE, bound, pieces_at, plain, sentence_ranges, sentences_sql
+from proofline.functions.text import FILL, MARK, SENTENCE_END, SPACE, bound, plain, running, sentences_sql
 from proofline.sources import text as source
 
 # Titles, initials and parts of names, how far back a name is walked, and in how many words.
@@ -38,20 +38,23 @@ def after_title(before: Column) -> Column:
 
 
 def words_before(text: Column, pattern: str) -> Column:
-    """Matches with their places and the REACH characters before them: array of (start, end, text, before).
+    """Matches with their places and what stands before them, in a text with FILL at the beginning of each sentence: array of (start, text, before).
 
-    Between two matches stands at least a character, so at most as many pieces as characters count.
+    ``before`` goes back far enough for a sentence's opening marks and REACH characters before these. Most of the time a few pieces hold so much.
     """
 
-    def rows(cut: Column) -> Column:
-        row = lambda k: F.named_struct(F.lit("start"), F.get(cut, k)["start"], F.lit("end"), F.get(cut, k)["end"], F.lit("text"), F.get(cut, k)["text"], F.lit("before"), back(cut, k))
+    def rows(cut: Column, start: Column) -> Column:
+        row = lambda k: F.named_struct(F.lit("start"), F.get(start, k), F.lit("text"), F.get(cut, k), F.lit("before"), back(cut, k))
         return F.when(F.size(cut) > 1, F.transform(F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)), row))
 
     def back(cut: Column, k: Column) -> Column:
-        tails = F.transform(F.slice(cut, F.greatest(F.lit(1), k + 1 - REACH), F.least(k, F.lit(REACH))), lambda p: F.right(p["text"], F.lit(REACH)))
-        return F.right(F.array_join(tails, ""), F.lit(REACH))
+        def last(n: int) -> Column:
+            return F.array_join(F.transform(F.slice(cut, F.greatest(F.lit(1), k + 1 - n), F.least(k, F.lit(n))), lambda p: F.right(p, F.lit(2 * REACH))), "")
 
-    return F.when(text.rlike(pattern), bound(pieces_at(F.split(F.regexp_replace(plain(text), pattern, f"{MARK}$0{MARK}"), MARK, -1)), rows))
+        return bound(last(12), lambda few: F.right(F.when((F.length(few) >= 2 * REACH) | (k <= 12), few).otherwise(last(2 * REACH)), F.lit(2 * REACH)))
+
+    cut = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(text.rlike(pattern), bound(cut, lambda c: bound(running(F.transform(c, lambda p: F.length(F.translate(p, FILL, "")))), lambda at: rows(c, at))))
 
 
 def capital_words(blocks: DataFrame) -> DataFrame:
@@ -59,15 +62,13 @@ def capital_words(blocks: DataFrame) -> DataFrame:
 
     A sentence that begins behind an abbreviated title is none: the full stop was the title's.
     """
-    text = F.col("text")
-    opens = r"^[^\p{L}\p{N}]*[\p{L}\p{N}]"
-    found = blocks.where(text.rlike(CAPITAL)).select("doc_id", "ord", text, sentence_ranges(text).alias("s"), words_before(text, CAPITAL).alias("w"))
-    # the first letter of each sentence, with what stands before the sentence
-    tail = lambda i: F.right(F.array_join(F.transform(F.slice("s", F.greatest(F.lit(1), i - 2), F.least(i, F.lit(3))), lambda x: F.right(x["text"], F.lit(REACH))), " "), F.lit(REACH))
-    heads = F.transform("s", lambda x, i: F.named_struct(F.lit("at"), x["start"] + F.length(F.regexp_extract(x["text"], opens, 0)) - 1, F.lit("titled"), after_title(F.concat(tail(i), F.lit(" ")))))
-    rows = found.select("doc_id", "ord", heads.alias("heads"), F.explode("w").alias("w"))
-    head = F.filter("heads", lambda h: h["at"] == F.col("w.start"))
-    return rows.select("doc_id", "ord", F.col("w.start").alias("start"), F.col("w.text").alias("word"), after_title(F.col("w.before")).alias("after_title"), F.exists(head, lambda h: ~h["titled"]).alias("sentence_start"))
+    text = F.concat(F.lit(FILL), F.regexp_replace(plain(F.col("text")), SENTENCE_END, f"$1$2{FILL}$3"))
+    rows = blocks.where(F.col("text").rlike(CAPITAL)).select("doc_id", "ord", F.explode(words_before(text, CAPITAL)).alias("w")).select("doc_id", "ord", "w.start", "w.text", "w.before")
+    opening = rf"{FILL}[^\p{{L}}\p{{N}}{FILL}]*$"
+    bare = lambda c: F.translate(c, FILL, "")
+    opens = F.col("before").rlike(opening)
+    titled = after_title(bare(F.regexp_replace("before", opening, "")))
+    return rows.select("doc_id", "ord", "start", F.col("text").alias("word"), after_title(bare(F.col("before"))).alias("after_title"), (opens & ~titled).alias("sentence_start"))
 
 
 #: For both engines: documents with titles, initials and particles put before some of their words.
@@ -101,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
         pl AS (SELECT *, coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, ord ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM t),
         c AS (SELECT doc_id, ord, text, CAST(place AS INT) AS start, regexp_extract(tok, '^\p{{Lu}}[\p{{L}}''’-]*', 0) AS word FROM pl WHERE regexp_matches(tok, '^\p{{Lu}}')),
         w AS (SELECT * EXCLUDE text, right(left(text, start), {REACH}) AS b, false AS hit, false AS over FROM c), {walked('w', 'h')},
-        sp AS (SELECT doc_id, ord, sentence, s.start + length(regexp_extract(s.text, '^[^\p{{L}}\p{{N}}]*', 0)) AS first, right(coalesce(string_agg(right(s.text, {REACH}), ' ') OVER (PARTITION BY doc_id, ord ORDER BY sentence ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') , {REACH}) || ' ' AS b0 FROM sentences s),
+        sp AS (SELECT s.doc_id, s.ord, sentence, s.start + length(regexp_extract(s.text, '^[^\p{{L}}\p{{N}}]*', 0)) AS first, left(b.text, s.start) AS b0 FROM sentences s JOIN blocks b ON b.doc_id = s.doc_id AND b.ord = s.ord),
         sw AS (SELECT doc_id, ord, first, right(b0, {REACH}) AS b, false AS hit, false AS over FROM sp), {walked('sw', 'g')}
         SELECT h.doc_id, h.ord, start, word, h.hit AS after_title, g.first IS NOT NULL AND NOT g.hit AS sentence_start FROM h{HOPS - 1} h LEFT JOIN g{HOPS - 1} g ON g.doc_id = h.doc_id AND g.ord = h.ord AND g.first = h.start""",
     }

@@ -10,7 +10,13 @@ SQL = r"""numbered AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l)
 blocks AS (SELECT doc_id, CAST(i - 1 AS INT) AS ord, text FROM numbered WHERE regexp_matches(text, '[^\s]'))"""
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows``, dealt out by ``keys`` if their input has fewer splits than there are cores; a larger input has enough of them and isn't moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ord, text of ``documents``; only these two columns are read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).where(F.col("text").rlike(r"[^\s]"))
+    return spread(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).where(F.col("text").rlike(r"[^\s]")), "doc_id", "ord")
