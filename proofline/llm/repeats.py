@@ -108,11 +108,12 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarra
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (fp, doc_id, place): place is the first window's start times 256, plus how many windows."""
+    """(doc_id, h, text) to (fp, doc_id, h, place): place is the first window's start times 256, plus how many windows."""
     for batch in batches:
         for part in slices(batch["text"]):
             value, row, start, count = runs_of(part.data, part.offsets, GRAMS[0])
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), batch["doc_id"].take(pa.array(row + part.first)), pa.array(start * 256 + count)], names=["fp", "doc_id", "place"])
+            own = pa.array(row + part.first)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), batch["doc_id"].take(own), batch["h"].take(own), pa.array(start * 256 + count)], names=["fp", "doc_id", "h", "place"])
 
 
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,30 +392,29 @@ def meeting(left: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty().alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"))
 
 
 def later_copies(texts: DataFrame) -> DataFrame:
     """Whole texts that an earlier document has too: doc_id, h, n_bytes. They lose all their bytes, if there are ``LENGTH``."""
-    found = texts.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")).where(F.col("n_bytes") >= LENGTH)
+    found = texts.select("doc_id", "h", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")).where(F.col("n_bytes") >= LENGTH)
     first = found.groupBy("md5").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max(F.struct("doc_id", "h")).alias("last")).where("first <> last").select("md5", "first")
     return found.join(first, "md5").where(F.struct("doc_id", "h") > F.col("first")).select("doc_id", "h", "n_bytes")
 
 
 def candidates_of(texts: DataFrame, copies: DataFrame) -> DataFrame:
     """The texts that hold repeated representatives, but for whole copies: doc_id, h, text, runs, least (representative)."""
-    runs = lambda df: df.mapInArrow(fingerprints, "fp long, doc_id long, place long")
+    runs = lambda df: df.mapInArrow(fingerprints, "fp long, doc_id long, h long, place long")
     share = SAMPLE_DOCS / max(1, texts.count())
-    hot = runs(texts.where(drawn(F.col("doc_id"), share))).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HOT).select("fp", F.lit(True).alias("hot"))
+    hot = runs(texts.where(drawn(F.xxhash64("doc_id", "h"), share))).groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HOT).select("fp", F.lit(True).alias("hot"))
     hot = materialize(hot, "repeat-hot")  # at most the sample's runs by SAMPLE_HOT, whatever the input
     marked = runs(texts).join(F.broadcast(hot), "fp", "left")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(-1))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS))).otherwise(F.lit(-1))
     counted = marked.withColumn("salt", salt).withColumn("n", F.count("*").over(Window.partitionBy("fp", "salt"))).where("n > 1 OR hot")
-    per_doc = counted.groupBy("doc_id").agg(F.collect_set(F.struct("fp", "place")).alias("runs"), F.min("fp").alias("least"))
-    gone = copies.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))  # before the texts are joined, so they move once
-    per_doc = per_doc.join(gone, "doc_id", "left")
-    own = texts.select("doc_id", F.xxhash64("text").alias("h"), "text").join(per_doc, "doc_id")
-    own = own.where(~F.coalesce(F.array_contains("gone", F.col("h")), F.lit(False))).dropDuplicates(["doc_id", "h"])
+    # by id and text, as texts may share an id, or have none
+    per_doc = counted.groupBy("doc_id", "h").agg(F.collect_set(F.struct("fp", "place")).alias("runs"), F.min("fp").alias("least"))
+    per_doc = per_doc.join(copies.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_anti")  # before the texts are joined, so they move once
+    own = texts.join(per_doc, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
     found = materialize(own.select("doc_id", "h", "text", "runs", "least"), "repeat-joined")
     discard(hot)
     return found
@@ -498,7 +498,7 @@ def dedup(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:  # noqa: B008
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lost = dedup(docs).select("doc_id", "h", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
-    base = keyed(docs).select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
+    base = keyed(docs).select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
     out = base.join(lost, ["doc_id", "h"], "left")
     return out.select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),

@@ -180,3 +180,26 @@ def test_pipeline_takes_odd_and_empty_tables(spark):
     rows = corpus_pipeline.run_stages(spark, docs, SF).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "None"]
     assert corpus_pipeline.run_stages(spark, docs.where("doc_id = -5"), SF).count() == 0
+
+
+def test_repeats_of_texts_without_an_id(spark):
+    """Texts without an id are told apart by themselves: each has its own runs, however many there are."""
+    from pyspark.sql import functions as F
+
+    from proofline.llm import repeats
+
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    texts = [prose(rng, 50) + " " + shared + " " + prose(rng, 50) for _ in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, texts[0])], "doc_id long, text string")
+    keyed = repeats.keyed(docs)
+    copies = repeats.later_copies(keyed)
+    held = repeats.candidates_of(keyed, copies)
+    per = [(r["doc_id"], r["n"]) for r in held.select("doc_id", F.size("runs").alias("n")).collect()]
+    ids = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string")
+    alone = repeats.candidates_of(repeats.keyed(ids), repeats.later_copies(repeats.keyed(ids)))
+    most = max(r["n"] for r in alone.select(F.size("runs").alias("n")).collect())
+    # the text that a document with an id repeats as a whole has all its runs, the others what they have by themselves
+    assert len(per) == 40 and sorted(n for _, n in per)[-2] <= most
+    removed = [(r["n_removed"], r["n_spans"]) for r in repeats.dedup(docs).collect()]
+    assert len(removed) == 40 and all(n >= len(shared.encode()) - 1 for n, _ in removed)
