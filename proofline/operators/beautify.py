@@ -102,6 +102,9 @@ def _marked_ctes() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "beautified_fold": f"""WITH {_marked_ctes()}, w AS (SELECT e.*, coalesce(lag("end") OVER v, 0) AS before, lead(start) OVER v IS NULL AS last FROM edits e WINDOW v AS (PARTITION BY doc_id, ord ORDER BY start))
+          SELECT w.doc_id, w.ord, any_value(text) AS before, string_agg(substring(text, CAST(w.before + 1 AS BIGINT), CAST(start - w.before AS BIGINT)) || replacement || CASE WHEN last THEN substring(text, CAST("end" + 1 AS BIGINT)) ELSE '' END, '' ORDER BY start) AS after, CAST(count(*) AS INT) AS n_edits
+          FROM w JOIN blocks b ON b.doc_id = w.doc_id AND b.ord = w.ord GROUP BY w.doc_id, w.ord""",
         "typography_edits": f"""WITH {_marked_ctes()} SELECT doc_id, ord, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", replacement FROM edits""",
         "same_meaning": f"""WITH {_marked_ctes()} SELECT doc_id, count(DISTINCT ord) AS n_blocks, count(*) AS n_edits, true AS same FROM edits GROUP BY doc_id""",
     }

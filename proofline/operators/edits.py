@@ -117,6 +117,10 @@ def oracle_sql() -> dict[str, str]:
       WHEN length(replacement) > {MAX_REPLACEMENT} OR contains(replacement, chr(9)) OR contains(replacement, chr(10)) OR replacement = expected THEN 'invalid_replacement' END AS reason FROM e LEFT JOIN k USING (doc_id, ord))"""
     one = "concat_ws(':', ord, start, stop, replacement)"
     return {
+        "repeats_corrected_fold": f"""WITH {source.SQL}, r AS (SELECT doc_id, ord, start AS id, start, "end" AS stop, suggestion AS replacement, NULL AS reason FROM ({rules.repeated_word_sql()})),
+          l AS (SELECT doc_id, ord, list([{{'s': start, 'e': stop, 'n': replacement}}] ORDER BY start, stop) AS l FROM r GROUP BY doc_id, ord), g AS (SELECT doc_id, ord, unnest(list_reduce(l, lambda a, x: CASE WHEN x[1].s < a[len(a)].e THEN a ELSE list_concat(a, x) END)) AS u FROM l),
+          o AS (SELECT doc_id, ord, u, coalesce(lag(u.e) OVER w, 0) AS before, lead(u.s) OVER w IS NULL AS last FROM g WINDOW w AS (PARTITION BY doc_id, ord ORDER BY u.s))
+          SELECT o.doc_id, o.ord, string_agg(substring(text, CAST(before + 1 AS BIGINT), CAST(u.s - before AS BIGINT)) || u.n || CASE WHEN last THEN substring(text, CAST(u.e + 1 AS BIGINT)) ELSE '' END, '' ORDER BY u.s) AS text FROM o JOIN blocks b ON b.doc_id = o.doc_id AND b.ord = o.ord GROUP BY o.doc_id, o.ord""",
         "edit_reasons": f"WITH {e}, {why} SELECT id, reason FROM r",
         "edit_outcomes_fold": f"WITH {e}, {why}, {KEPT_SQL} SELECT id, coalesce(reason, CASE WHEN id IN (SELECT id FROM kept) THEN 'applied' ELSE 'overlap' END) AS outcome FROM r",
         "edits_frozen": f"WITH {e} SELECT doc_id, sha256(string_agg({one}, ';' ORDER BY {one})) AS edits_hash, count(*) AS n FROM e GROUP BY doc_id",

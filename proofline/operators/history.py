@@ -167,7 +167,7 @@ CHANGED = "CASE WHEN ord % 3 = 0 THEN replace(text, 'a', 'e') WHEN ord % 3 = 1 T
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.blocks(spark, sf_dir).select("doc_id", "ord", F.substring("text", 1, 200).alias("text")).select("doc_id", "ord", F.col("text").alias("before"), F.expr(CHANGED).alias("after"))
+    return source.blocks(spark, sf_dir).select("doc_id", "ord", F.col("text").alias("before"), F.expr(CHANGED).alias("after"))
 
 
 def queries() -> dict:
@@ -177,7 +177,7 @@ def queries() -> dict:
     return {
         "history": lambda spark, sf: history(orders(spark, sf)),
         "owned_issues": lambda spark, sf: owned(items(spark, sf), orders(spark, sf), spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey = 3")),
-        "expired_exports": lambda spark, sf: expired_exports(items(spark, sf).where("l_returnflag = 'R'"), orders(spark, sf)),
+        "expired_exports": lambda spark, sf: expired_exports(items(spark, sf), orders(spark, sf)),
         "listed_context": lambda spark, sf: with_context(rows(spark, sf).where("status = 'open' AND category = 'spelling'"), source.blocks(spark, sf)),
         "decided": lambda spark, sf: decided(rows(spark, sf), decisions_of(rows(spark, sf))),
         "decided_recount": lambda spark, sf: recount(decided(rows(spark, sf), decisions_of(rows(spark, sf)))),
@@ -202,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "history": f"SELECT o_custkey AS owner, o_orderkey AS document_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT) AS place FROM orders QUALIFY place <= {HISTORY}",
         "owned_issues": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3)",
         "expired_exports": f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate + INTERVAL {EXPORT_DAYS} DAY < {NOW} THEN 'export' ELSE 'document' END AS reason FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
-          WHERE l_returnflag = 'R' AND (l_shipdate + INTERVAL {EXPORT_DAYS} DAY < {NOW} OR coalesce(o_orderdate + INTERVAL {DOCUMENT_DAYS} DAY < {NOW}, false))""",
+          WHERE (l_shipdate + INTERVAL {EXPORT_DAYS} DAY < {NOW} OR coalesce(o_orderdate + INTERVAL {DOCUMENT_DAYS} DAY < {NOW}, false))""",
         "listed_context": f"WITH {CLASSIFIED_SQL}, {source.SQL} SELECT issue_id, c.doc_id, c.block, substring(b.text, 1, {SHOWN}) AS context FROM classified c JOIN blocks b ON b.doc_id = c.doc_id AND b.ord = c.block WHERE status = 'open' AND category = 'spelling'",
         "decided": f"WITH {after} SELECT * FROM done",
         "decided_recount": f"WITH {after} SELECT doc_id, count(*) AS total, count(*) FILTER (status <> 'open') AS reviewed FROM done GROUP BY doc_id",
@@ -217,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "refused_files": f"""WITH f AS (SELECT page_id AS file_id, lower(trim({FILES['name'].replace('AS STRING', 'AS VARCHAR')})) AS name, {FILES['size']} AS size FROM pages)
           SELECT file_id, CASE WHEN size = 0 THEN 'empty' WHEN suffix(name, '.doc') THEN 'legacy' WHEN suffix(name, '.docm') THEN 'macros' WHEN NOT suffix(name, '.docx') THEN 'not_word' WHEN size > {MOST_BYTES} THEN 'too_large' END AS reason FROM f""",
         "repeated_notes": source_notes_sql(),
-        "word_diff": f"""WITH {source.SQL}, s AS (SELECT doc_id, ord, substring(text, 1, 200) AS text FROM blocks), c AS (SELECT doc_id, ord, {tokens('text')} AS a, {tokens(CHANGED)} AS b FROM s),
+        "word_diff": f"""WITH {source.SQL}, c AS (SELECT doc_id, ord, {tokens('text')} AS a, {tokens(CHANGED)} AS b FROM blocks),
           f AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false), least(len(a), len(b)) + 1) - 1 AS front FROM c),
           g AS (SELECT *, least(len(a), len(b)) - front AS most FROM f), h AS (SELECT *, coalesce(list_position(list_transform(range(0, most), lambda i: a[len(a) - i] = b[len(b) - i]), false), most + 1) - 1 AS back FROM g)
           SELECT doc_id, ord, CAST(length(array_to_string(a[1:front], '')) AS INT) AS prefix, array_to_string(a[front + 1:len(a) - back], '') AS removed, array_to_string(b[front + 1:len(b) - back], '') AS added,

@@ -52,6 +52,18 @@ def undo_accept(issues: DataFrame, ids: DataFrame) -> DataFrame:
     return issues.where("status = 'accepted'").join(ids, "issue_id", "left_semi").select("issue_id", "doc_id", F.lit("open").alias("status"))
 
 
+def bulk_outcomes(issues: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests of many ids (request, issue_id): how many they name, and how many change; one of too many ids, or that names an unknown one, changes nothing."""
+    asked = requests.distinct().join(issues.select("issue_id", "status"), "issue_id", "left")
+    counted = asked.groupBy("request").agg(F.count("*").alias("n_ids"), F.count_if(F.col("status").isNull()).alias("unknown"), F.count_if(F.col("status") == "accepted").alias("accepted"))
+    outcome = F.when(F.col("n_ids") > MOST_IDS, "too_many").when(F.col("unknown") > 0, "unknown_id").otherwise("done")
+    return counted.select("request", "n_ids", outcome.alias("outcome"), F.when(outcome == "done", F.col("accepted")).otherwise(0).alias("changed"))
+
+
+#: For both engines: requests of neighbouring documents' issues, of very different sizes, some with an id that isn't there.
+REQUEST, ASKED_ID = "doc_id {div} 20 * 2 + CASE WHEN issue_id % 5 = 0 THEN 1 ELSE 0 END", "CASE WHEN issue_id % 997 = 0 THEN -1 ELSE issue_id END"
+
+
 def section_groups(issues: DataFrame) -> DataFrame:
     """Consecutive issues of one block form a group (gaps and islands)."""
     order = Window.partitionBy("doc_id").orderBy("start", "issue_id")
@@ -85,9 +97,9 @@ def retention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guests_without_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Owners that have nothing: an anti join."""
+    """Owners that have nothing in progress: an anti join."""
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("owner_id"))
-    owned = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("owner_id"))
+    owned = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("owner_id"))
     return users.join(owned, "owner_id", "left_anti")
 
 
@@ -106,6 +118,7 @@ def queries() -> dict:
         "review_progress": lambda spark, sf: review_progress(rows(spark, sf)),
         "accept_reliable": lambda spark, sf: accept_reliable(rows(spark, sf)),
         "undo_accept": lambda spark, sf: undo_accept(rows(spark, sf), rows(spark, sf).where("issue_id % 3 = 0").select("issue_id")),
+        "bulk_outcomes": lambda spark, sf: bulk_outcomes(rows(spark, sf).groupBy("issue_id").agg(F.max("status").alias("status")), rows(spark, sf).select(F.expr(REQUEST.format(div="div")).alias("request"), F.expr(ASKED_ID).alias("issue_id"))),
         "section_groups": lambda spark, sf: section_groups(rows(spark, sf)),
         "latest_per_owner": latest_per_owner,
         "retention_report": retention_report,
@@ -125,11 +138,14 @@ def oracle_sql() -> dict[str, str]:
           count(*) FILTER (status = 'open' AND nature IN ('potential', 'verify')) AS manual FROM classified GROUP BY doc_id""",
         "accept_reliable": f"WITH {CLASSIFIED_SQL} SELECT issue_id, doc_id, CASE WHEN {RELIABLE} THEN 'accepted' ELSE status END AS status, coalesce({RELIABLE}, false) AS changed FROM classified",
         "undo_accept": f"WITH {CLASSIFIED_SQL} SELECT issue_id, doc_id, 'open' AS status FROM classified WHERE status = 'accepted' AND issue_id % 3 = 0",
+        "bulk_outcomes": f"""WITH {CLASSIFIED_SQL}, a AS (SELECT DISTINCT {REQUEST.format(div="//")} AS request, {ASKED_ID} AS id FROM classified), s AS (SELECT issue_id, max(status) AS status FROM classified GROUP BY issue_id),
+          c AS (SELECT request, count(*) AS n_ids, count(*) FILTER (NOT EXISTS (SELECT 1 FROM s WHERE s.issue_id = a.id)) AS gone, count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.issue_id = a.id AND s.status = 'accepted')) AS n FROM a GROUP BY request)
+          SELECT request, n_ids, CASE WHEN n_ids > {MOST_IDS} THEN 'too_many' WHEN gone > 0 THEN 'unknown_id' ELSE 'done' END AS outcome, CASE WHEN n_ids <= {MOST_IDS} AND gone = 0 THEN n ELSE 0 END AS changed FROM c""",
         "section_groups": f"""WITH {CLASSIFIED_SQL}, f AS (SELECT *, CASE WHEN lag(block) OVER w IS NOT DISTINCT FROM block THEN 0 ELSE 1 END AS fresh FROM classified WINDOW w AS (PARTITION BY doc_id ORDER BY start, issue_id)),
           g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, issue_id) AS part FROM f) SELECT doc_id, CAST(part AS BIGINT) AS part, any_value(block) AS block, count(*) AS n FROM g GROUP BY doc_id, part""",
         "latest_per_owner": "SELECT o_custkey AS owner_id, o_orderkey AS analysis_id, o_orderstatus AS status FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
         "retention_report": f"WITH c AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderdate AS created, o_orderstatus AS status, {NOW} AS now FROM orders) SELECT owner % 10 AS owners, {report} FROM c GROUP BY owner % 10",
-        "guests_without_documents": "SELECT c_custkey AS owner_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+        "guests_without_documents": "SELECT c_custkey AS owner_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')",
         "case_batches": f"""WITH {CLASSIFIED_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE nature WHEN 'error' THEN 0 WHEN 'suggestion' THEN 1 WHEN 'potential' THEN 2 ELSE 3 END, block, start, issue_id) AS place FROM classified WHERE confidence <> 'high')
           SELECT issue_id, doc_id, CASE WHEN place <= 60 THEN CAST((place - 1) // 20 AS INT) END AS batch, place > 60 AS overflow FROM p""",
     }

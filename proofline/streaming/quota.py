@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed values: (events, seconds) that are free per user, by kind of event.
 LIMITS = {"signup": (3, 3600), "purchase": (20, 3600), "view": (10, 86400), "click": (10, 3600), "error": (10, 86400)}
 LATENESS = "1 hour"
+#: A day's budget by kind of event; 0 means none.
+DAILY = {"click": 500, "view": 400, "purchase": 0, "error": 600}
 
 
 def windowed(events: DataFrame) -> DataFrame:
@@ -40,10 +42,11 @@ def unique_jobs(spark: SparkSession, path: str) -> DataFrame:
     return events.withWatermark("at", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def daily_tokens(events: DataFrame) -> DataFrame:
-    """A day's sum per kind, and whether it is beyond the day's budget."""
-    day = F.to_date("ts")
-    return events.groupBy(day.alias("day"), "event_type").agg(F.sum(F.floor("value")).cast("long").alias("tokens")).withColumn("spent", F.col("tokens") >= 500)
+def daily_tokens(events: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:
+    """A day's sum per kind, and whether it has used up the day's budget; kinds without a budget, or with one of 0, never have."""
+    budget = F.create_map(*[F.lit(x) for pair in (budgets or DAILY).items() for x in pair])[F.col("event_type")]
+    summed = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.sum(F.floor("value")).cast("long").alias("tokens"))
+    return summed.withColumn("spent", F.coalesce((budget > 0) & (F.col("tokens") >= budget), F.lit(False)))
 
 
 def read(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -63,5 +66,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "quota_windows": f"""WITH e AS (SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec, {seconds} AS s, {most} AS m FROM events)
           SELECT user_id, event_type, sec - sec % s AS window_start, count(*) AS n, count(*) > any_value(m) AS over FROM e WHERE m IS NOT NULL GROUP BY user_id, event_type, sec - sec % s""",
-        "daily_tokens": "SELECT CAST(ts AS DATE) AS day, event_type, CAST(sum(floor(value)) AS BIGINT) AS tokens, CAST(sum(floor(value)) AS BIGINT) >= 500 AS spent FROM events GROUP BY ALL",
+        "daily_tokens": f"""WITH t AS (SELECT CAST(ts AS DATE) AS day, event_type, CAST(sum(floor(value)) AS BIGINT) AS tokens FROM events GROUP BY ALL), b AS (SELECT unnest({list(DAILY)}) AS kind, unnest({list(DAILY.values())}) AS budget)
+          SELECT day, event_type, tokens, coalesce(budget > 0 AND tokens >= budget, false) AS spent FROM t LEFT JOIN b ON kind = event_type""",
     }
