@@ -75,4 +75,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"grammar_kinds": f"WITH f AS (SELECT {KIND_SQL} AS kind FROM ({repeated_word_sql()})), k(kind, subtype) AS (VALUES {values(list(KINDS.items()))}) SELECT subtype, count(*) AS n FROM f JOIN k USING (kind) GROUP BY subtype"}
+    q = lambda x: x.replace("'", "''")
+    plain_sql = lambda x: f"trim(regexp_replace(regexp_replace({x}, '[’‘ʼ`´]', chr(39), 'g'), '[{SPACE}]+', ' ', 'g'))"
+    curly = lambda x: f"regexp_replace(lower({x}), '[''ʼ`´]', '’', 'g')"
+    same, sure = (", ".join(f"'{x}'" for x in xs) for xs in (HOMOPHONES, SURE))
+    kinds = f"k(kind, subtype) AS (VALUES {values(list(KINDS.items()))})"
+    return {
+        "grammar_issues": rf"""WITH {source.SQL}, {kinds}, h AS (SELECT r.doc_id, r.ord, start, "end" AS stop, suggestion, original, text FROM ({repeated_word_sql()}) r JOIN blocks b ON b.doc_id = r.doc_id AND b.ord = r.ord),
+        f AS (SELECT *, {KIND_SQL} AS kind, start % 50 AS rule_group, start % 3 + 1 AS action, CASE start % 4 WHEN 0 THEN [] WHEN 1 THEN [suggestion] WHEN 2 THEN [suggestion, upper(suggestion)] ELSE [original] END AS offered FROM h),
+        g AS (SELECT *, left(text, start) AS before, list_filter(offered, lambda x: trim(x) <> '' AND {plain_sql('x')} <> {plain_sql('original')}) AS fit, regexp_extract_all(original, '{q(WORD)}') AS words FROM f JOIN k USING (kind)),
+        u AS (SELECT *, list_filter(fit, lambda x, i: list_position(fit, x) = i) AS useful, len(list_filter(words, lambda w: regexp_matches(w, '{NAME}'))) AS names FROM g),
+        w AS (SELECT *, len(regexp_extract_all(before, '[.!?…]+\s+')) AS sentence, lower(regexp_extract(regexp_replace(before, '^.*[.!?…]+\s+', ''), '({q(WORD)})[^\p{{L}}\p{{N}}]*$', 1)) AS last FROM u
+          WHERE trim(original) <> '' AND (len(offered) = 0 OR len(useful) > 0) AND NOT (len(words) = 1 AND names = 1) AND NOT (len(useful) = 0 AND names > 0)
+            AND NOT regexp_matches(regexp_extract(before, '[^{SPACE}]*$') || regexp_extract(substring(text, start + 1), '^[^{SPACE}]*'), '{PROTECTED}')),
+        o AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY doc_id, ord, rule_group, sentence ORDER BY action, start) AS place FROM w WINDOW g AS (PARTITION BY doc_id, ord, rule_group, sentence)),
+        d AS (SELECT *, list_contains([{same}], {curly('last')}) OR len(list_filter(words, lambda x: list_contains([{same}], {curly('x')}))) > 0 OR regexp_matches(last, '\p{{N}}') AS doubtful FROM o WHERE place = 1)
+        SELECT doc_id, ord, start, stop, subtype, useful[1] AS suggestion, CASE WHEN len(useful) = 0 THEN 'low' WHEN len(useful) = 1 AND n = 1 AND kind IN ({sure}) AND NOT doubtful THEN 'high' ELSE 'medium' END AS confidence, CAST(n - 1 AS INT) AS alternatives FROM d""",
+        "grammar_kinds": f"WITH f AS (SELECT {KIND_SQL} AS kind FROM ({repeated_word_sql()})), {kinds} SELECT subtype, count(*) AS n FROM f JOIN k USING (kind) GROUP BY subtype",
+    }
