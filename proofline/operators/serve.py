@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline import model
 from proofline.operators.issues import CLASSIFIED_SQL, classified, issue_rows
 
 # What the filter for grammar also shows, and how many rows a list may have.

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.text import WORD, every, matches, word_count, word_sql
+from proofline.functions.text import every, matches, word_count, word_sql
 from proofline.sources import text as source
 
 # Acronyms so common that nobody defines them.

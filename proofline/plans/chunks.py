@@ -28,7 +28,7 @@ def packed(blocks: DataFrame, most: int = LOCAL_WORDS) -> DataFrame:
         return F.struct(chunk.alias("chunk"), F.when(full, b["n"]).otherwise(a["words"] + b["n"]).alias("words"), F.concat(a["chunks"], F.array(chunk)).alias("chunks"))
 
     chunks = F.aggregate("b", state, step, lambda a: a["chunks"])
-    rows = per_doc.withColumn("chunks", chunks).select("doc_id", F.posexplode(F.arrays_zip("b", "chunks")).alias("i", "z"), "b")
+    rows = per_doc.withColumn("chunks", chunks).select("doc_id", F.explode(F.arrays_zip("b", "chunks")).alias("z"))
     first = rows.select("doc_id", F.col("z.b.ord").alias("ord"), F.col("z.b.n").alias("n_words"), F.col("z.chunks").alias("chunk"))
     return first
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline import model
 
 # The share of each stage in percent.
 WEIGHTS = {"extract": 5, "local": 50, "context": 30, "global": 7}
