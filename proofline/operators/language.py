@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.text import every, sentence_ranges
+from proofline.functions.text import bound, every, sentence_ranges
 from proofline.sources import text as source
 
 # Function words of either language that the other one hardly has.
@@ -38,15 +38,11 @@ def judged(text: Column) -> Column:
 
     def one(p: Column, before: Column) -> Column:
         low = F.lower(p)
-        acronym = (F.length(p) >= 2) & p.rlike(r"^\p{Lu}+$")
         opens = F.when(before.isNull(), True).otherwise(before.rlike(AFTER_END))
-        name = p.rlike(r"^\p{Lu}") & ~opens
-        elided, contracted = low.rlike(ELIDED), low.rlike(CONTRACTED) & ~low.rlike(ELIDED)
-        fr = F.when(elided | low.isin(FRENCH), 2).when(contracted | low.isin(ENGLISH), 0).when(low.rlike(ACCENTED), int(2 * ACCENT_WEIGHT)).otherwise(0)
-        en = F.when(elided, 0).when(contracted | low.isin(ENGLISH), 2).otherwise(0)
-        skip = acronym | name | ~p.rlike(LETTER)
-        telling = elided | contracted | low.isin(FRENCH) | low.isin(ENGLISH)
-        return F.struct(F.when(skip, 0).otherwise(fr).alias("fr"), F.when(skip, 0).otherwise(en).alias("en"), F.when(~skip & ~telling & (F.length(p) >= MIN_CONTENT), low).alias("content"))
+        name = p.rlike(r"^\p{Lu}") & (((F.length(p) >= 2) & p.rlike(r"^\p{Lu}+$")) | ~opens)
+        # what a word says is found once: nothing, French or English, an accent, or that it is no function word
+        said = F.when(~p.rlike(LETTER) | name, "-").when(low.rlike(ELIDED), "f").when(low.rlike(CONTRACTED), "e").when(low.isin(FRENCH), "f").when(low.isin(ENGLISH), "e").when(low.rlike(ACCENTED), "a").otherwise("o")
+        return bound(said, lambda c: F.struct(F.when(c == "f", 2).when(c == "a", int(2 * ACCENT_WEIGHT)).otherwise(0).alias("fr"), F.when(c == "e", 2).otherwise(0).alias("en"), F.when(c.isin("a", "o") & (F.length(p) >= MIN_CONTENT), low).alias("content")))
 
     parts = every(text, PARTS)
     opener = lambda ps, i: F.when((i == 0) | ((i == 1) & F.get(ps, F.lit(0)).rlike(OPENING)), F.lit(None)).otherwise(F.get(ps, i - 1))
@@ -115,7 +111,7 @@ def language_at(places: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def lexicon_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the documents of one language use at least twice and those of the other never do."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IN ('fr', 'en')").select("lang", F.explode(F.filter(every(F.lower("text"), PARTS), lambda p: p.rlike(LETTER))).alias("word"))
+    docs = source.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IN ('fr', 'en')").select("doc_id", "lang", "text"), "doc_id").select("lang", F.explode(F.filter(every(F.lower("text"), PARTS), lambda p: p.rlike(LETTER))).alias("word"))
     counts = docs.groupBy("word").agg(F.count_if(F.col("lang") == "fr").alias("fr"), F.count_if(F.col("lang") == "en").alias("en"))
     return counts.where("(fr >= 2 AND en = 0) OR (en >= 2 AND fr = 0)").select("word", F.when(F.col("fr") > 0, "fr").otherwise("en").alias("lang"))
 
