@@ -2,9 +2,9 @@
 
 1. Passages are windows of ``2 * STRIDE`` words, one every ``STRIDE`` words. Terms are the words of the benchmark. How many
    passages hold a term is counted over the whole corpus.
-2. A randomised SVD of TF-IDF passages is formed by tasks over a bounded, documented sample (``FIT_DOCS`` documents, drawn by a hash of
-   doc_id) and the benchmark's own passages, weighted to the same total as the corpus. Tasks return sums of the size terms x rank
-   or rank x rank, never passages.
+2. A randomised SVD of TF-IDF passages is formed over every passage of the corpus and the benchmark's own ones, weighted to the same total. One
+   pass stores the terms of all passages; tasks add up how strongly terms stand together (terms x terms, sparse rows, summed by a shuffle), and
+   the range, the power iteration and the spectrum are products with that sum. Tasks return sums of the size terms x rank, never passages.
 3. Every passage of every document is folded into the latent space and compared with every benchmark passage by cosine. Those
    from ``COSINE`` up are candidates.
 4. A candidate is checked in the words around it: the longest common subsequence must hold ``LCS`` of the item's words, or ``LCS_ANSWER`` of
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,17 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import discard, documents, drawn, materialize, nested, small_batches, text_or_empty
+from proofline.llm.shared import discard, documents, materialize, nested, small_batches, text_or_empty
 from proofline.llm.wordhash import Slice, Words, shingles, slices
 
 STRIDE = 24
-FIT_DOCS = 10_000
 BLOCK_ITEMS = 200
 EXTRA_RANK = 56
 POWER = 1
 #: The most frequent terms: those summed by a matrix product, and those of a slice counted in a table.
 FREQUENT = 768
 COUNTED = 128
+#: The most frequent terms whose common passages are summed by a matrix product, and the sums that a task holds at once.
+PAIRED = 256
+CELLS = 1 << 24
 COSINE = 0.45
 LCS = 0.6
 LCS_ANSWER = 0.45
@@ -85,21 +88,13 @@ class Vocabulary:
         return place[right], term[right].astype(np.int32)
 
 
-class Passages:
-    """The term occurrences of a slice by stride-long blocks; a passage is a block with the next one of its document."""
+class Blocks:
+    """Term occurrences by stride-long blocks, in order; a passage is a block with the next one of its document."""
 
-    def __init__(self, part: Slice, vocabulary: Vocabulary):
-        self.words = Words(part)
-        counts = np.diff(self.words.bounds)
-        blocks = np.maximum(1, -(-counts // STRIDE))
-        self.first_block = np.concatenate([[0], np.cumsum(blocks)])
-        place, self.term = vocabulary.find(self.words.hash)
-        row = np.searchsorted(self.words.bounds, place, "right") - 1
-        self.block = self.first_block[row] + (place - self.words.bounds[row]) // STRIDE
-        self.n_blocks = int(self.first_block[-1])
+    def __init__(self, term: np.ndarray, block: np.ndarray, paired: np.ndarray):
+        self.term, self.block, self.n_blocks = term, block, len(paired)
         #: for each block, whether the next one is of the same document
-        self.paired = np.ones(self.n_blocks, bool)
-        self.paired[self.first_block[1:] - 1] = False
+        self.paired = paired
 
     def dense(self, top: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(how often each block holds each of the terms ``top``, which occurrences are of other terms); ``size`` is the number of terms."""
@@ -122,19 +117,56 @@ class Passages:
         return out
 
 
+class Passages(Blocks):
+    """The blocks of a slice, with its words."""
+
+    def __init__(self, part: Slice, vocabulary: Vocabulary):
+        self.words = Words(part)
+        counts = np.diff(self.words.bounds)
+        blocks = np.maximum(1, -(-counts // STRIDE))
+        self.first_block = np.concatenate([[0], np.cumsum(blocks)])
+        place, term = vocabulary.find(self.words.hash)
+        row = np.searchsorted(self.words.bounds, place, "right") - 1
+        paired = np.ones(int(self.first_block[-1]), bool)
+        paired[self.first_block[1:] - 1] = False
+        super().__init__(term, self.first_block[row] + (place - self.words.bounds[row]) // STRIDE, paired)
+
+
 def passages(batch: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[tuple[int, Passages]]:
     for part in slices(batch["text"]):
         yield part.first, Passages(part, vocabulary)
 
 
-def count_terms(vocabulary: Vocabulary):
-    """text to (term, n): the passages that hold each term; and (-1, passages)."""
+#: Terms in order, how many each block has, and which blocks have a next one.
+STORED = "term binary, counts binary, paired binary"
+
+
+def store_terms(vocabulary: Vocabulary):
+    """text to STORED, a row per slice of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(vocabulary.hashes)
-        total, n = np.zeros(size, np.int64), 0
         for batch in batches:
             for _, p in passages(batch, vocabulary):
+                counts = np.bincount(p.block, minlength=p.n_blocks).astype(np.uint8)  # STRIDE at most
+                row = p.term.astype(np.min_scalar_type(len(vocabulary.hashes))), counts, p.paired
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["term", "counts", "paired"])
+
+    return run
+
+
+def stored(batch: pa.RecordBatch, size: int) -> Iterator[Blocks]:
+    for term, counts, paired in zip(*(batch[c].to_pylist() for c in ("term", "counts", "paired")), strict=True):
+        counts = np.frombuffer(counts, np.uint8)
+        yield Blocks(np.frombuffer(term, np.min_scalar_type(size)).astype(np.int32), np.repeat(np.arange(len(counts)), counts), np.frombuffer(paired, bool))
+
+
+def count_terms(size: int):
+    """STORED to (term, n): the passages that hold each term; and (-1, passages)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for p in stored(batch, size):
                 top = np.argsort(np.bincount(p.term, minlength=size))[-COUNTED:]
                 counts, rare = p.dense(top, size)
                 held = counts > 0
@@ -151,35 +183,120 @@ def count_terms(vocabulary: Vocabulary):
     return run
 
 
-def sketch(vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, top: np.ndarray, gram: bool):
-    """(text, weight) to sums over passages A (scaled to length one, then by their weight).
+#: A row of the sums A'A: its term, other terms and the sums.
+TOGETHER = "row int, other binary, value binary"
+
+
+def together_rows(found: Iterator[tuple[int, np.ndarray, np.ndarray]], most: int = 200) -> Iterator[pa.RecordBatch]:
+    """Rows of TOGETHER, so many a batch."""
+    while part := list(islice(found, most)):
+        row, other, value = zip(*part, strict=True)
+        columns = [pa.array(row, pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in other], pa.binary()), pa.array([x.astype(np.float32).tobytes() for x in value], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "other", "value"])
 
-    For the range: rows of A'(A basis). For ``gram``: rows of (A basis)'(A basis).
+
+def together(idf: np.ndarray, top: np.ndarray, cells: int = CELLS):
+    """(STORED, weight) to parts of A'A over passages A (scaled to length one, then by their weight).
+
+    Rows of the terms ``top`` hold only those terms, rows of others all terms.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = (basis * idf[:, None]).astype(np.float32)
-        out = np.zeros((basis.shape[1] if gram else len(idf), basis.shape[1]))
-        square = (idf[:, None] ** 2).astype(np.float32)
+        size = len(idf)
+        square, often = idf**2, np.zeros((len(top), len(top)))
+        line = np.full(size, -1, np.int64)  # the rarer terms' rows of ``sums``
+        rest = np.setdiff1d(np.arange(size), top)
+        line[rest] = np.arange(len(rest)) * size
+        sums = np.zeros(len(rest) * size) if len(rest) * size <= cells else None
+        keys, values, held = [], [], 0
+
+        def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            """What was added for rarer terms, where it doesn't fit in a table."""
+            every = np.concatenate(keys)
+            order = np.argsort(every, kind="stable")
+            first = np.flatnonzero(np.diff(every[order], prepend=-1))
+            total, every = np.add.reduceat(np.concatenate(values)[order], first), every[order][first]
+            cuts = np.flatnonzero(np.diff(every // size, prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(every)], strict=True):
+                k, other = int(rest[every[i] // size]), every[i:j] % size
+                yield k, other, total[i:j] * idf[other] * idf[k]
+
+        def table() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for k, row in zip(rest.tolist(), sums.reshape(len(rest), size), strict=True):
+                other = np.flatnonzero(row)
+                if len(other):
+                    yield k, other, row[other] * idf[other] * idf[k]
+
         for batch in batches:
-            factors = batch["weight"].to_numpy()
-            for first, p in passages(batch, vocabulary):
-                row = np.repeat(factors[first : first + len(p.first_block) - 1], np.diff(p.first_block))
-                scale = row / np.sqrt(np.maximum(p.sums(square, top)[:, 0], 1e-9))
-                y = p.sums(weighted, top) * scale[:, None]
-                if gram:
-                    out += y.T @ y
-                else:
-                    y *= scale[:, None]
-                    y[1:] += np.where(p.paired[:-1, None], y[:-1], 0)  # a block's terms belong to both its passages
-                    order = np.argsort(p.term, kind="stable")
-                    starts = np.flatnonzero(np.diff(p.term[order], prepend=-1))
-                    if len(starts):
-                        out[p.term[order][starts]] += np.add.reduceat(y[p.block[order]], starts, axis=0)
-        if not gram:
-            out *= idf[:, None]
+            for weight, p in zip(batch["weight"].to_pylist(), stored(batch, size), strict=True):
+                length = np.bincount(p.block, square[p.term], p.n_blocks)
+                length[:-1] += np.where(p.paired[:-1], length[1:], 0)
+                scale = weight**2 / np.maximum(length, 1e-9)
+                counts = p.dense(top, size)[0].astype(np.float32)
+                counts[:-1] += np.where(p.paired[:-1, None], counts[1:], 0)
+                counts *= np.sqrt(scale)[:, None].astype(np.float32)
+                often += counts.T @ counts
+                # a rarer term meets all of its own block (in the passage that begins there and the one that ends there), the block before and the next one
+                n = np.bincount(p.block, minlength=p.n_blocks)
+                ahead = np.where(p.paired, scale, 0)
+                behind = np.concatenate([[0], ahead[:-1]])
+                runs = np.stack([np.concatenate([[0], n[:-1]]) * (behind > 0), n, np.concatenate([n[1:], [0]]) * (ahead > 0)], axis=1)
+                parts = np.stack([behind, behind + scale, ahead], axis=1)
+                rare = np.flatnonzero(line[p.term] >= 0)
+                block = p.block[rare]
+                own = runs[block]
+                each = own.sum(axis=1)
+                at = np.repeat((np.cumsum(n) - n)[block] - own[:, 0] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                key, value = np.repeat(line[p.term[rare]], each) + p.term[at], np.repeat(parts[block].ravel(), own.ravel())
+                if sums is not None:
+                    np.add.at(sums, key, value)
+                elif len(key):
+                    keys, values, held = [*keys, key], [*values, value], held + len(key)
+                    if held >= cells // 4:
+                        yield from together_rows(rows())
+                        keys, values, held = [], [], 0
+        if keys:
+            yield from together_rows(rows())
+        elif sums is not None:
+            yield from together_rows(table())
+        yield from together_rows((k, top, row * idf[top] * idf[k]) for k, row in zip(top.tolist(), often, strict=True) if row.any())
+
+    return run
+
+
+def merged(size: int):
+    """Parts in order of their row to whole rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        at, total = None, np.zeros(size)
+        for batch in batches:
+            for row, other, value in zip(*(batch[c].to_pylist() for c in ("row", "other", "value")), strict=True):
+                if row != at:
+                    if at is not None:
+                        yield at, np.flatnonzero(total), total[total != 0]
+                    at, total = row, np.zeros(size)
+                total[np.frombuffer(other, np.int32)] += np.frombuffer(value, np.float32)
+        if at is not None:
+            yield at, np.flatnonzero(total), total[total != 0]
+
+    return lambda batches: together_rows(rows(batches))
+
+
+def product(basis: np.ndarray, top: np.ndarray):
+    """Whole rows of A'A to sums of (row, vector): rows of A'A basis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, often = np.zeros(basis.shape), np.zeros(len(basis), bool)
+        often[top] = True
+        for batch in batches:
+            for row, other, value in zip(*(batch[c].to_pylist() for c in ("row", "other", "value")), strict=True):
+                other, value = np.frombuffer(other, np.int32), np.frombuffer(value, np.float32)
+                out[row] += value @ basis[other]
+                if not often[row]:  # what rows of ``top`` leave out
+                    back = often[other]
+                    out[other[back]] += value[back, None] * basis[row]
         rows = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "vector": pa.array([out[r].astype(np.float64).tobytes() for r in rows], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int32()), "vector": pa.array([out[r].tobytes() for r in rows], pa.binary())})
 
     return run
 
@@ -312,6 +429,21 @@ def search(vocabulary: Vocabulary, folded: np.ndarray, top: np.ndarray, queries:
 HIT = "doc_id long, h long, item_id long, cosine double, lcs double, answer boolean, word long"
 
 
+def latent(terms: DataFrame, own: DataFrame, idf: np.ndarray, weight: float, rank: int) -> np.ndarray:
+    """The leading directions of all passages of the corpus, and of the benchmark's ``own`` ones with their weight: terms x rank."""
+    size, top = len(idf), np.argsort(idf)[:PAIRED]
+    both = terms.withColumn("weight", F.lit(1.0)).unionByName(own.withColumn("weight", F.lit(weight)))
+    parts = both.mapInArrow(together(idf, top), TOGETHER).repartition("row").sortWithinPartitions("row")
+    sums = materialize(parts.mapInArrow(merged(size), TOGETHER), "together")
+    times = lambda basis: summed(sums.mapInArrow(product(basis, top), "row int, vector binary"), basis.shape)
+    basis = np.linalg.qr(times(np.random.default_rng(_SEED).standard_normal((size, min(rank, size)))))[0]
+    for _ in range(POWER):
+        basis = np.linalg.qr(times(basis))[0]
+    spectrum = basis.T @ times(basis)
+    discard(sums)
+    return basis @ np.linalg.eigh((spectrum + spectrum.T) / 2)[1][:, ::-1]
+
+
 def find_block(docs: DataFrame, items: list[tuple[int, str]], cosine: float) -> DataFrame | None:
     """Hits of one block of items."""
     spark = docs.sparkSession
@@ -323,26 +455,16 @@ def find_block(docs: DataFrame, items: list[tuple[int, str]], cosine: float) ->
     if not kept:
         return short
     vocabulary = Vocabulary.of([h for _, h, _, _ in kept])
-    counts = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count_terms(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    size = len(vocabulary.hashes)
+    terms = materialize(docs.select("text").mapInArrow(store_terms(vocabulary), STORED), "terms")
+    counts = {r["term"]: r["n"] for r in terms.mapInArrow(count_terms(size), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     total = max(1, counts.get(-1, 0))
-    idf = np.log((2.0 + total) / (1.0 + np.array([counts.get(t, 0) for t in range(len(vocabulary.hashes))])))
+    idf = np.log((2.0 + total) / (1.0 + np.array([counts.get(t, 0) for t in range(size)])))
 
     top = np.argsort(idf)[:FREQUENT]
-
-    share = min(1.0, FIT_DOCS / max(1, docs.count()))
-    own = spark.createDataFrame([(t,) for *_, t in kept], "text string")
-    fit = docs.where(drawn(F.col("h"), share)).select("text", F.lit(1.0).alias("weight"))
-    fit = materialize(fit.unionByName(own.select("text", F.lit(float(np.sqrt(share * total / len(kept)) + 1)).alias("weight"))), "fit")
-    rank = min(len(kept) + EXTRA_RANK, len(vocabulary.hashes))
-    basis = np.random.default_rng(_SEED).standard_normal((len(vocabulary.hashes), rank))
-    spread = summed(fit.mapInArrow(sketch(vocabulary, idf, basis, top, False), "row int, vector binary"), basis.shape)
-    for _ in range(POWER):
-        spread = summed(fit.mapInArrow(sketch(vocabulary, idf, np.linalg.qr(spread)[0], top, False), "row int, vector binary"), basis.shape)
-    basis = np.linalg.qr(spread)[0]
-    gram = summed(fit.mapInArrow(sketch(vocabulary, idf, basis, top, True), "row int, vector binary"), (rank, rank))
-    discard(fit)
-    latent = basis @ np.linalg.eigh(gram)[1][:, ::-1]
-    folded = (latent * idf[:, None]).astype(np.float32)
+    own = spark.createDataFrame([(t,) for *_, t in kept], "text string").mapInArrow(store_terms(vocabulary), STORED)
+    folded = (latent(terms, own, idf, float(np.sqrt(total / len(kept)) + 1), len(kept) + EXTRA_RANK) * idf[:, None]).astype(np.float32)
+    discard(terms)
 
     queries, owner = [], []
     for number, (_, words, _, _) in enumerate(kept):
