@@ -46,7 +46,9 @@ TOGETHER, CROWD = 2000, 1 << 16
 #: Rows that a task aligns before it packs them.
 HELD = 300_000
 #: Segments of the documents whose pairs are summed at once.
-PORTION = 1 << 17
+PORTION = 1 << 15
+#: Segments whose groups are read at once.
+READ = 1 << 14
 BLOCKS = "block long, doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>"
 ALIGNED = "block long, n int, places binary, size long, groups binary"
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -240,11 +242,22 @@ def aligner(paths: tuple[str, str]):
 
 
 class Groups:
-    """The groups of a block's segments, read from their text into arrays."""
+    """The groups of a block's segments, read from their text into arrays; segments are taken in portions, so what stands beside the result is bounded."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], portion: int = READ):
         n = len(texts)
+        parts = [self.read(texts[k : k + portion]) for k in range(0, max(n, 1), portion)]
         self.known = np.array([t != "" for t in texts], bool)
+        self.numbers = {c: np.concatenate([p[0][c] for p in parts]) for c in NUMBERS}
+        self.pairs = np.unique(np.concatenate([p[1] for p in parts]))
+        self.pair = np.concatenate([np.searchsorted(self.pairs, p[1]).astype(np.int32)[p[2]] for p in parts])
+        self.times = np.concatenate([p[3] for p in parts])
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate([p[4] for p in parts]))])
+
+    @staticmethod
+    def read(texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers by segment, different pairs, the pairs of each segment by their places among these, how often each is linked, how many each segment has)."""
+        n = len(texts)
         per_segment = np.array([t.count(";") + 1 if t else 0 for t in texts], np.int64)
         codes = np.frombuffer(";".join([t for t in texts if t]).encode(), np.uint8)
         marks = np.flatnonzero((codes < ord("0")) | (codes > ord("9")))
@@ -264,7 +277,7 @@ class Groups:
         counts = [np.bincount(g, minlength=groups) for g in sides]
         products = counts[0] * counts[1]
         sums = lambda x: np.bincount(segment, x, n).astype(np.int64) if groups else np.zeros(n, np.int64)
-        self.numbers = {"n_a": sums(counts[0]), "n_b": sums(counts[1]), "n_groups": per_segment, "n_links": sums(products)}
+        numbers = {"n_a": sums(counts[0]), "n_b": sums(counts[1]), "n_groups": per_segment, "n_links": sums(products)}
         # all links of small groups, and of large ones every pair of different ids with its number
         small = products <= CROWD
         own = small[sides[0]]
@@ -276,11 +289,10 @@ class Groups:
             (a, x), (b, y) = (np.unique(i[s == g], return_counts=True) for i, s in zip(ids, sides, strict=True))
             found.append((np.full(len(a) * len(b), segment[g]), (a[:, None] << 32 | b).ravel(), (x[:, None] * y).ravel()))
         where, pairs, times = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.pairs, local = np.unique(pairs, return_inverse=True)
-        width = max(len(self.pairs), 1)
-        key, self.times = summed(where * width + local, times)
-        self.pair = key % width
-        self.bounds = np.searchsorted(key // width, np.arange(n + 1))
+        pairs, local = np.unique(pairs, return_inverse=True)
+        width = max(len(pairs), 1)
+        key, times = summed(where * width + local, times)
+        return numbers, pairs, key % width, times, np.bincount(key // width, minlength=n)
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
