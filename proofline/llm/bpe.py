@@ -138,11 +138,19 @@ def pieces_of(chunks: list[tuple[str, bool, np.ndarray]], size: int, pattern: st
         yield text
 
 
+def values_of(column: pa.Array) -> list:
+    """The values of a column; lists of numbers stay arrays, which take a tenth of the memory."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[i:j].copy() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
     """The rows of each (doc_id, same) from batches sorted by it, then by place; repeated documents come one by one."""
     key, rows = None, []
     for batch in batches:
-        for doc_id, same, i, *rest in zip(*(batch[c].to_pylist() for c in ["doc_id", "same", *columns]), strict=True):
+        for doc_id, same, i, *rest in zip(*(values_of(batch[c]) for c in ["doc_id", "same", *columns]), strict=True):
             if (doc_id, same) != key:
                 if rows:
                     yield key, rows
@@ -200,16 +208,33 @@ def encode_column(path: str, pattern: str, column: str):
     return run
 
 
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (doc_id, _), rows in grouped(batches, ["k", "ids"]):
-        one = dict(rows)
-        ids = np.concatenate([np.asarray(one[k], np.int32) for k in sorted(one)])
-        for _ in copies(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), ids_column([ids])], names=["doc_id", "ids"])
+def decoded_column(enc, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, one after another."""
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return pa.array([enc.decode_bytes(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
 
-def encode_local(path: str, pattern: str):
-    """(doc_id, text) of one chunk each to (doc_id, ids)."""
+def coded(doc_ids: pa.Array, parts: list[np.ndarray], enc, decoded: bool) -> pa.RecordBatch:
+    """doc_id, ids and, if asked for, the bytes that they decode to."""
+    ids = ids_column(parts)
+    more = {"decoded": decoded_column(enc, ids)} if decoded else {}
+    return pa.RecordBatch.from_pydict({"doc_id": doc_ids, "ids": ids} | more)
+
+
+def gather(path: str, pattern: str, decoded: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        for (doc_id, _), rows in grouped(batches, ["k", "ids"]):
+            one = dict(rows)
+            ids = np.concatenate([np.asarray(one[k], np.int32) for k in sorted(one)])
+            for _ in copies(rows):
+                yield coded(pa.array([doc_id], pa.int64()), [ids], enc, decoded)
+
+    return run
+
+
+def encode_local(path: str, pattern: str, decoded: bool = False):
+    """(doc_id, text) of one chunk each to (doc_id, ids), and what they decode to if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
@@ -219,26 +244,30 @@ def encode_local(path: str, pattern: str):
                 # without a neighbour no boundary is asked for, so the only chunk is the only piece
                 pieces = pieces_of([(text, True, np.zeros(0, np.int64))], max(1, len(text)), pattern)
                 parts.append(np.concatenate([np.zeros(0, np.int32), *(ids_of(enc, p) for p in pieces)]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids_column(parts)], names=["doc_id", "ids"])
+            yield coded(batch["doc_id"], parts, enc, decoded)
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ``ids`` (array of int) of every row; ``chunk`` and ``overlap`` are in code points."""
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """doc_id and ``ids`` (array of int) of every row; ``chunk`` and ``overlap`` are in code points.
+
+    With ``decoded`` the worker that has a document's ids decodes them as well, so no second one holds an encoder and the ids again.
+    """
     path, split = default_ranks()
     path, split = ranks_path or path, pattern or split
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    result = "doc_id long, ids array<int>" + (", decoded binary" if decoded else "")
     one = F.length("text") <= chunk + overlap
-    local = docs.where(one).mapInArrow(encode_local(path, split), "doc_id long, ids array<int>")
+    local = docs.where(one).mapInArrow(encode_local(path, split, decoded), result)
     key = "doc_id long, same string, "
     chunks = docs.where(~one).mapInArrow(cut(chunk, overlap), key + "i int, last boolean, chunk string")
     split_up = chunks.repartition("doc_id", "same", "i").mapInArrow(pretokenize(split), key + "i int, last boolean, chunk string, starts binary")
     in_order = split_up.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "i")
     pieces = in_order.mapInArrow(stitch(chunk, split), key + "k int, piece string")
     encoded = pieces.repartition("doc_id", "same", "k").mapInArrow(encode_column(path, split, "piece"), key + "k int, ids array<int>")
-    joined = encoded.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(gather, "doc_id long, ids array<int>")
+    joined = encoded.repartition("doc_id", "same").sortWithinPartitions("doc_id", "same", "k").mapInArrow(gather(path, split, decoded), result)
     return local.unionByName(joined)
 
 
@@ -250,18 +279,14 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, split)
         for batch in batches:
-            lists = batch["ids"]
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            raw = [enc.decode_bytes(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded_column(enc, batch["ids"])], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, schema + ", decoded binary")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(documents(spark, sf_dir)))
-    return coded.select(
+    return encode(documents(spark, sf_dir), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import tracemalloc
 
-from proofline.llm import alignment
+import numpy as np
+import pyarrow as pa
+
+from proofline.llm import alignment, bpe
 
 
 def test_groups_of_many_segments_are_read_in_portions():
@@ -22,3 +25,26 @@ def test_groups_of_many_segments_are_read_in_portions():
         i, j = groups.bounds[k : k + 2]
         a, b = few.bounds[k : k + 2]
         assert groups.pairs[groups.pair[i:j]].tolist() == few.pairs[few.pair[a:b]].tolist() and groups.times[i:j].tolist() == few.times[a:b].tolist()
+
+
+def test_gathered_ids_stay_arrays():
+    """Ids of a long text are put together without an object for each of them."""
+    path, pattern = bpe.default_ranks()
+    enc = bpe.encoder(path, pattern)
+    ids = bpe.ids_of(enc, "some words to repeat " * 50)
+    lists = bpe.ids_column([np.tile(ids, 2000), ids])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([5, 5], pa.int64()), "same": ["x", "x"], "k": pa.array([0, 1], pa.int32()), "ids": lists})
+    tracemalloc.start()
+    found = list(bpe.grouped([batch], ["k", "ids"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * lists.nbytes
+    assert [(k, len(x)) for _, rows in found for k, x in rows] == [(0, 2000 * len(ids)), (1, len(ids))]
+
+
+def test_ids_decoded_where_they_are_made(spark):
+    """One chunk or many, repeated and missing texts: the same rows as by a second worker."""
+    texts = [None, "", "short text", "many words é 中文 \n\t " * 40, "many words é 中文 \n\t " * 40, " " * 300 + "x"]
+    docs = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = [sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in df.collect()) for df in (bpe.encode(docs, chunk=64, overlap=32, decoded=True), bpe.decode(bpe.encode(docs, chunk=64, overlap=32)))]
+    assert rows[0] == rows[1] and sorted(r[2].decode() for r in rows[0]) == sorted(t or "" for t in texts)
