@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from proofline.llm import decontaminate as d
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "mnrst"]
@@ -57,3 +58,50 @@ def test_sums_of_terms_equal_whole_matrix(spark, cells):
     sums = shares.repartition("row").sortWithinPartitions("row").mapInArrow(d.merged(size), d.TOGETHER)
     got = d.summed(sums.mapInArrow(d.product(basis, top), "row int, vector binary"), basis.shape)
     assert np.allclose(got, want @ basis, rtol=1e-5, atol=1e-4 * abs(want).max())
+
+
+def test_pipeline_decontamination_learns_from_every_document(spark, tmp_path, monkeypatch):
+    """The pipeline's stage over more documents than a sample would take: its cosines are those of a dense model of every passage."""
+    docs, items = texts(24_000, 5), [t for t in texts(80, 8) if 20 < t.count(" ") < 130][:12]
+    docs = [t if len(t.split()) < 100 else " ".join(t.split()[:60]) for t in docs]
+    planted = {(2_000 * k + 17, k) for k in range(len(items))}
+    for doc, item in planted:
+        docs[doc] = items[item] + " " + docs[doc]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits, located = [], d.located
+    monkeypatch.setattr(d, "EXTRA_RANK", 4)
+    monkeypatch.setattr(d, "located", lambda *a, **o: hits.append(located(*a, **o)) or hits[-1])
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, table(spark, docs), str(tmp_path)).select("doc_id").collect()}
+    found = {(r["doc_id"], r["item_id"]): r["cosine"] for r in hits[0].collect()}
+
+    vocabulary = d.Vocabulary.of(d.word_hashes(items))
+    size = len(vocabulary.hashes)
+
+    def rows(text):
+        words = d.word_hashes([text])[0]
+        return [np.bincount(vocabulary.find(words[a : a + 2 * d.STRIDE])[1], minlength=size) for a in range(0, max(1, len(words)), d.STRIDE)]
+
+    held, own = np.array([r for t in docs for r in rows(t)]), np.array([r for t in items for r in rows(t)])
+    idf = np.log((2.0 + len(held)) / (1.0 + (held > 0).sum(axis=0)))
+
+    def scaled(a):
+        return a * idf / np.sqrt(np.maximum(a @ idf**2, 1e-9))[:, None]
+
+    weight = np.sqrt(len(held) / len(items)) + 1
+    both = np.concatenate([scaled(held), scaled(own) * weight])
+    basis = np.random.default_rng(d._SEED).standard_normal((size, len(items) + 4))
+    for _ in range(1 + d.POWER):
+        basis = np.linalg.qr(both.T @ (both @ basis))[0]
+
+    def unit(a):
+        a = a @ (basis * idf[:, None])
+        return a / np.maximum(np.linalg.norm(a, axis=-1, keepdims=True), 1e-6)
+
+    want = {}
+    for doc, item in found:
+        words = d.word_hashes([items[item]])[0]
+        queries = [np.bincount(vocabulary.find(words[a : a + 2 * d.STRIDE])[1], minlength=size) for a in range(0, max(1, len(words) - d.STRIDE), d.STRIDE)]
+        want[doc, item] = float((unit(np.array(rows(docs[doc]))) @ unit(np.array(queries)).T).max())
+    assert len(items) == 12 and size > 2 * basis.shape[1] and planted <= found.keys()
+    assert kept == set(range(len(docs))) - {doc for doc, _ in found}
+    assert {k: found[k] for k in planted} == pytest.approx({k: want[k] for k in planted}, abs=1e-5)
