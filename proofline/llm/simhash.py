@@ -182,11 +182,20 @@ def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips).ravel().view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["point", "fp"])
 
 
-def links(different: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Edges (a, b) that connect all fingerprints of ``different`` (fp, each once) within DISTANCE. The edges are a written table."""
+def members(different: DataFrame) -> DataFrame:
+    """(key, fp, own, n) of every key that has an owner and someone else.
+
+    Spark sizes the keys by the table of fingerprints, as it can't know that each gives about 37 rows: left to itself it sends them all to the driver.
+    So both sides are shuffled, whatever their supposed size.
+    """
     met = different.select("fp").mapInArrow(keyed, "key long, fp long, own boolean")
     counts = met.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 AND owned").select("key", "n")
-    inside = materialize(met.join(counts, "key"), "simhash-met")
+    return met.hint("merge").join(counts, "key")
+
+
+def links(different: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints of ``different`` (fp, each once) within DISTANCE. The edges are a written table."""
+    inside = materialize(members(different), "simhash-met")
     pick = lambda own: F.collect_list(F.when(F.col("own") == own, F.col("fp")))
     small = inside.where(F.col("n") <= limit).groupBy("key").agg(pick(True).alias("owners"), pick(False).alias("visitors"))
     edges = small.mapInArrow(compare, "a long, b long")

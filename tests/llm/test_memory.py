@@ -7,8 +7,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from proofline.llm import alignment, bpe
+from proofline.llm import alignment, bpe, simhash
 
 
 def test_groups_of_many_segments_are_read_in_portions():
@@ -48,3 +49,15 @@ def test_ids_decoded_where_they_are_made(spark):
     docs = spark.createDataFrame([(k if k else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
     rows = [sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in df.collect()) for df in (bpe.encode(docs, chunk=64, overlap=32, decoded=True), bpe.decode(bpe.encode(docs, chunk=64, overlap=32)))]
     assert rows[0] == rows[1] and sorted(r[2].decode() for r in rows[0]) == sorted(t or "" for t in texts)
+
+
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    """A small table of fingerprints gives very many keys, which Spark sizes by that table."""
+    different = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    close = different.select(F.col("fp").bitwiseXOR(F.lit(3)).alias("fp"))
+    found = simhash.members(different.union(close))
+    assert found.count() > 0
+    counted = found.groupBy().count()
+    counted.collect()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
