@@ -125,3 +125,12 @@ def test_sentence_languages(spark):
     assert [(r["ord"], r["sentence"], r["language"], r["by"]) for r in rows.orderBy("ord", "sentence").collect()] == [(0, 0, "fr", "sentence"), (0, 1, "en", "sentence"), (0, 2, "en", "sentence"), (0, 3, "uncertain", "block"), (1, 0, "fr", "document")]
     places = spark.createDataFrame([(1, 0, 3, "a"), (1, 0, 30, "b"), (1, 0, 27, "gap"), (1, 9, 0, "none")], "doc_id long, ord int, start int, name string")
     assert {r["name"]: r["language"] for r in language.language_at(places, rows).collect()} == {"a": "fr", "b": "en", "gap": None, "none": None}
+
+
+def test_sentence_language_reads_its_blocks_once(spark):
+    """Each text is cut and judged once: its block, its sentences and their words go on in one stream."""
+    lexicon = spark.createDataFrame([("zut", "fr")], "word string, lang string")
+    found = language.sentence_language(spark.createDataFrame([(1, 0, "Le chat dort. Zut."), (None, 1, "Zut.")], "doc_id long, ord int, text string"), lexicon)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and plan.count("split(") == 1
+    assert sorted((r["sentence"], r["start"], r["end"], r["language"], r["by"]) for r in found.collect()) == [(0, 0, 13, "fr", "block"), (1, 14, 18, "fr", "block")]
