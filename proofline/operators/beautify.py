@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import FILL, calm_text, matches
+from proofline.functions.text import FILL, calm_text, computed, matches
 from proofline.sources import text as source
 
 NBSP = " "
@@ -40,14 +40,15 @@ def candidates(text: Column) -> Column:
 
 def edits(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, text and the changes that don't overlap, the earliest first."""
-    found = blocks.withColumn("calm", calm_text(F.col("text"))).select("doc_id", "ord", "text", candidates(F.col("calm")).alias("c")).where(F.size("c") > 0)
+    calm = computed(blocks, ["doc_id", "ord", "text"], calm=calm_text(F.col("text")))
+    found = computed(calm, ["doc_id", "ord", "text"], c=candidates(F.col("calm"))).where(F.size("c") > 0)
     zero = F.struct(F.lit(-1).alias("last"), F.array().cast(EDIT).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         kept = F.struct(x["end"].alias("last"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement")))).alias("out"))
         return F.when(x["start"] < a["last"], a).otherwise(kept)
 
-    return found.select("doc_id", "ord", "text", F.aggregate("c", zero, step, lambda a: a["out"]).alias("edits"))
+    return computed(found, ["doc_id", "ord", "text"], edits=F.aggregate("c", zero, step, lambda a: a["out"]))
 
 
 def beautified(blocks: DataFrame) -> DataFrame:
