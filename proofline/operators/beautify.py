@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import FILL, calm_text, computed, matches
+from proofline.functions.text import FILL, STEPS, bound, calm_text, computed, matches
 from proofline.sources import text as source
 
 NBSP = " "
@@ -42,18 +42,29 @@ def edits(blocks: DataFrame) -> DataFrame:
     """doc_id, ord, text and the changes that don't overlap, the earliest first."""
     calm = computed(blocks, ["doc_id", "ord", "text"], calm=calm_text(F.col("text")))
     found = computed(calm, ["doc_id", "ord", "text"], c=candidates(F.col("calm"))).where(F.size("c") > 0)
-    zero = F.struct(F.lit(-1).alias("last"), F.array().cast(EDIT).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        kept = F.struct(x["end"].alias("last"), F.concat(a["out"], F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement")))).alias("out"))
+        kept = F.struct(x["end"].alias("last"), F.array_append(a["out"], F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement"))).alias("out"))
         return F.when(x["start"] < a["last"], a).otherwise(kept)
 
-    return computed(found, ["doc_id", "ord", "text"], edits=F.aggregate("c", zero, step, lambda a: a["out"]))
+    def chunk(a: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(a["last"].alias("last"), F.array().cast(EDIT).alias("out")), step)
+        return bound(own, lambda r: F.struct(r["last"].alias("last"), F.array_append(a["out"], r["out"]).alias("out")))
+
+    # a fold copies what it has in every step, so chunks are folded by themselves, with the last place of the one before
+    chunks = F.transform(F.sequence(F.lit(1), F.size("c"), F.lit(STEPS)), lambda k: F.slice("c", k, F.lit(STEPS)))
+    zero = F.struct(F.lit(-1).alias("last"), F.array().cast(f"array<{EDIT}>").alias("out"))
+    return computed(found, ["doc_id", "ord", "text"], edits=F.flatten(F.aggregate(chunks, zero, chunk, lambda a: a["out"])))
 
 
 def beautified(blocks: DataFrame) -> DataFrame:
-    """Changed blocks: doc_id, ord, before and after; changes are made from the end, so places stay right."""
-    text = F.aggregate(F.reverse("edits"), F.col("text"), lambda t, x: F.concat(F.substr(t, F.lit(1), x["start"]), x["replacement"], F.substr(t, x["end"] + 1, F.length(t))))
+    """Changed blocks: doc_id, ord, before and after. Each change brings what follows it up to the next one, so no text is copied once per change."""
+
+    def rest(x: Column, i: Column) -> Column:
+        ahead = F.coalesce(F.get("edits", i + 1)["start"], F.length("text"))
+        return F.concat(x["replacement"], F.substr("text", x["end"] + 1, ahead - x["end"]))
+
+    text = F.concat(F.left("text", F.get("edits", F.lit(0))["start"]), F.array_join(F.transform("edits", rest), ""))
     return edits(blocks).select("doc_id", "ord", F.col("text").alias("before"), text.alias("after"), F.size("edits").alias("n_edits"))
 
 

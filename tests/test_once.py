@@ -28,3 +28,14 @@ def test_rules_compute_texts_once(spark):
     for found in (rules.every_hit(blocks), rules.typography(blocks)):
         plan = plan_of(found.where("start >= 0"))
         assert plan.count(T.PROTECTED_RUN) == 1 and T.PROTECTED_RUN not in below_shuffle(plan)
+
+
+def test_beautified_long_block(spark):
+    """20,000 changes in a block of 240,000 characters."""
+    import time
+
+    text = "Un mot deux ! " * 20_000
+    began = time.time()
+    row = beautify.beautified(spark.createDataFrame([(1, 0, text)], "doc_id long, ord int, text string")).first()
+    assert row["after"] == text.replace(" !", "\u00a0!") and row["n_edits"] == 20_000
+    assert time.time() - began < 120
