@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from proofline.functions import text as T
-from proofline.operators import beautify, rules
+from proofline.operators import beautify, lexicon, rules
 from proofline.sources import text as source
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,15 @@ def test_beautified_long_block(spark):
     row = beautify.beautified(spark.createDataFrame([(1, 0, text)], "doc_id long, ord int, text string")).first()
     assert row["after"] == text.replace(" !", "\u00a0!") and row["n_edits"] == 20_000
     assert time.time() - began < 120
+
+
+def test_pairs_beyond_the_cost_are_left_out_early(spark):
+    """No pair that ``ranked`` would take is lost, most of the others go, and words are read for both joins only."""
+    words = ["maisno", "mason", "maison", "chato", "chateau", "château", "eleve", "élève", "regel", "regle", "règle", "aa", "a", "tems", "temps", "xxxxx", "bonjuor", "bonjour", "ecole", "école", "sso", "os", "qsdf", "wxcv", "abcdef", "bacdfe", "fedcba"]
+    every = spark.createDataFrame([(a, b) for a in words for b in words if a != b], "word string, candidate string").withColumn("cost", lexicon.weighted_distance("word", "candidate"))
+    rows = every.select("word", "candidate", "cost", lexicon.may_fit(F.col("word"), F.col("candidate")).alias("may"), (F.col("cost") <= lexicon.most_cost(F.col("word"))).alias("fits")).collect()
+    assert any(r["fits"] for r in rows) and all(r["may"] for r in rows if r["fits"]) and sum(r["may"] for r in rows) < len(rows) / 4
+    texts = spark.createDataFrame([("La maisno est belle",)], "text string")
+    found = lexicon.misspelling(texts, spark.createDataFrame([("maison", 5.0)], "word string, zipf double"))
+    assert [(r["word"], r["n"], r["suggestion"]) for r in found.collect()] == [("maisno", 1, "maison")]
+    assert plan_of(found).count("regexp_extract_all") == 2
