@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.functions.text import FILL, MARK, SENTENCE_END, SPACE, bound, plain, running, sentences_sql
+from proofline.functions.text import FILL, MARK, SENTENCE_END, SPACE, SPACES, bound, computed, plain, rows_of, running, sentences_sql
 from proofline.sources import text as source
 
 # Titles, initials and parts of names, how far back a name is walked, and in how many words.
@@ -28,10 +28,9 @@ def after_title(before: Column) -> Column:
 
     def hop(a: Column, _: Column) -> Column:
         text = a["text"]
-        found = text.rlike(TITLE) | text.rlike(INITIALS)
-        bare = F.regexp_replace(text, rf"[{SPACE}]+$", "")
-        end = ~bare.rlike(PART)
-        return F.when(a["done"], a).otherwise(state(F.regexp_replace(bare, PART, ""), found | end, found))
+        on = lambda bare, found: state(F.regexp_replace(bare, PART, ""), found | ~bare.rlike(PART), found)
+        walked = bound(text.rlike(TITLE) | text.rlike(INITIALS), lambda found: bound(F.rtrim(text, F.lit(SPACES)), lambda bare: on(bare, found)))
+        return F.when(a["done"], a).otherwise(walked)
 
     begin = state(F.right(before, F.lit(REACH)), F.lit(False), F.lit(False))
     return F.aggregate(F.sequence(F.lit(1), F.lit(HOPS)), begin, hop, lambda a: a["found"])
@@ -63,12 +62,13 @@ def capital_words(blocks: DataFrame) -> DataFrame:
     A sentence that begins behind an abbreviated title is none: the full stop was the title's.
     """
     text = F.concat(F.lit(FILL), F.regexp_replace(plain(F.col("text")), SENTENCE_END, f"$1$2{FILL}$3"))
-    rows = blocks.where(F.col("text").rlike(CAPITAL)).select("doc_id", "ord", F.explode(words_before(text, CAPITAL)).alias("w")).select("doc_id", "ord", "w.start", "w.text", "w.before")
+    marked = computed(blocks.where(F.col("text").rlike(CAPITAL)), ["doc_id", "ord"], text=text)
+    rows = rows_of(marked, ["doc_id", "ord"], words_before(F.col("text"), CAPITAL), "w").select("doc_id", "ord", "w.start", "w.text", "w.before")
     opening = rf"{FILL}[^\p{{L}}\p{{N}}{FILL}]*$"
     bare = lambda c: F.translate(c, FILL, "")
-    opens = F.col("before").rlike(opening)
-    titled = after_title(bare(F.regexp_replace("before", opening, "")))
-    return rows.select("doc_id", "ord", "start", F.col("text").alias("word"), after_title(bare(F.col("before"))).alias("after_title"), (opens & ~titled).alias("sentence_start"))
+    # few words begin a sentence: only for these the walk is made once more, from before their opening marks
+    begins = F.when(F.col("before").rlike(opening), ~after_title(bare(F.regexp_replace("before", opening, "")))).otherwise(F.lit(False))
+    return rows.select("doc_id", "ord", "start", F.col("text").alias("word"), after_title(bare(F.col("before"))).alias("after_title"), begins.alias("sentence_start"))
 
 
 #: For both engines: documents with titles, initials and particles put before some of their words.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
-from proofline.operators import beautify, lexicon, rules
+from proofline.operators import beautify, grammar, lexicon, names, rules
 from proofline.sources import text as source
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,8 @@ def test_pairs_beyond_the_cost_are_left_out_early(spark):
     found = lexicon.misspelling(texts, spark.createDataFrame([("maison", 5.0)], "word string, zipf double"))
     assert [(r["word"], r["n"], r["suggestion"]) for r in found.collect()] == [("maisno", 1, "maison")]
     assert plan_of(found).count("regexp_extract_all") == 2
+
+
+def test_capital_words_cut_texts_once(spark):
+    plan = plan_of(names.capital_words(source.blocks(spark, SF).repartition(3, "doc_id", "ord")))
+    assert plan.count(T.SENTENCE_END) == 1
