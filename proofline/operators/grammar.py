@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.text import PROTECTED, SPACE
+from proofline.functions.text import PROTECTED, SPACE, computed
 from proofline.operators.rules import repeated_word, repeated_word_sql, values
 from proofline.sources import text as source
 
@@ -31,20 +31,26 @@ def mapped(findings: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, ord, start, stop, subtype, suggestion, confidence, alternatives."""
     dim = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     found = findings.withColumn("subtype", dim[F.col("kind")]).where("subtype IS NOT NULL").join(blocks, ["doc_id", "ord"])
-    found = found.where("start >= 0 AND start < stop AND stop <= length(text)").withColumn("original", F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start")))
+    found = found.where("start >= 0 AND start < stop AND stop <= length(text)")
     before = F.substr("text", F.lit(1), F.col("start"))
-    run = F.concat(F.regexp_extract(before, f"[^{SPACE}]*$", 0), F.regexp_extract(F.substr("text", F.col("start") + 1), f"^[^{SPACE}]*", 0))
-    found = found.where((F.trim("original") != "") & ~run.rlike(PROTECTED))
+    # what ends at a place is looked for from there, in the reversed text, so no pattern is tried at every character before it
+    behind = lambda text, pattern, group: F.reverse(F.regexp_extract(F.reverse(text), pattern, group))
+    run = F.concat(behind(before, f"^[^{SPACE}]*", 0), F.regexp_extract(F.substr("text", F.col("start") + 1), f"^[^{SPACE}]*", 0))
+    # the text itself stays here: a block of many findings would be shuffled once for each
+    found = computed(
+        found, ["doc_id", "ord", "start", "stop", "rule", "kind", "suggestions", "subtype"], original=F.substr("text", F.col("start") + 1, F.col("stop") - F.col("start")), run=run,
+        sentence=F.regexp_count(before, F.lit(r"[.!?…]+\s+")), last=F.lower(behind(F.regexp_replace(before, r"^.*[.!?…]+\s+", ""), f"^[^\\p{{L}}\\p{{N}}]*({WORD})", 1)),
+    )
+    found = found.where((F.trim("original") != "") & ~F.col("run").rlike(PROTECTED))
     useful = F.array_distinct(F.filter("suggestions", lambda s: (F.trim(s) != "") & (plain(s) != plain(F.col("original")))))
     found = found.withColumn("useful", useful).where((F.size("suggestions") == 0) | (F.size("useful") > 0))
     words = F.regexp_extract_all("original", F.lit(WORD), F.lit(0))
     names = F.size(F.filter(words, lambda w: w.rlike(NAME)))
     found = found.where(~((F.size(words) == 1) & (names == 1)) & ~((F.size("useful") == 0) & (names > 0)))
-    sentence = F.size(F.split(F.regexp_replace(before, r"[.!?…]+\s+", "\x01"), "\x01"))
-    found = found.withColumns({"rule_group": F.regexp_replace("rule", r"_a\d+_\d+$", ""), "action": F.regexp_extract("rule", r"_a(\d+)_\d+$", 1).cast("int"), "sentence": sentence})
+    found = found.withColumns({"rule_group": F.regexp_replace("rule", r"_a\d+_\d+$", ""), "action": F.regexp_extract("rule", r"_a(\d+)_\d+$", 1).cast("int")})
     group = Window.partitionBy("doc_id", "ord", "rule_group", "sentence")
     found = found.withColumns({"n": F.count("*").over(group), "place": F.row_number().over(group.orderBy("action", "start"))}).where("place = 1")
-    last = F.lower(F.regexp_extract(F.regexp_replace(before, r"^.*[.!?…]+\s+", ""), f"({WORD})[^\\p{{L}}\\p{{N}}]*$", 1))
+    last = F.col("last")
     curly = lambda w: F.regexp_replace(F.lower(w), "['ʼ`´]", "’")
     doubtful = curly(last).isin(HOMOPHONES) | F.exists(words, lambda w: curly(w).isin(HOMOPHONES)) | last.rlike(r"\p{N}")
     confidence = F.when(F.size("useful") == 0, "low").when((F.size("useful") == 1) & (F.col("n") == 1) & F.col("kind").isin(*SURE) & ~doubtful, "high").otherwise("medium")

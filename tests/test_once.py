@@ -58,3 +58,12 @@ def test_pairs_beyond_the_cost_are_left_out_early(spark):
 def test_capital_words_cut_texts_once(spark):
     plan = plan_of(names.capital_words(source.blocks(spark, SF).repartition(3, "doc_id", "ord")))
     assert plan.count(T.SENTENCE_END) == 1
+
+
+def test_findings_leave_their_text_behind(spark):
+    """Windows over findings hold no texts of blocks: a block of many findings would be copied for each."""
+    blocks = spark.createDataFrame([(1, 0, "Voici un. Les-autres mot mot")], "doc_id long, ord int, text string")
+    found = grammar.mapped(spark.createDataFrame([(1, 0, 21, 28, "r_a1_1", "gn", ["mot"])], "doc_id long, ord int, start int, stop int, rule string, kind string, suggestions array<string>"), blocks)
+    assert [(r["start"], r["confidence"], r["suggestion"]) for r in found.collect()] == [(21, "high", "mot")]
+    plan = plan_of(found)
+    assert "text#" not in plan[: plan.rindex("Window")].split("Generate")[0]
